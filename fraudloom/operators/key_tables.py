@@ -64,12 +64,8 @@ def fit_key_tables(
     groups: dict[str, list[Measure]] = {c: [] for c in coded}
     for m in measures:
         groups.setdefault(m.key, []).append(m)
-    counts = {k: [m for m in ms if m.fn == "count"] for k, ms in groups.items()}
-    members = {k: [m for m in ms if m.fn != "count"] for k, ms in groups.items()}
-    n_counts = max(len(v) for v in counts.values())
-    n_members = max(len(v) for v in members.values())
-
-    folded = _fold(df, counts, members, n_counts, n_members, labels, approx)
+    counts, members = _by_kind(groups)
+    folded = _fold(df, counts, members, labels, approx)
     if coded:
         folded = folded.orderBy("_key", "_value")
     stored = cut_lineage(folded.withColumn("_at", F.monotonically_increasing_id()))
@@ -103,7 +99,35 @@ def fit_key_tables(
     return out
 
 
-def _fold(df, counts, members, n_counts, n_members, labels, approx) -> DataFrame:
+def _by_kind(groups: dict[str, list[Measure]]) -> tuple[dict, dict]:
+    counts = {k: [m for m in ms if m.fn == "count"] for k, ms in groups.items()}
+    members = {k: [m for m in ms if m.fn != "count"] for k, ms in groups.items()}
+    return counts, members
+
+
+def rows_where(df: DataFrame, rules: dict[str, tuple[Measure, int]], approx: bool = False) -> DataFrame:
+    """(rule, n_rows): rows whose group measure exceeds the rule's limit.
+
+    The groups carry their row counts, so nothing is joined back to the rows.
+    """
+    groups: dict[str, list[Measure]] = {}
+    for m, _ in rules.values():
+        groups.setdefault(m.key, []).append(m)
+    counts, members = _by_kind(groups)
+    folded = _fold(df, counts, members, {}, approx).filter(F.col("_value").isNotNull())
+    sums = []
+    for m, limit in rules.values():
+        kind, slot = ("_c", counts[m.key].index(m)) if m.fn == "count" else ("_d", members[m.key].index(m))
+        hit = (F.col("_key") == m.key) & (F.col(f"{kind}{slot}") > limit)
+        sums.append(F.coalesce(F.sum(F.when(hit, F.col("_rows"))), F.lit(0)))
+    one = folded.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)])
+    pairs = [F.struct(F.lit(name).alias("rule"), F.col(f"s{i}").alias("n_rows")) for i, name in enumerate(rules)]
+    return one.select(F.explode(F.array(*pairs)).alias("p")).select("p.*")
+
+
+def _fold(df, counts, members, labels, approx) -> DataFrame:
+    n_counts = max(len(v) for v in counts.values())
+    n_members = max(len(v) for v in members.values())
     records = []
     for key in counts:
         value = F.col(key).cast("string")

@@ -1,6 +1,6 @@
 """All registered queries; importing the query modules fills the registry."""
 
-from fraudloom.plans import queries_groups, queries_rows  # noqa: F401
+from fraudloom.plans import queries_groups, queries_reports, queries_rows  # noqa: F401
 from fraudloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
