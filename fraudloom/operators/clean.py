@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fraudloom.operators.quantile import grouped_percentiles
+
 # Texts that stand for missing fields.
 UNKNOWN_PLACE = "Unknown"
 UNKNOWN_EMAIL = "unknown@unknown.com"
@@ -54,25 +56,26 @@ def _per_column(df: DataFrame, columns: list[str], name: str, metrics: dict) ->
 def profile_columns(df: DataFrame, columns: list[str], approx: bool = False) -> DataFrame:
     """Count, nulls, mean, sample deviation, minimum, quartiles and maximum.
 
-    The quartiles are exact unless ``approx`` asks for mergeable sketches, which
-    is the choice for columns with very many distinct values.
+    The quartiles come from one distributed sort of the counted values, or with
+    ``approx`` from mergeable sketches.
     """
-    quantile = (lambda c, p: F.percentile_approx(c, p, 10_000)) if approx else F.percentile
-    return _per_column(
-        df.select(*[F.col(c).cast("double").alias(c) for c in columns]),
-        columns,
-        "column",
-        {
-            "n": lambda c: F.count(c),
-            "n_null": lambda c: F.count_if(c.isNull()),
-            "mean": lambda c: F.avg(c),
-            "std": lambda c: F.stddev_samp(c),
-            "min": lambda c: F.min(c),
-            "q25": lambda c: quantile(c, 0.25),
-            "q50": lambda c: quantile(c, 0.5),
-            "q75": lambda c: quantile(c, 0.75),
-            "max": lambda c: F.max(c),
-        },
+    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    quartiles = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+    metrics = {
+        "n": lambda c: F.count(c),
+        "n_null": lambda c: F.count_if(c.isNull()),
+        "mean": lambda c: F.avg(c),
+        "std": lambda c: F.stddev_samp(c),
+        "min": lambda c: F.min(c),
+        "max": lambda c: F.max(c),
+    }
+    if approx:
+        metrics |= {k: lambda c, p=p: F.percentile_approx(c, p, 10_000) for k, p in quartiles.items()}
+        return _per_column(numbers, columns, "column", metrics)
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns])
+    long = numbers.select(F.explode(pairs).alias("p")).select("p.*")
+    return _per_column(numbers, columns, "column", metrics).join(
+        grouped_percentiles(long, "column", "value", quartiles), "column", "left"
     )
 
 

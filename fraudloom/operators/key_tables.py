@@ -16,12 +16,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fraudloom.operators.numbering import POSITION_BITS
 from fraudloom.plans.sizing import HOT_SHARE, SALT_FROM_ROWS, KeyProfile, join_back, sized
 from fraudloom.session import cut_lineage
 
-_POSITION_BITS = 33  # fixed value: low bits of monotonically_increasing_id
-
-
 @dataclass(frozen=True)
 class Measure:
     """``fn`` is ``count``, ``distinct`` or ``many`` (distinct > 1) of ``value`` by ``key``."""
@@ -69,7 +67,7 @@ def fit_key_tables(
     if coded:
         folded = folded.orderBy("_key", "_value")
     stored = cut_lineage(folded.withColumn("_at", F.monotonically_increasing_id()))
-    part = F.shiftright("_at", _POSITION_BITS)
+    part = F.shiftright("_at", POSITION_BITS)
     spans = (
         stored.groupBy(part.alias("_part"), "_key")
         .agg(

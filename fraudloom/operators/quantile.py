@@ -4,34 +4,44 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fraudloom.operators.numbering import POSITION_BITS
+from fraudloom.session import cut_lineage
+
 EXACT_ROWS = 1_000_000
 _ACCURACY = 10_000
 
 
 def exact_percentile(df: DataFrame, column: str, p: float, exact_rows: int = EXACT_ROWS) -> float | None:
-    return exact_percentiles(df, column, [p], exact_rows)[0]
+    return exact_percentiles(df, [column], [p], exact_rows)[column][0]
 
 
 def exact_percentiles(
-    df: DataFrame, column: str, ps: list[float], exact_rows: int = EXACT_ROWS
-) -> list[float | None]:
-    """Linearly interpolated percentiles (0 to 1) of the non-null values.
-
-    Few distinct values go straight to the built-in ``percentile``, which holds
-    one map of them. Otherwise each rank is bracketed by a mergeable sketch, the
-    rows below the bracket are counted, and the search goes on inside the
-    bracket until its distinct values are few.
+    df: DataFrame, columns: list[str], ps: list[float], exact_rows: int = EXACT_ROWS
+) -> dict[str, list[float | None]]:
+    """Linearly interpolated percentiles (0 to 1) of each column's non-null values.
+
+    Columns of few distinct values go straight to the built-in ``percentile``,
+    which holds one map of them. For the others each rank is bracketed by a
+    mergeable sketch, the rows below the bracket are counted, and the search
+    goes on inside the bracket until its distinct values are few.
     """
-    values = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    head = values.agg(F.count("v").alias("n"), F.approx_count_distinct("v").alias("d")).first()
-    if head["n"] == 0:
-        return [None] * len(ps)
-    if head["d"] <= exact_rows:
-        return list(values.agg(F.percentile("v", [float(p) for p in ps]).alias("q")).first()["q"])
-    return [_narrow(values, head["n"], p * (head["n"] - 1), exact_rows) for p in ps]
+    df = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
+    sizes = df.agg(
+        *[F.count(f"v{i}").alias(f"n{i}") for i in range(len(columns))],
+        *[F.approx_count_distinct(f"v{i}").alias(f"d{i}") for i in range(len(columns))],
+    ).first()
+    small = [i for i in range(len(columns)) if sizes[f"d{i}"] <= exact_rows]
+    out: dict[str, list[float | None]] = {}
+    if small:
+        row = df.agg(*[F.percentile(f"v{i}", [float(p) for p in ps]).alias(f"q{i}") for i in small]).first()
+        out = {columns[i]: list(row[f"q{i}"] or [None] * len(ps)) for i in small}
+    for i in set(range(len(columns))) - set(small):
+        values = df.select(F.col(f"v{i}").alias("v")).filter(F.col("v").isNotNull())
+        out[columns[i]] = [_narrow(values, sizes[f"n{i}"], p * (sizes[f"n{i}"] - 1), exact_rows) for p in ps]
+    return out
 
 
 def _narrow(values: DataFrame, n: int, rank: float, exact_rows: int) -> float:
@@ -57,3 +67,41 @@ def _narrow(values: DataFrame, n: int, rank: float, exact_rows: int) -> float:
             share = rank / (seen["inside"] - 1) if seen["inside"] > 1 else 0.0
             return inside.agg(F.percentile("v", share).alias("q")).first()["q"]
         values, n = inside, seen["inside"]
+
+
+def grouped_percentiles(df: DataFrame, group: str, value: str, ps: dict[str, float]) -> DataFrame:
+    """Exact, linearly interpolated percentiles per group: (group, *names of ps).
+
+    Equal values are counted before the shuffle, and the sort spreads one large
+    group over many range partitions. A row's rank is its place inside its
+    partition plus the counts of the group's earlier partitions, so no task ever
+    holds a whole group.
+    """
+    values = df.select(F.col(group).alias("_g"), F.col(value).cast("double").alias("_v"))
+    counts = values.filter(F.col("_v").isNotNull()).groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    stored = cut_lineage(counts.orderBy("_g", "_v").withColumn("_at", F.monotonically_increasing_id()))
+    stored = stored.withColumn("_part", F.shiftright("_at", POSITION_BITS))
+    # one row per group and partition it touches
+    spans = stored.groupBy("_g", "_part").agg(F.sum("_n").alias("_size"))
+    earlier = Window.partitionBy("_g").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("_g")
+    spans = spans.select(
+        "_g", "_part",
+        F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"),
+        F.sum("_size").over(whole).alias("_total"),
+    )
+    inside = Window.partitionBy("_g", "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = stored.join(spans, ["_g", "_part"]).withColumn("_upto", F.col("_before") + F.sum("_n").over(inside))
+    aggs = []
+    for i, p in enumerate(ps.values()):
+        rank = F.lit(float(p)) * (F.col("_total") - 1)
+        for side, at in (("lo", F.floor(rank)), ("hi", F.ceil(rank))):
+            covers = (F.col("_upto") > at) & (F.col("_upto") - F.col("_n") <= at)
+            aggs.append(F.max(F.when(covers, F.col("_v"))).alias(f"{side}{i}"))
+    picked = placed.groupBy("_g").agg(F.first("_total").alias("_total"), *aggs)
+    columns = [F.col("_g").alias(group)]
+    for i, (name, p) in enumerate(ps.items()):
+        rank = F.lit(float(p)) * (F.col("_total") - 1)
+        lo, hi = F.col(f"lo{i}"), F.col(f"hi{i}")
+        columns.append((lo + (rank - F.floor(rank)) * (hi - lo)).alias(name))
+    return picked.select(*columns)
