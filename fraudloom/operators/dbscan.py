@@ -1,17 +1,23 @@
 """Density clustering (DBSCAN) of numeric rows.
 
-Equal rows collapse into weighted vectors before anything else. A neighbour
-search joins vectors through a grid of cells twice the radius wide: every vector
-has one home cell, and a searching vector is sent to the cells its ball's
-bounding box touches, at most two per grid dimension. The grid uses only the
-dimensions that thin the cells out best, found on a bounded sample. Distances
-are tested inside the join and folded into counts on the spot.
+Equal rows collapse into weighted vectors, and vectors into cells so small that
+all rows of a cell are neighbours. Cells know the exact bounds of their vectors,
+so most pairs of cells are decided whole: too far apart, or everything within
+the radius, counted by weight. Only the vectors of the remaining pairs are
+compared one by one, inside a join that folds them into counts.
+
+Neighbouring cells are found a few dimensions at a time. A level extends each
+pair of neighbouring prefixes by the next dimensions' cells and drops a pair as
+soon as its distance so far exceeds the radius; joins are on the prefix and on a
+coarse bucket of the next dimension, so only occupied neighbours ever meet.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -25,7 +31,8 @@ from fraudloom.session import cut_lineage
 
 DIGITS = 6
 SAMPLE_ROWS = 20_000
-MAX_GRID_DIMS = 8
+LEVEL_CELLS = 300
+_SLACK = 1e-9
 
 # The searched settings, in the order they are tried.
 EPS_VALUES = [0.3, 0.5, 0.7]
@@ -36,168 +43,262 @@ TARGET_OUTLIERS = 20
 
 @dataclass(frozen=True)
 class Vectors:
-    """Distinct rounded rows with a number ``v``, their weight ``w`` and columns ``x0..``."""
+    """Distinct rounded rows ``x0..`` with weight ``w``, number ``v`` and cell name."""
 
     table: DataFrame
-    count: int
     width: int
+    side: float
 
     @property
     def names(self) -> list[str]:
         return [f"x{i}" for i in range(self.width)]
 
 
+@dataclass(frozen=True)
+class Settings:
+    """The (eps, min_samples) pairs tried together."""
+
+    pairs: list[tuple[float, int]]
+
+    @property
+    def radii(self) -> list[float]:
+        return sorted({e for e, _ in self.pairs})
+
+    @property
+    def most(self) -> int:
+        return max(m for _, m in self.pairs)
+
+
 def _rounded(features: list[str]) -> list[Column]:
     return [(F.round(F.col(c).cast("double"), DIGITS) + F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(features)]
 
 
-def weigh(df: DataFrame, features: list[str], key_cols: list[str] | None = None) -> Vectors:
+def _cell_index(c: Column, side: float) -> Column:
+    return F.floor(c / F.lit(side))
+
+
+def weigh(df: DataFrame, features: list[str], side: float, key_cols: list[str] | None = None) -> Vectors:
     """Distinct vectors with weights and, given ``key_cols``, their least row key."""
     rows = df.dropna(subset=features).select(*(key_cols or []), *_rounded(features))
     names = [f"x{i}" for i in range(len(features))]
     aggs = [F.count(F.lit(1)).alias("w")]
     if key_cols:
         aggs.append(F.min(F.struct(*key_cols)).alias("first_key"))
-    table = cut_lineage(rows.groupBy(*names).agg(*aggs).withColumn("v", F.monotonically_increasing_id()))
-    return Vectors(table, table.count(), len(features))
+    table = rows.groupBy(*names).agg(*aggs).withColumns(
+        {
+            "v": F.monotonically_increasing_id(),
+            "cell": F.concat_ws(",", *[_cell_index(F.col(c), side).cast("string") for c in names]),
+        }
+    )
+    return Vectors(cut_lineage(table), len(features), side)
 
 
-def _grid_dims(vectors: Vectors, eps: float) -> list[int]:
-    """Dimensions for the grid: each added while it lowers the estimated work.
+def _levels(vectors: Vectors) -> list[list[int]]:
+    """Dimensions in the order of their distinct cells, grouped while few combine.
 
-    Work is counted per vector as the copies sent out plus the vectors met.
-    Only the speed depends on the sample, never the result.
+    Planned on a bounded sample; only the speed depends on it.
     """
-    step = max(1, vectors.count // SAMPLE_ROWS)
-    picked = vectors.table.filter(F.pmod(F.xxhash64("v"), F.lit(step)) == 0) if step > 1 else vectors.table
-    x = picked.select(*vectors.names).limit(2 * SAMPLE_ROWS).toPandas().to_numpy(dtype=float)
-    if not len(x):
-        return []
-    cells = np.floor(x / (2 * eps)).astype(np.int64)
-    scale = vectors.count / len(x)
-    copies = 1 + np.mean(np.floor((x + eps) / (2 * eps)) > np.floor((x - eps) / (2 * eps)), axis=0)
-    dims: list[int] = []
-    groups = np.zeros(len(x), dtype=np.int64)
-    sent, work = 1.0, scale * len(x)
-    while len(dims) < min(MAX_GRID_DIMS, vectors.width):
-        options = []
-        for d in set(range(vectors.width)) - set(dims):
-            _, joint, sizes = np.unique(
-                np.column_stack([groups, cells[:, d]]), axis=0, return_inverse=True, return_counts=True
+    sample = vectors.table.select(*vectors.names).limit(SAMPLE_ROWS).toPandas().to_numpy(dtype=float)
+    if not len(sample):
+        return [list(range(vectors.width))]
+    cells = np.floor(sample / vectors.side)
+    order = sorted(range(vectors.width), key=lambda d: (len(np.unique(cells[:, d])), d))
+    levels: list[list[int]] = []
+    for d in order:
+        joint = [*levels[-1], d] if levels else [d]
+        if levels and len(np.unique(cells[:, joint], axis=0)) <= LEVEL_CELLS:
+            levels[-1] = joint
+        else:
+            levels.append([d])
+    return levels
+
+
+def _cells(vectors: Vectors, sure_from: int) -> DataFrame:
+    """Cells with weight ``W``, bounds ``lo*``/``hi*`` and whether they hold
+    ``sure_from`` rows, which makes all of them core."""
+    bounds = [f(c).alias(f"{n}{i}") for i, c in enumerate(vectors.names) for n, f in (("lo", F.min), ("hi", F.max))]
+    cells = vectors.table.groupBy("cell").agg(F.sum("w").alias("W"), *bounds)
+    return cut_lineage(cells.withColumn("sure", F.col("W") >= sure_from))
+
+
+def _nodes(cells: DataFrame, vectors: Vectors, levels: list[list[int]], reach: int) -> DataFrame:
+    """Every occupied prefix of every level: parent, bounds over the level's own
+    dimensions, a bucket of its first one, and the same bounds over the cells
+    that seek neighbours."""
+    index = [_cell_index(F.col(f"lo{d}"), vectors.side) for d in range(vectors.width)]
+    records, done = [], []
+    for k, dims in enumerate(levels):
+        parent = F.concat_ws(",", *[index[d].cast("string") for d in done]) if done else F.lit("")
+        done = done + dims
+        records.append(
+            F.struct(
+                F.lit(k).alias("level"),
+                parent.alias("parent"),
+                F.concat_ws(",", *[index[d].cast("string") for d in done]).alias("node"),
+                F.floor(index[dims[0]] / F.lit(reach)).alias("bucket"),
+                F.array(*[F.col(f"lo{d}") for d in dims]).alias("lo"),
+                F.array(*[F.col(f"hi{d}") for d in dims]).alias("hi"),
             )
-            out = sent * copies[d]
-            # one unit per pair tested, several per copy shuffled
-            options.append((out * (20 + scale * np.square(sizes).sum() / len(x)), d, joint.ravel(), out))
-        best = min(options, key=lambda o: (o[0], o[1]))
-        if best[0] >= work:
-            break
-        work, groups, sent = best[0], best[2], best[3]
-        dims.append(best[1])
-    return dims
+        )
+    long = cells.select("seeks", F.explode(F.array(*records)).alias("r")).select("seeks", "r.*")
+    widest = max(len(dims) for dims in levels)
+    aggs = []
+    for i in range(widest):
+        lo, hi = F.get("lo", F.lit(i)), F.get("hi", F.lit(i))
+        aggs += [
+            F.min(lo).alias(f"blo{i}"), F.max(hi).alias(f"bhi{i}"),
+            F.min(F.when(F.col("seeks"), lo)).alias(f"alo{i}"), F.max(F.when(F.col("seeks"), hi)).alias(f"ahi{i}"),
+        ]
+    return cut_lineage(long.groupBy("level", "parent", "node", "bucket").agg(F.max("seeks").alias("seeks"), *aggs))
+
+
+def _cell_pairs(cells: DataFrame, vectors: Vectors, eps: float) -> DataFrame:
+    """(a, b, near, far): cells and the squared bounds on their distance, for every
+    seeking cell ``a`` and every cell ``b`` that may lie within ``eps``."""
+    levels = _levels(vectors)
+    reach = math.ceil(eps / vectors.side) + 2
+    nodes = _nodes(cells, vectors, levels, reach)
+    limit = eps * eps * (1 + _SLACK)
+    pairs = cells.sparkSession.createDataFrame([("", "", 0.0, 0.0)], "a string, b string, near double, far double")
+    for k, dims in enumerate(levels):
+        mine = nodes.filter((F.col("level") == k) & F.col("seeks")).select(
+            F.col("parent").alias("a"), F.col("node").alias("a_node"),
+            F.explode(F.array(*[F.col("bucket") + i for i in (-1, 0, 1)])).alias("bucket"),
+            *[F.col(f"a{s}{i}") for i in range(len(dims)) for s in ("lo", "hi")],
+        )
+        theirs = nodes.filter(F.col("level") == k).select(
+            F.col("parent").alias("b"), F.col("node").alias("b_node"), "bucket",
+            *[F.col(f"b{s}{i}") for i in range(len(dims)) for s in ("lo", "hi")],
+        )
+        gaps = [
+            F.greatest(F.col(f"blo{i}") - F.col(f"ahi{i}"), F.col(f"alo{i}") - F.col(f"bhi{i}"), F.lit(0.0))
+            for i in range(len(dims))
+        ]
+        spans = [
+            F.greatest(F.col(f"bhi{i}") - F.col(f"alo{i}"), F.col(f"ahi{i}") - F.col(f"blo{i}"))
+            for i in range(len(dims))
+        ]
+        pairs = pairs.join(mine, "a").join(theirs, ["b", "bucket"]).select(
+            F.col("a_node").alias("a"), F.col("b_node").alias("b"),
+            (F.col("near") + reduce(add, [g * g for g in gaps])).alias("near"),
+            (F.col("far") + reduce(add, [s * s for s in spans])).alias("far"),
+        ).filter(F.col("near") <= limit)
+    return _named(pairs, vectors, levels)
 
 
-def _pairs(seekers: DataFrame, others: DataFrame, dims: list[int], eps: float, names: list[str], how: str = "inner"):
-    """Join seekers ``x*`` to others ``y*`` within ``eps``, through the grid.
+def _named(pairs: DataFrame, vectors: Vectors, levels: list[list[int]]) -> DataFrame:
+    """Node names list the dimensions level by level; cell names list them in order."""
+    place = {d: i for i, d in enumerate(d for dims in levels for d in dims)}
 
-    Each pair meets once, in the home cell of the other vector.
-    """
-    side, reach = 2 * eps, eps * (1 + 1e-9)
-    home = {f"g{d}": F.floor(F.col(f"x{d}") / side) for d in dims}
-    others = others.withColumns(home) if home else others
-    others = others.select(
-        *home, F.col("v").alias("other"),
-        *[F.col(c).alias(c.replace("x", "y", 1)) for c in names],
-        *[c for c in others.columns if c not in {*names, *home, "v", "first_key"}],
-    )
-    for d in dims:
-        low, high = F.floor((F.col(f"x{d}") - reach) / side), F.floor((F.col(f"x{d}") + reach) / side)
-        seekers = seekers.withColumn(f"g{d}", F.explode(F.sequence(low, high)))
-    near = _distance2(names) <= eps * eps
-    on = near
-    for d in dims:
-        on = (seekers[f"g{d}"] == others[f"g{d}"]) & on
-    return seekers.join(others, on, how)
+    def renamed(c: str) -> Column:
+        parts = F.split(F.col(c), ",")
+        return F.concat_ws(",", *[F.get(parts, F.lit(place[d])) for d in range(vectors.width)]).alias(c)
+
+    return pairs.select(renamed("a"), renamed("b"), "near", "far")
+
+
+def _whole(eps: float) -> Column:
+    """All vectors of both cells lie within ``eps``."""
+    return F.col("far") <= eps * eps * (1 - _SLACK)
+
+
+def _open(eps: float) -> Column:
+    """The cells' bounds do not decide; vectors must be compared."""
+    return ~_whole(eps) & (F.col("near") <= eps * eps * (1 + _SLACK))
 
 
 def _distance2(names: list[str]) -> Column:
-    terms = [(F.col(c) - F.col(c.replace("x", "y", 1))) * (F.col(c) - F.col(c.replace("x", "y", 1))) for c in names]
-    out = terms[0]
-    for t in terms[1:]:
-        out = out + t
-    return out
+    return reduce(add, [(F.col(c) - F.col(f"y_{c}")) * (F.col(c) - F.col(f"y_{c}")) for c in names])
+
+
+def _compare(pairs: DataFrame, seekers: DataFrame, others: DataFrame, names: list[str]) -> DataFrame:
+    """Seekers beside the vectors of the cells they must be compared with."""
+    theirs = others.select(
+        F.col("cell").alias("b"), *[F.col(c).alias(f"y_{c}") for c in names],
+        *[c for c in others.columns if c not in {"cell", "v", *names}],
+    )
+    return seekers.select(F.col("cell").alias("a"), "v", *names).join(pairs, "a").join(theirs, "b")
 
 
 @dataclass(frozen=True)
 class DbscanRun:
-    """Vectors with 0/1 ``core_{setting}`` and ``noise_{setting}`` columns."""
+    """Vectors with 0/1 ``core_{s}`` and ``noise_{s}`` per setting, and the cell pairs."""
 
     vectors: Vectors
     flags: DataFrame
-    settings: list[tuple[float, int]]
-    dims: list[int]
+    pairs: DataFrame
+    settings: Settings
 
     def outliers(self) -> list[int]:
-        sums = [F.coalesce(F.sum(F.col(f"noise_{s}") * F.col("w")), F.lit(0)) for s in range(len(self.settings))]
-        return [int(v) for v in self.flags.agg(*[c.alias(f"n{i}") for i, c in enumerate(sums)]).first()]
-
-
-def _crowded(vectors: Vectors, eps: float, least: int) -> DataFrame:
-    """Vectors in a small cell, of diagonal at most ``eps``, that holds ``least`` rows."""
-    side = eps / math.sqrt(vectors.width) * (1 - 1e-9)
-    small = {f"m{i}": F.floor(F.col(c) / side) for i, c in enumerate(vectors.names)}
-    placed = vectors.table.withColumns(small)
-    cells = placed.groupBy(*small).agg(F.sum("w").alias("_cell"), F.count(F.lit(1)).alias("_members"))
-    # a lone vector needs no cell: its own weight already tells
-    cells = cut_lineage(cells.filter((F.col("_cell") >= least) & (F.col("_members") > 1)).select(*small))
-    kept = placed.join(sized(cells, cells.count(), 8 * vectors.width), list(small), "left_semi")
-    return kept.select("v", F.lit(True).alias("_crowded"))
+        sums = [
+            F.coalesce(F.sum(F.col(f"noise_{s}") * F.col("w")), F.lit(0)).alias(f"n{s}")
+            for s in range(len(self.settings.pairs))
+        ]
+        return [int(n) for n in self.flags.agg(*sums).first()]
 
 
-def find_noise(df: DataFrame, features: list[str], settings: list[tuple[float, int]],
-               key_cols: list[str] | None = None) -> DbscanRun:
-    """Core and noise flags for every (eps, min_samples), from two neighbour joins.
+def find_noise(
+    df: DataFrame, features: list[str], settings: list[tuple[float, int]],
+    key_cols: list[str] | None = None, pair_all: bool = False,
+) -> DbscanRun:
+    """Core and noise flags for every (eps, min_samples), from one set of cell pairs.
 
-    The joins use the widest radius; narrower ones are conditional sums. A row
-    is core with at least ``min_samples`` rows, itself included, within eps, and
-    noise when it neither is core nor has a core row within eps.
+    A row is core with at least ``min_samples`` rows, itself included, within
+    eps, and noise when it neither is core nor has a core row within eps. Cells
+    whose own weight makes them core seek nothing unless ``pair_all``.
     """
-    vectors = weigh(df, features, key_cols)
+    tried = Settings(settings)
+    radii = tried.radii
+    side = radii[0] / math.sqrt(len(features)) * (1 - 1e-6)
+    vectors = weigh(df, features, side, key_cols)
     names = vectors.names
-    radii = sorted({e for e, _ in settings})
-    widest, most = radii[-1], max(m for _, m in settings)
-    dims = _grid_dims(vectors, widest)
+    cells = _cells(vectors, tried.most)
+    cells = cells.withColumn("seeks", F.lit(True) if pair_all else ~F.col("sure"))
+    pairs = cut_lineage(_cell_pairs(cells, vectors, radii[-1]))
+    undecided = reduce(lambda p, q: p | q, [_open(e) for e in radii])
+    unclear = pairs.filter(undecided)
+
+    weights = cells.select(F.col("cell").alias("b"), "W")
+    whole = pairs.filter(_whole(radii[-1])).join(weights, "b").groupBy(F.col("a").alias("cell")).agg(
+        *[F.sum(F.when(_whole(e), F.col("W"))).alias(f"whole_{i}") for i, e in enumerate(radii)]
+    )
+    placed = vectors.table.join(cells.select("cell", "sure"), "cell")
+    met = _compare(unclear, placed.filter(~F.col("sure")), vectors.table.select("cell", "v", "w", *names), names)
     distance = _distance2(names)
-    crowd = _crowded(vectors, radii[0], most)
-    known = vectors.table.join(crowd, "v", "left").withColumn(
-        "_sure", F.coalesce("_crowded", F.lit(False)) | (F.col("w") >= most)
-    ).drop("_crowded")
-    known = cut_lineage(known)
-    met = _pairs(
-        known.filter(~F.col("_sure")).select("v", *names), known.select("v", "w", *names), dims, widest, names
+    single = met.groupBy("v").agg(
+        *[F.sum(F.when(_open(e) & (distance <= e * e), F.col("w"))).alias(f"single_{i}") for i, e in enumerate(radii)]
     )
-    within = {e: F.sum(F.when(distance <= e * e, F.col("w"))).alias(f"n_{i}") for i, e in enumerate(radii)}
-    counts = met.groupBy("v").agg(*within.values())
-    scored = known.join(counts, "v", "left")
-    cores = {
-        f"core_{s}": (F.col("_sure") | (F.coalesce(F.col(f"n_{radii.index(e)}"), F.lit(0)) >= m)).cast("int")
-        for s, (e, m) in enumerate(settings)
-    }
-    cored = cut_lineage(scored.withColumns(cores).drop("_sure", *[f"n_{i}" for i in range(len(radii))]))
-    loose = cored.filter(F.least(*cores, F.lit(1)) == 0).select("v", *names)
-    anchors = cored.filter(F.greatest(*cores, F.lit(0)) == 1).select("v", *names, *cores)
-    reach = _pairs(loose, anchors, dims, widest, names)
-    reached = reach.groupBy("v").agg(
+    counted = placed.join(whole, "cell", "left").join(single, "v", "left")
+    cores = {}
+    for s, (e, m) in enumerate(settings):
+        i = radii.index(e)
+        n = F.coalesce(f"whole_{i}", F.lit(0)) + F.coalesce(f"single_{i}", F.lit(0))
+        cores[f"core_{s}"] = (F.col("sure") | (n >= m)).cast("int")
+    extra = [c for p in ("whole", "single") for c in (f"{p}_{i}" for i in range(len(radii)))]
+    cored = cut_lineage(counted.withColumns(cores).drop("sure", *extra))
+
+    anchors = cored.filter(F.greatest(*cores, F.lit(0)) == 1)
+    anchored = anchors.groupBy(F.col("cell").alias("b")).agg(*[F.max(c).alias(c) for c in cores])
+    near_core = pairs.join(anchored, "b").groupBy(F.col("a").alias("cell")).agg(
+        *[F.max(F.when(_whole(e), F.col(f"core_{s}"))).alias(f"whole_{s}") for s, (e, _) in enumerate(settings)]
+    )
+    loose = cored.filter(F.least(*cores, F.lit(1)) == 0)
+    met = _compare(unclear, loose, anchors.select("cell", "v", *names, *cores), names)
+    reached = met.groupBy("v").agg(
         *[
-            F.max(F.when((distance <= e * e) & (F.col(f"core_{s}") == 1), 1).otherwise(0)).alias(f"reached_{s}")
+            F.max(F.when(_open(e) & (distance <= e * e), F.col(f"core_{s}"))).alias(f"single_{s}")
             for s, (e, _) in enumerate(settings)
         ]
     )
+    joined = cored.join(near_core, "cell", "left").join(reached, "v", "left")
     noise = {
-        f"noise_{s}": F.when((F.col(f"core_{s}") == 0) & (F.coalesce(f"reached_{s}", F.lit(0)) == 0), 1).otherwise(0)
+        f"noise_{s}": F.when(
+            F.greatest(F.col(f"core_{s}"), f"whole_{s}", f"single_{s}") == 0, 1
+        ).otherwise(0)
         for s in range(len(settings))
     }
-    flags = cored.join(reached, "v", "left").withColumns(noise).drop(*[f"reached_{s}" for s in range(len(settings))])
-    return DbscanRun(vectors, cut_lineage(flags), settings, dims)
+    extra = [c for p in ("whole", "single") for c in (f"{p}_{s}" for s in range(len(settings)))]
+    return DbscanRun(vectors, cut_lineage(joined.withColumns(noise).drop(*extra)), pairs, tried)
 
 
 def _to_rows(df: DataFrame, features: list[str], key_cols: list[str], marks: DataFrame, n: int, out: str) -> DataFrame:
@@ -207,18 +308,21 @@ def _to_rows(df: DataFrame, features: list[str], key_cols: list[str], marks: Dat
     return rows.join(sized(marks, n, 8 * (len(names) + 1)), names, "left").select(*key_cols, out)
 
 
-def noise_rows(df: DataFrame, features: list[str], run: DbscanRun, setting: int,
-               key_cols: list[str] | None = None, out: str = "DBSCAN") -> DataFrame:
+def noise_rows(
+    df: DataFrame, features: list[str], run: DbscanRun, setting: int = 0,
+    key_cols: list[str] | None = None, out: str = "DBSCAN",
+) -> DataFrame:
     """Row key and 0/1 noise flag. Noise vectors have few copies, so none is hot."""
-    marks = run.flags.filter(F.col(f"noise_{setting}") == 1).select(*run.vectors.names, F.lit(1).alias(out))
-    n = run.flags.filter(F.col(f"noise_{setting}") == 1).count()
-    return _to_rows(df, features, key_cols or KEY_COLS, marks, n, out).fillna({out: 0})
+    found = run.flags.filter(F.col(f"noise_{setting}") == 1)
+    marks = found.select(*run.vectors.names, F.lit(1).alias(out))
+    return _to_rows(df, features, key_cols or KEY_COLS, marks, found.count(), out).fillna({out: 0})
 
 
-def dbscan_noise(df: DataFrame, features: list[str], eps: float = 0.5, min_samples: int = 5,
-                 key_cols: list[str] | None = None, out: str = "DBSCAN") -> DataFrame:
-    run = find_noise(df, features, [(eps, min_samples)])
-    return noise_rows(df, features, run, 0, key_cols, out)
+def dbscan_noise(
+    df: DataFrame, features: list[str], eps: float = DEFAULT[0], min_samples: int = DEFAULT[1],
+    key_cols: list[str] | None = None, out: str = "DBSCAN",
+) -> DataFrame:
+    return noise_rows(df, features, find_noise(df, features, [(eps, min_samples)]), 0, key_cols, out)
 
 
 @dataclass(frozen=True)
@@ -248,35 +352,40 @@ def dbscan_search(
     return DbscanSearch(runs, settings[best], run, best)
 
 
-def dbscan_clusters(df: DataFrame, features: list[str], eps: float = 0.5, min_samples: int = 5,
-                    key_cols: list[str] | None = None, out: str = "cluster") -> DataFrame:
+def dbscan_clusters(
+    df: DataFrame, features: list[str], eps: float = DEFAULT[0], min_samples: int = DEFAULT[1],
+    key_cols: list[str] | None = None, out: str = "cluster",
+) -> DataFrame:
     """Row key and cluster number, -1 for noise.
 
     Clusters are numbered from 0 by their least core row key, and a border row
     joins its lowest-numbered neighbour, as a scan in key order would find them.
-    Core vectors sharing a small cell are one node of the component search, so
-    its edges link cells, not rows.
+    The core rows of a cell are neighbours, so the component search runs on
+    cells.
     """
     key_cols = key_cols or KEY_COLS
-    run = find_noise(df, features, [(eps, min_samples)], key_cols)
-    names, dims = run.vectors.names, run.dims
-    side = eps / math.sqrt(len(names)) * (1 - 1e-9)
-    small = [F.floor(F.col(c) / side).alias(f"m{i}") for i, c in enumerate(names)]
-    core = run.flags.filter(F.col("core_0") == 1).select("v", "first_key", *names, *small)
-    cell = [f"m{i}" for i in range(len(names))]
-    nodes = cut_lineage(core.groupBy(*cell).agg(F.min("v").alias("node")))
-    core = cut_lineage(core.join(nodes, cell).drop(*cell))
-    met = _pairs(
-        core.select("v", F.col("node").alias("a"), *names),
-        core.select("v", F.col("node").alias("b"), *names), dims, eps, names,
-    )
-    edges = met.filter(F.col("a") < F.col("b")).select("a", "b").distinct()
-    parts = connected_components(nodes.select("node"), edges)
-    core = cut_lineage(core.join(parts, "node"))
-    firsts = core.groupBy("component").agg(F.min("first_key").alias("first_key"))
+    run = find_noise(df, features, [(eps, min_samples)], key_cols, pair_all=True)
+    names, distance = run.vectors.names, _distance2(run.vectors.names)
+    core = run.flags.filter(F.col("core_0") == 1)
+    nodes = cut_lineage(core.groupBy("cell").agg(F.min("v").alias("node"), F.min("first_key").alias("first_key")))
+    named = run.pairs.join(nodes.select(F.col("cell").alias("a"), F.col("node").alias("na")), "a").join(
+        nodes.select(F.col("cell").alias("b"), F.col("node").alias("nb")), "b"
+    ).filter("na < nb")
+    whole = named.filter(_whole(eps)).select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    met = _compare(named.filter(_open(eps)), core, core.select("cell", "v", *names), names)
+    single = met.filter(distance <= eps * eps).select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    parts = connected_components(nodes.select("node"), whole.unionByName(single).distinct())
+    members = cut_lineage(nodes.join(parts, "node"))
+    firsts = members.groupBy("component").agg(F.min("first_key").alias("first_key"))
     numbered = number_rows(firsts, ["first_key"], out).select("component", out)
-    labelled = cut_lineage(core.join(numbered, "component").select("v", *names, out))
-    loose = run.flags.filter((F.col("core_0") == 0) & (F.col("noise_0") == 0)).select("v", *names)
-    border = _pairs(loose, labelled, dims, eps, names).groupBy("v", *names).agg(F.min(out).alias(out))
-    marks = cut_lineage(labelled.select(*names, out).unionByName(border.select(*names, out)))
+    labels = cut_lineage(members.join(numbered, "component").select("cell", out))
+
+    loose = run.flags.filter((F.col("core_0") == 0) & (F.col("noise_0") == 0))
+    touched = run.pairs.join(labels.withColumnRenamed("cell", "b"), "b")
+    by_cell = touched.filter(_whole(eps)).groupBy(F.col("a").alias("cell")).agg(F.min(out).alias("_whole"))
+    met = _compare(touched.filter(_open(eps)), loose, core.select("cell", "v", *names), names)
+    by_vector = met.filter(distance <= eps * eps).groupBy("v").agg(F.min(out).alias("_single"))
+    border = loose.join(by_cell, "cell", "left").join(by_vector, "v", "left")
+    border = border.select(*names, F.least("_whole", "_single").alias(out))
+    marks = cut_lineage(core.join(labels, "cell").select(*names, out).unionByName(border))
     return _to_rows(df, features, key_cols, marks, marks.count(), out).fillna({out: -1})
