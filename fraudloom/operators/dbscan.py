@@ -178,7 +178,8 @@ def _cell_pairs(cells: DataFrame, vectors: Vectors, eps: float) -> DataFrame:
             F.greatest(F.col(f"bhi{i}") - F.col(f"alo{i}"), F.col(f"ahi{i}") - F.col(f"blo{i}"))
             for i in range(len(dims))
         ]
-        pairs = pairs.join(mine, "a").join(theirs, ["b", "bucket"]).select(
+        # a level multiplies the pairs, so they are dealt out again before it
+        pairs = pairs.repartition("a").join(mine, "a").join(theirs, ["b", "bucket"]).select(
             F.col("a_node").alias("a"), F.col("b_node").alias("b"),
             (F.col("near") + reduce(add, [g * g for g in gaps])).alias("near"),
             (F.col("far") + reduce(add, [s * s for s in spans])).alias("far"),
