@@ -125,10 +125,9 @@ def register_users(users: DataFrame, requests: DataFrame) -> tuple[DataFrame, Da
     refused = [
         _refuse(unnamed, BLANK_USER),
         _refuse(filled.join(names, "username", "left_semi"), USERNAME_TAKEN),
-        _refuse(free.join(mails, "email", "left_semi"), EMAIL_TAKEN),
     ]
     open_ = cut_lineage(free.join(mails, "email", "left_anti").select(*requests.columns))
-    accepted, clashing = [open_.limit(0)], [open_.limit(0)]
+    accepted, clashing = [open_.limit(0)], [free.join(mails, "email", "left_semi")]
     while True:
         by_name = open_.groupBy("username").agg(F.min("request_id").alias("first_u"))
         by_mail = open_.groupBy("email").agg(F.min("request_id").alias("first_e"))

@@ -101,9 +101,8 @@ def forest_report(
     source: DataFrame, as_of: date, contamination: float = 0.01, n_estimators: int = 200, seed: int = 42
 ) -> Report:
     """Fit, flag, count suspicious patterns and explain the flagged rows."""
-    model, raw = feature_sets.fit(source, feature_sets.FOREST, as_of)
-    rows = model.finish(raw)
-    forest = isolation_forest_fit(rows, model.features, n_estimators, "auto", True, seed)
+    rows, names = _prepared(source, feature_sets.FOREST, as_of)
+    forest = isolation_forest_fit(rows, names, n_estimators, "auto", True, seed)
     scored = cut_lineage(isolation_forest_score(forest, rows))
     scored = flags.contamination_flag(scored, "anomaly_score", contamination)
     measured = add_group_features(
@@ -115,16 +114,16 @@ def forest_report(
     flagged = cut_lineage(
         flags.attach_flags(measured.withColumn("card_expiry_months", expiry).drop("email_domain"), scored, KEY_COLS)
     )
-    names = [*FOREST_FEATURES, "card_expiry_months"]
+    shown = [*FOREST_FEATURES, "card_expiry_months"]
     return Report(
         {
             "summary": reports.fraud_rate_summary(flagged, "fraud_flag"),
             "suspicious_patterns": reports.suspicious_patterns(source),
-            "normal_vs_flagged": reports.normal_vs_flagged(flagged, "fraud_flag", names),
+            "normal_vs_flagged": reports.normal_vs_flagged(flagged, "fraud_flag", shown),
             "unusual_categories": reports.unusual_categories(
                 flagged, "fraud_flag", ["address_state", "address_city", "address_country"]
             ),
-            "flagged_with_analysis": reports.deviation_scores(flagged, "fraud_flag", names),
+            "flagged_with_analysis": reports.deviation_scores(flagged, "fraud_flag", shown),
         }
     )
 

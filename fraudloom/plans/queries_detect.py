@@ -22,16 +22,15 @@ def scaled_rows(spark, sf, spec=feature_sets.COMPARISON10):
 
 @query("isolation_forest_fit")
 def isolation_forest_fit(spark, sf):
-    model, raw = feature_sets.fit(transactions(spark, sf), feature_sets.FOREST, AS_OF)
-    forest = iforest.isolation_forest_fit(model.finish(raw), model.features, 200, "auto", True, SEED)
+    rows, names = scaled_rows(spark, sf, feature_sets.FOREST)
+    forest = iforest.isolation_forest_fit(rows, names, 200, "auto", True, SEED)
     return spark.createDataFrame(forest.nodes, iforest._NODE_SCHEMA)
 
 
 @query("isolation_forest_score")
 def isolation_forest_score(spark, sf):
-    model, raw = feature_sets.fit(transactions(spark, sf), feature_sets.FOREST, AS_OF)
-    rows = model.finish(raw)
-    forest = iforest.isolation_forest_fit(rows, model.features, 200, "auto", True, SEED)
+    rows, names = scaled_rows(spark, sf, feature_sets.FOREST)
+    forest = iforest.isolation_forest_fit(rows, names, 200, "auto", True, SEED)
     scored = cut_lineage(iforest.isolation_forest_score(forest, rows))
     return flags.contamination_flag(scored, "anomaly_score", 0.01)
 

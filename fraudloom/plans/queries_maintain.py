@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fraudloom.functions import text
 from fraudloom.operators import maintain, validate
-from fraudloom.plans.oracle_views import VIEWS, with_views
+from fraudloom.plans.oracle_views import with_views
 from fraudloom.plans.queries_shop import _display_sql
 from fraudloom.plans.registry import AS_OF, query
 from fraudloom.sources import fixtures as fx
@@ -220,8 +220,7 @@ def _round(i):
        WHERE username NOT IN (SELECT username FROM lead{i}) AND email NOT IN (SELECT email FROM lead{i}))"""
 
 
-@query("register_users", with_views(
-    "SELECT request_id, reason FROM verdict", "shop_users").replace("SELECT request_id, reason FROM verdict", "")
+@query("register_users", with_views("", "shop_users").rstrip()
     + f""", r AS ({_REGISTER}),
     early AS (SELECT *, CASE WHEN coalesce(username, '') = '' OR coalesce(email, '') = '' THEN '{M.BLANK_USER}'
        WHEN username IN (SELECT username FROM shop_users) THEN '{M.USERNAME_TAKEN}'
@@ -230,7 +229,7 @@ def _round(i):
        min(request_id) OVER (PARTITION BY email) AS first_e FROM early WHERE reason IS NULL)"""
     + "".join(_round(i) for i in range(6))
     + ", taken AS (" + " UNION ALL ".join(f"SELECT request_id, username FROM lead{i}" for i in range(6)) + ")"
-    + f""" SELECT e.request_id, CASE WHEN e.reason IS NOT NULL THEN e.reason
+    + f""" SELECT e.request_id, CASE WHEN e.reason <> '{M.EMAIL_TAKEN}' THEN e.reason
        WHEN e.request_id IN (SELECT request_id FROM taken) THEN NULL
        WHEN t.request_id < e.request_id THEN '{M.USERNAME_TAKEN}' ELSE '{M.EMAIL_TAKEN}' END AS reason
     FROM early e LEFT JOIN taken t ON t.username = e.username""")

@@ -47,8 +47,9 @@ def fit_detector(
     n_estimators: int = 200, bootstrap: bool = True, seed: int = 42,
 ) -> Detector:
     model, raw = fit(df, spec, as_of)
-    rows = model.finish(raw)
-    forest = isolation_forest_fit(rows.dropna(), model.features, n_estimators, "auto", bootstrap, seed, model.row_key)
+    rows = cut_lineage(model.finish(raw))
+    complete = clean.drop_incomplete(rows, model.features)
+    forest = isolation_forest_fit(complete, model.features, n_estimators, "auto", bootstrap, seed, model.row_key)
     scored = cut_lineage(isolation_forest_score(forest, rows, model.row_key))
     return Detector(
         model, forest, exact_percentile(scored, "anomaly_score", contamination),
