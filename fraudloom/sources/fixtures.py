@@ -105,7 +105,8 @@ def shop_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").withColumn("ts", table(spark, sf_dir, "events")["ts"].cast("timestamp"))
+    df = table(spark, sf_dir, "events")
+    return df.withColumn("ts", df["ts"].cast("timestamp"))
 
 
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import time
 import uuid
 from datetime import date, datetime
 
@@ -36,12 +37,12 @@ def test_stream_equals_batch(spark, sf_dir, kind):
 
 
 def test_late_rows_are_dropped(spark, tmp_path):
+    # the watermark of one batch judges the rows of the next but one
     schema = "ts timestamp, user_id long"
-    for i, hour in enumerate([1, 9, 1, 12]):
+    for i, hour in enumerate([1, 9, 10, 1, 14]):
         day = datetime(2024, 1, 1, hour)
         spark.createDataFrame([(day, 1)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        if i < 3:
-            import time
+        if i < 4:
             time.sleep(1.1)  # files are read in the order of their times
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = run(velocity.velocity(stream, length="1 hour", slide=None, watermark="1 hour"))
