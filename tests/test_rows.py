@@ -101,13 +101,13 @@ def test_tables_and_dump(spark, cards, tmp_path):
     path = tmp_path / "dump.json"
     path.write_text(json.dumps([
         {"model": "product.product", "pk": 7, "fields": {"name": "Watch", "price": "399.99", "stock": True}},
-        {"model": "account.stripemodel", "pk": 1, "fields": {"card_number": "0042", "user": 3}},
+        {"model": "account.card", "pk": 1, "fields": {"card_number": "0042", "user": 3}},
         {"model": "auth.permission", "pk": 1, "fields": {}},
     ], indent=4))
     tables = readers.read_model_dump(
-        spark, str(path), {"product.product": PRODUCT, "account.stripemodel": CARD, "auth.permission": CARD}
+        spark, str(path), {"product.product": PRODUCT, "account.card": CARD, "auth.permission": CARD}
     )
-    assert set(tables) == {"product.product", "account.stripemodel"}
+    assert set(tables) == {"product.product", "account.card"}
     assert float(tables["product.product"].first()["price"]) == 399.99
-    card = tables["account.stripemodel"].first()
+    card = tables["account.card"].first()
     assert (card["card_number"], card["user_id"]) == ("0042", 3)
