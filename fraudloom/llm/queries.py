@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fraudloom.llm import decontaminate, minhash_hamming, quality_rules, wfst_pieces
+from fraudloom.llm import decontaminate, minhash_hamming, quality_rules, secret_scan, wfst_pieces
 from fraudloom.llm.common import table
 
 QUERIES: dict = {}
@@ -128,3 +128,13 @@ def op10_sentencepiece_wfst(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found, name = wfst_pieces.encoded_digests(docs)
     return found.select("doc_id", f"{name}.*")
+
+
+@query()
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, name = secret_scan.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter(F.col(name), lambda s: s["rank"] < 3)
+    counts = [F.size(F.filter(F.col(name), lambda s, r=r: s["rank"] == r)).cast("long").alias(f"n_{k}") for r, k in enumerate(secret_scan.KINDS)]
+    return found.select(
+        "doc_id", *counts, F.sha2(secret_scan.spelled(base), 256).alias("base_sha256"), secret_scan.spelled(F.col(name)).alias("spans")
+    )
