@@ -5,8 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fraudloom.llm import decontaminate, minhash_hamming, quality_rules, secret_scan, wfst_pieces
-from fraudloom.llm.common import table
+from fraudloom.llm import (
+    decontaminate,
+    license_join,
+    minhash_hamming,
+    packed_ids,
+    pu_quality,
+    quality_rules,
+    secret_scan,
+    suffix_dedup,
+    toxicity,
+    wfst_pieces,
+)
+from fraudloom.llm.common import held_out, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -138,3 +149,45 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *counts, F.sha2(secret_scan.spelled(base), 256).alias("base_sha256"), secret_scan.spelled(F.col(name)).alias("spans")
     )
+
+
+@query()
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query()
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, p, b = license_join.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base, matches = F.col(f"{p}.base_labels"), F.col(f"{b}.matches")
+    labels = F.array_sort(F.array_union(base, F.transform(matches, lambda m: m["label"])))
+    best = F.array_max(F.transform(matches, lambda m: m["shared"] / m["size"]))
+    return found.select(
+        "doc_id", *(F.col(f"{p}.{c}").alias(c) for c in ("n_words", "n_base", "first_word", "last_word")),
+        F.array_join(base, ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"),
+        F.when(F.size(base) > 0, 1.0).otherwise(F.coalesce(best, F.lit(0.0))).alias("score"),
+    )
+
+
+@query()
+def op7_packed_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_ids.encoded_digests(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = pu_quality.train(docs, table(spark, sf_dir, "labels"))
+    scored, name = pu_quality.score(docs, model)
+    score = F.col(f"{name}.score")
+    return scored.select("doc_id", held_out().alias("held_out"), score.alias("score"), (score >= 0.3).cast("int").alias("predicted"))
+
+
+@query()
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored, name = toxicity.score(docs, model)
+    score = F.col(f"{name}.score")
+    return scored.select("doc_id", held_out().alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
