@@ -3,8 +3,9 @@
 Training is data-parallel. Rows are hashed into a fixed number of shards, each
 epoch every shard streams its Arrow batches through Adam from the shared
 weights, and the shards' weights and moments are averaged by rows. The driver
-sees a few thousand weights per shard, never rows. Shards depend on the row key
-and the counted size only, so results do not change with the cluster.
+sees one such vector per epoch, summed on the executors, never rows. The number
+of shards is a setting, so results change neither with the table's size nor with
+the cluster; choose it by the rows that one task should pass per epoch.
 """
 
 from __future__ import annotations
@@ -17,15 +18,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fraudloom.operators.flags import validation_split
 from fraudloom.schemas import KEY_COLS
 
-MAX_SHARDS = 1024
-ROWS_PER_SHARD = 250_000
-MIN_SHARDS = 8
+SHARDS = 8
 
 
 @dataclass(frozen=True)
@@ -148,20 +147,15 @@ def _gradient(flat: np.ndarray, shapes, x: np.ndarray, net: Network, rng) -> tup
     return grad, loss
 
 
-def _shards(n: int) -> int:
-    return int(min(MAX_SHARDS, max(MIN_SHARDS, -(-n // ROWS_PER_SHARD))))
-
-
 def autoencoder_fit(
     df: DataFrame, features: list[str], network: Network = PLAIN, seed: int = 42,
-    key_cols: list[str] | None = None, shards: int | None = None,
+    key_cols: list[str] | None = None, shards: int = SHARDS,
 ) -> Autoencoder:
-    """Train on the complete rows of ``df``."""
+    """Train on the complete rows of ``df``. Other ``shards`` give another, equally valid, model."""
     key_cols = key_cols or KEY_COLS
     net, width = network, len(features)
     shapes = _shapes(width, net.hidden)
     rows = validation_split(df.dropna(subset=features), key_cols, net.validation, seed + 1)
-    shards = shards or _shards(rows.count())
     order = F.xxhash64(F.lit(seed), *key_cols)
     sharded = (
         rows.select(
@@ -185,13 +179,13 @@ def autoencoder_fit(
             last = epoch == net.epochs
             parts = sharded.mapInArrow(
                 _epoch(shared, shapes, net, seed, epoch, width, learn=not last),
-                "n long, steps long, loss double, v_n long, v_loss double, state array<double>",
-            ).collect()
+                "shard int, n long, steps long, loss double, v_n long, v_loss double, state array<double>",
+            )
+            total = _summed(parts)
             shared.destroy()
-            checked = sum(p["v_n"] for p in parts)
-            if epoch and checked:
+            if epoch and total["v_n"]:
                 # validation ran on the weights this epoch started from
-                value = sum(p["v_loss"] for p in parts) / checked
+                value = total["v_loss"] / total["v_n"]
                 history[-1]["val_loss"] = value
                 if value < best - net.min_delta:
                     best, waited, best_weights = value, 0, state[:size].copy()
@@ -199,19 +193,36 @@ def autoencoder_fit(
                     waited += 1
                 if net.patience is not None and waited >= net.patience:
                     break
-            trained = [p for p in parts if p["n"]]
-            if last or not trained:
+            if last or not total["n"]:
                 break
-            n = sum(p["n"] for p in trained)
-            state = sum(np.array(p["state"]) * (p["n"] / n) for p in trained)
-            step += max(p["steps"] for p in trained)
-            history.append({"epoch": epoch, "loss": sum(p["loss"] for p in trained) / n, "val_loss": None})
+            state = total["state"] / total["n"]
+            step += total["steps"]
+            history.append({"epoch": epoch, "loss": total["loss"] / total["n"], "val_loss": None})
     finally:
         sharded.unpersist()
     weights = best_weights if net.restore_best and best_weights is not None else state[:size]
     return Autoencoder(list(features), net, weights, history)
 
 
+_NUMBERS = ("n", "loss", "v_n", "v_loss")
+
+
+def _summed(parts: DataFrame) -> dict:
+    """Sums over shards, states weighted by rows, added on the executors in order of the shards."""
+
+    def ordered(values) -> Column:
+        by_shard = F.array_sort(F.collect_list(F.struct("shard", values.alias("v"))))
+        return F.aggregate(by_shard, F.lit(0.0), lambda s, x: s + x["v"])
+
+    numbers = F.array(*[F.col(c).cast("double") for c in _NUMBERS])
+    flat = F.concat(numbers, F.transform("state", lambda x: x * F.col("n")))
+    long = parts.select("shard", "steps", F.posexplode(flat).alias("at", "x"))
+    rows = long.groupBy("at").agg(ordered(F.col("x")).alias("x"), F.max("steps").alias("steps")).collect()
+    values = [r["x"] for r in sorted(rows, key=lambda r: r["at"])]
+    out = dict(zip(_NUMBERS, values)) if rows else dict.fromkeys(_NUMBERS, 0.0)
+    return out | {"state": np.array(values[len(_NUMBERS):]), "steps": rows[0]["steps"] if rows else 0}
+
+
 def _epoch(shared, shapes, net: Network, seed: int, epoch: int, width: int, learn: bool):
     """One partition's pass: validation loss of the given weights, then training."""
 
@@ -223,14 +234,15 @@ def _epoch(shared, shapes, net: Network, seed: int, epoch: int, width: int, lear
         start = [(w.copy(), b.copy()) for w, b in _unpack(weights, shapes)]
         n = steps = v_n = 0
         loss = v_loss = 0.0
-        rng = None
+        rng, shard = None, -1
         for batch in batches:
             if not batch.num_rows:
                 continue
+            shard = batch.column(0)[0].as_py()
             x = np.column_stack([batch.column(i + 2).to_numpy(zero_copy_only=False) for i in range(width)])
             held = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             if rng is None:
-                rng = np.random.default_rng([seed, epoch, batch.column(0)[0].as_py()])
+                rng = np.random.default_rng([seed, epoch, shard])
             if held.any():
                 acts, _ = _forward(start, x[held], net)
                 v_n += int(held.sum())
@@ -253,9 +265,9 @@ def _epoch(shared, shapes, net: Network, seed: int, epoch: int, width: int, lear
                 loss += value * len(part)
             n += len(x)
         yield pa.RecordBatch.from_pylist(
-            [{"n": n, "steps": steps, "loss": loss, "v_n": v_n, "v_loss": v_loss, "state": state.tolist()}],
+            [{"shard": shard, "n": n, "steps": steps, "loss": loss, "v_n": v_n, "v_loss": v_loss, "state": state.tolist()}],
             schema=pa.schema(
-                [("n", pa.int64()), ("steps", pa.int64()), ("loss", pa.float64()), ("v_n", pa.int64()),
+                [("shard", pa.int32()), ("n", pa.int64()), ("steps", pa.int64()), ("loss", pa.float64()), ("v_n", pa.int64()),
                  ("v_loss", pa.float64()), ("state", pa.list_(pa.float64()))]
             ),
         )

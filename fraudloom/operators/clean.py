@@ -94,15 +94,15 @@ def fit_mean(df: DataFrame, columns: list[str]) -> dict[str, float]:
 
 
 def fit_most_frequent(df: DataFrame, columns: list[str]) -> dict[str, object]:
-    """The most frequent value of each column that has nulls, the least on ties.
+    """The most frequent value of each column, the least on ties.
 
-    Values are counted by (column, value), so no task holds a column's values.
+    Every column gets one, whether it has nulls here or not: rows scored later may
+    lack what all training rows had. Values are counted by (column, value), so no
+    task holds a column's values.
     """
-    gaps = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
-    holed = [c for c in columns if gaps[c]]
     kinds: dict[str, list[str]] = {}
     types = dict(df.dtypes)
-    for c in holed:
+    for c in columns:
         kinds.setdefault("string" if types[c] == "string" else "double", []).append(c)
     out = {}
     for kind, names in kinds.items():

@@ -19,7 +19,6 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import add
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +28,6 @@ from fraudloom.plans.sizing import sized
 from fraudloom.schemas import KEY_COLS
 from fraudloom.session import cut_lineage
 
-DIGITS = 6
-SAMPLE_ROWS = 20_000
 LEVEL_CELLS = 300
 _SLACK = 1e-9
 
@@ -43,7 +40,7 @@ TARGET_OUTLIERS = 20
 
 @dataclass(frozen=True)
 class Vectors:
-    """Distinct rounded rows ``x0..`` with weight ``w``, number ``v`` and cell name."""
+    """Distinct rows ``x0..`` with weight ``w``, number ``v`` and cell name."""
 
     table: DataFrame
     width: int
@@ -69,8 +66,9 @@ class Settings:
         return max(m for _, m in self.pairs)
 
 
-def _rounded(features: list[str]) -> list[Column]:
-    return [(F.round(F.col(c).cast("double"), DIGITS) + F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(features)]
+def _vectors(features: list[str]) -> list[Column]:
+    """The features as doubles, -0.0 as 0.0."""
+    return [(F.col(c).cast("double") + F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(features)]
 
 
 def _cell_index(c: Column, side: float) -> Column:
@@ -79,7 +77,7 @@ def _cell_index(c: Column, side: float) -> Column:
 
 def weigh(df: DataFrame, features: list[str], side: float, key_cols: list[str] | None = None) -> Vectors:
     """Distinct vectors with weights and, given ``key_cols``, their least row key."""
-    rows = df.dropna(subset=features).select(*(key_cols or []), *_rounded(features))
+    rows = df.dropna(subset=features).select(*(key_cols or []), *_vectors(features))
     names = [f"x{i}" for i in range(len(features))]
     aggs = [F.count(F.lit(1)).alias("w")]
     if key_cols:
@@ -96,20 +94,24 @@ def weigh(df: DataFrame, features: list[str], side: float, key_cols: list[str] |
 def _levels(vectors: Vectors) -> list[list[int]]:
     """Dimensions in the order of their distinct cells, grouped while few combine.
 
-    Planned on a bounded sample; only the speed depends on it.
+    Planned on approximate distinct counts over all vectors; only the speed
+    depends on it.
     """
-    sample = vectors.table.select(*vectors.names).limit(SAMPLE_ROWS).toPandas().to_numpy(dtype=float)
-    if not len(sample):
-        return [list(range(vectors.width))]
-    cells = np.floor(sample / vectors.side)
-    order = sorted(range(vectors.width), key=lambda d: (len(np.unique(cells[:, d])), d))
-    levels: list[list[int]] = []
-    for d in order:
-        joint = [*levels[-1], d] if levels else [d]
-        if levels and len(np.unique(cells[:, joint], axis=0)) <= LEVEL_CELLS:
-            levels[-1] = joint
+    index = [_cell_index(F.col(c), vectors.side) for c in vectors.names]
+    table, width = vectors.table, vectors.width
+    alone = table.agg(*[F.approx_count_distinct(c).alias(f"n{i}") for i, c in enumerate(index)]).first()
+    order = sorted(range(width), key=lambda d: (alone[f"n{d}"], d))
+    runs = [(i, j) for i in range(width) for j in range(i + 1, width + 1)]
+    joint = table.agg(
+        *[F.approx_count_distinct(F.xxhash64(*[index[d] for d in order[i:j]])).alias(f"n{i}_{j}") for i, j in runs]
+    ).first()
+    levels, first = [[order[0]]], 0
+    for at in range(1, width):
+        if joint[f"n{first}_{at + 1}"] <= LEVEL_CELLS:
+            levels[-1].append(order[at])
         else:
-            levels.append([d])
+            levels.append([order[at]])
+            first = at
     return levels
 
 
@@ -302,21 +304,28 @@ def find_noise(
     return DbscanRun(vectors, cut_lineage(joined.withColumns(noise).drop(*extra)), pairs, tried)
 
 
-def _to_rows(df: DataFrame, features: list[str], key_cols: list[str], marks: DataFrame, n: int, out: str) -> DataFrame:
-    """Carry a column of some vectors to their rows; other rows get null."""
+def _to_rows(
+    df: DataFrame, features: list[str], key_cols: list[str], marks: DataFrame, n: int, out: str, other: int
+) -> DataFrame:
+    """Carry a column of some vectors to their rows; other rows get ``other``, incomplete rows null."""
     names = [f"x{i}" for i in range(len(features))]
-    rows = df.dropna(subset=features).select(*key_cols, *_rounded(features))
-    return rows.join(sized(marks, n, 8 * (len(names) + 1)), names, "left").select(*key_cols, out)
+    rows = df.select(*key_cols, *_vectors(features))
+    joined = rows.join(sized(marks, n, 8 * (len(names) + 1)), names, "left")
+    complete = reduce(lambda p, q: p & q, [F.col(c).isNotNull() for c in names])
+    return joined.select(*key_cols, F.when(complete, F.coalesce(F.col(out), F.lit(other))).cast("int").alias(out))
 
 
 def noise_rows(
     df: DataFrame, features: list[str], run: DbscanRun, setting: int = 0,
     key_cols: list[str] | None = None, out: str = "DBSCAN",
 ) -> DataFrame:
-    """Row key and 0/1 noise flag. Noise vectors have few copies, so none is hot."""
+    """Row key and 0/1 noise flag of every row, null where a feature is missing.
+
+    Noise vectors have few copies, so none is hot.
+    """
     found = run.flags.filter(F.col(f"noise_{setting}") == 1)
     marks = found.select(*run.vectors.names, F.lit(1).alias(out))
-    return _to_rows(df, features, key_cols or KEY_COLS, marks, found.count(), out).fillna({out: 0})
+    return _to_rows(df, features, key_cols or KEY_COLS, marks, found.count(), out, 0)
 
 
 def dbscan_noise(
@@ -357,7 +366,7 @@ def dbscan_clusters(
     df: DataFrame, features: list[str], eps: float = DEFAULT[0], min_samples: int = DEFAULT[1],
     key_cols: list[str] | None = None, out: str = "cluster",
 ) -> DataFrame:
-    """Row key and cluster number, -1 for noise.
+    """Row key and cluster number, -1 for noise, null where a feature is missing.
 
     Clusters are numbered from 0 by their least core row key, and a border row
     joins its lowest-numbered neighbour, as a scan in key order would find them.
@@ -389,4 +398,4 @@ def dbscan_clusters(
     border = loose.join(by_cell, "cell", "left").join(by_vector, "v", "left")
     border = border.select(*names, F.least("_whole", "_single").alias(out))
     marks = cut_lineage(core.join(labels, "cell").select(*names, out).unionByName(border))
-    return _to_rows(df, features, key_cols, marks, marks.count(), out).fillna({out: -1})
+    return _to_rows(df, features, key_cols, marks, marks.count(), out, -1)

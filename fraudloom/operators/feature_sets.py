@@ -45,6 +45,8 @@ class FeatureModel:
     fills: dict[str, object] = field(default_factory=dict)
     scales: dict[str, clean.Scale] = field(default_factory=dict)
     row_key: list[str] = field(default_factory=lambda: list(KEY_COLS))
+    #: What a value gets that training did not have: ``next`` free code, or ``error``.
+    unseen: str = "next"
 
     def raw(self, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
         """Row key, ``keep`` columns and unscaled features, as doubles."""
@@ -67,7 +69,13 @@ class FeatureModel:
 
     def _feature(self, column: str) -> Column:
         if column in self.spec.codes:
-            return F.col(code_column(column))
+            code = F.col(code_column(column))
+            if self.unseen == "error":
+                complaint = F.raise_error(F.concat(F.lit(f"unseen value in {column}: "), F.col(column).cast("string")))
+                other = complaint.cast("long")
+            else:
+                other = F.lit(self.tables[column].profile.distinct).cast("long")
+            return F.when(F.col(column).isNotNull() & code.isNull(), other).otherwise(code)
         if column in FEATURES and FEATURES[column].fn == "many":
             return F.coalesce(F.col(column), F.lit(False)).cast("int")
         return F.col(column)
@@ -144,6 +152,7 @@ def _prepare_cluster(df: DataFrame, as_of: date) -> DataFrame:
     return df.withColumns({"exp_month": text.to_number("exp_month"), "exp_year": text.to_number("exp_year")})
 
 
+# The features of each set, in order.
 _COMPARISON_COUNTS = [
     "card_usage_count", "customer_transaction_count", "email_domain_freq", "country_freq", "state_freq",
 ]

@@ -11,7 +11,8 @@ BUCKETS = 10_000
 
 
 def _flag(df: DataFrame, out: str, hit: Column) -> DataFrame:
-    return df.withColumn(out, F.when(hit, 1).otherwise(0))
+    """0 or 1; null where the score is null, since nothing was decided there."""
+    return df.withColumn(out, hit.cast("int"))
 
 
 def contamination_flag(df: DataFrame, score: str, contamination: float, out: str = "fraud_flag") -> DataFrame:
@@ -24,16 +25,25 @@ def percentile_flag(df: DataFrame, error: str, percentile: float, out: str = "fr
     return _flag(df, out, F.col(error) > F.lit(exact_percentile(df, error, percentile / 100)))
 
 
+def join_by_key(left: DataFrame, right: DataFrame, key_cols: list[str], how: str = "left") -> DataFrame:
+    """Join on key columns, null keys meeting null keys; the keys stand once, from the left."""
+    renamed = right.withColumnsRenamed({c: f"_key_{c}" for c in key_cols})
+    same = [F.col(c).eqNullSafe(F.col(f"_key_{c}")) for c in key_cols]
+    return left.join(renamed, same, how).drop(*[f"_key_{c}" for c in key_cols])
+
+
 def attach_flags(
     source: DataFrame, flags: DataFrame, key_cols: list[str], only: str | None = None
 ) -> DataFrame:
-    """Source rows with the flag and score columns of the same key."""
-    joined = source.join(flags, key_cols, "left")
+    """Source rows with the flag and score columns of the same key, null user or not."""
+    joined = join_by_key(source, flags, key_cols)
     return joined.filter(F.col(only) == 1) if only else joined
 
 
 def hash_bucket(key_cols: list[str], seed: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), *key_cols), F.lit(BUCKETS))
+    """A bucket below ``BUCKETS`` from the md5 of seed and key, which any SQL engine can rebuild."""
+    key = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key_cols])
+    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") % BUCKETS
 
 
 def split_train_test(

@@ -72,17 +72,23 @@ def isolation_forest_fit(
     seed: int = 42,
     key_cols: list[str] | None = None,
     n_rows: int | None = None,
+    max_nodes: int = MAX_NODES,
 ) -> ForestModel:
     """Train on the complete rows of ``df``; the same seed gives the same forest
-    under any partitioning. ``n_rows`` skips the count when it is known."""
+    under any partitioning. ``n_rows`` skips the count when it is known.
+
+    ``max_nodes`` bounds what the driver collects and broadcasts; raise it with
+    the driver's memory. Trees that drew too few candidates are drawn again from
+    twice as many, until all have their full sample.
+    """
     key_cols = key_cols or KEY_COLS
     n = df.count() if n_rows is None else n_rows
     if n == 0:
         raise ValueError("cannot train on an empty frame")
     psi = min(AUTO_SAMPLES if max_samples == "auto" else int(max_samples), n)
-    if n_estimators * (2 * psi - 1) > MAX_NODES:
-        raise ValueError(f"{n_estimators} trees on {psi} rows exceed {MAX_NODES} nodes")
-    sample = _sample(df.select(*key_cols, *features), features, key_cols, n, n_estimators, psi, seed)
+    if n_estimators * (2 * psi - 1) > max_nodes:
+        raise ValueError(f"{n_estimators} trees on {psi} rows exceed {max_nodes} nodes")
+    narrow = df.select(*key_cols, *features)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["_tree"].iloc[0])
@@ -91,21 +97,29 @@ def isolation_forest_fit(
         rng = np.random.default_rng([seed, tree])
         return _grow(tree, _draw(rows, psi, n, bootstrap, rng), math.ceil(math.log2(max(psi, 2))), rng)
 
-    nodes = sample.groupBy("_tree").applyInPandas(grow, _NODE_SCHEMA).toPandas()
+    overdraw = _OVERDRAW
+    while True:
+        sample = _sample(narrow, key_cols, n, n_estimators, psi, seed, overdraw)
+        nodes = sample.groupBy("_tree").applyInPandas(grow, _NODE_SCHEMA).toPandas()
+        roots = nodes[nodes["depth"] == 0]
+        whole = n <= 4 * overdraw * psi  # every row was a candidate of every tree
+        if whole or (len(roots) == n_estimators and (roots["size"] >= psi).all()):
+            break
+        overdraw *= 2
     nodes = nodes.sort_values(["tree_id", "node_id"], ignore_index=True)
     return ForestModel(list(features), psi, seed, nodes)
 
 
-def _sample(df, features, key_cols, n, trees, psi, seed) -> DataFrame:
+def _sample(df, key_cols, n, trees, psi, seed, overdraw) -> DataFrame:
     """Candidate rows per tree, each with a hash to draw by.
 
     Large tables: a row is given to as many random trees as its share of the
     overdrawn samples. Small tables: every row is a candidate of every tree.
     """
-    if n <= 4 * _OVERDRAW * psi:
+    if n <= 4 * overdraw * psi:
         spread = df.withColumn("_tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
     else:
-        share = _OVERDRAW * trees * psi / n
+        share = overdraw * trees * psi / n
         copies = math.ceil(share)
         cut = int(share / copies * 2**31)
         spread = df.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))

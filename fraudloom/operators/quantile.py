@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fraudloom.operators.numbering import POSITION_BITS
 from fraudloom.session import cut_lineage
 
+#: Distinct values up to which one task may take the percentiles of their counts.
 EXACT_ROWS = 1_000_000
-_ACCURACY = 10_000
 
 
 def exact_percentile(df: DataFrame, column: str, p: float, exact_rows: int = EXACT_ROWS) -> float | None:
@@ -23,50 +21,21 @@ def exact_percentiles(
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated percentiles (0 to 1) of each column's non-null values.
 
-    Columns of few distinct values go straight to the built-in ``percentile``,
-    which holds one map of them. For the others each rank is bracketed by a
-    mergeable sketch, the rows below the bracket are counted, and the search
-    goes on inside the bracket until its distinct values are few.
+    All columns are counted by value in one pass. What is left is at most one row
+    per distinct value however many tasks there were; up to ``exact_rows`` of them
+    the built-in ``percentile`` weighs them, beyond that they are ranked by a range
+    sort. Both give the same numbers.
     """
-    df = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
-    sizes = df.agg(
-        *[F.count(f"v{i}").alias(f"n{i}") for i in range(len(columns))],
-        *[F.approx_count_distinct(f"v{i}").alias(f"d{i}") for i in range(len(columns))],
-    ).first()
-    small = [i for i in range(len(columns)) if sizes[f"d{i}"] <= exact_rows]
-    out: dict[str, list[float | None]] = {}
-    if small:
-        row = df.agg(*[F.percentile(f"v{i}", [float(p) for p in ps]).alias(f"q{i}") for i in small]).first()
-        out = {columns[i]: list(row[f"q{i}"] or [None] * len(ps)) for i in small}
-    for i in set(range(len(columns))) - set(small):
-        values = df.select(F.col(f"v{i}").alias("v")).filter(F.col("v").isNotNull())
-        out[columns[i]] = [_narrow(values, sizes[f"n{i}"], p * (sizes[f"n{i}"] - 1), exact_rows) for p in ps]
-    return out
-
-
-def _narrow(values: DataFrame, n: int, rank: float, exact_rows: int) -> float:
-    while True:
-        first, last = math.floor(rank), math.ceil(rank)
-        slack = 2.0 / _ACCURACY
-        edges = [max(0.0, first / n - slack), min(1.0, (last + 1) / n + slack)]
-        lo, hi = values.agg(
-            F.percentile_approx("v", edges, _ACCURACY).alias("q")
-        ).first()["q"]
-        low_side, high_side = F.col("v") < F.lit(lo), F.col("v") > F.lit(hi)
-        seen = values.agg(
-            F.count_if(low_side).alias("below"),
-            F.count_if(~low_side & ~high_side).alias("inside"),
-            F.approx_count_distinct(F.when(~low_side & ~high_side, F.col("v"))).alias("d"),
-        ).first()
-        if first < seen["below"] or last >= seen["below"] + seen["inside"]:
-            raise RuntimeError("percentile sketch missed its rank")
-        inside, rank = values.filter(~low_side & ~high_side), rank - seen["below"]
-        if lo == hi:
-            return lo
-        if seen["d"] <= exact_rows or seen["inside"] == n:
-            share = rank / (seen["inside"] - 1) if seen["inside"] > 1 else 0.0
-            return inside.agg(F.percentile("v", share).alias("q")).first()["q"]
-        values, n = inside, seen["inside"]
+    pairs = F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)])
+    long = df.select(F.explode(pairs).alias("p")).select("p.*").filter("v IS NOT NULL")
+    counts = cut_lineage(long.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")))
+    names = {f"q{j}": float(p) for j, p in enumerate(ps)}
+    if counts.count() <= exact_rows:
+        found = counts.groupBy("c").agg(*[F.percentile("v", p, F.col("n")).alias(q) for q, p in names.items()])
+    else:
+        found = _ranked(counts.select(F.col("c").alias("_g"), F.col("v").alias("_v"), F.col("n").alias("_n")), "c", names)
+    rows = {r["c"]: [r[q] for q in names] for r in found.collect()}
+    return {c: rows.get(i, [None] * len(ps)) for i, c in enumerate(columns)}
 
 
 def grouped_percentiles(df: DataFrame, group: str, value: str, ps: dict[str, float]) -> DataFrame:
@@ -79,6 +48,11 @@ def grouped_percentiles(df: DataFrame, group: str, value: str, ps: dict[str, flo
     """
     values = df.select(F.col(group).alias("_g"), F.col(value).cast("double").alias("_v"))
     counts = values.filter(F.col("_v").isNotNull()).groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    return _ranked(counts, group, ps)
+
+
+def _ranked(counts: DataFrame, group: str, ps: dict[str, float]) -> DataFrame:
+    """Percentiles per group from (_g, _v, _n): distinct values and how often each occurs."""
     stored = cut_lineage(counts.orderBy("_g", "_v").withColumn("_at", F.monotonically_increasing_id()))
     stored = stored.withColumn("_part", F.shiftright("_at", POSITION_BITS))
     # one row per group and partition it touches

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fraudloom.functions.text import email_domain_second
 from fraudloom.operators.clean import _per_column
+from fraudloom.operators.flags import join_by_key
 from fraudloom.operators.group_features import FEATURES
 from fraudloom.operators.key_tables import rows_where
 
@@ -154,7 +155,13 @@ def flagged_extract(df: DataFrame, flag: str) -> DataFrame:
 
 
 def combined_results(source: DataFrame, results: list[DataFrame], key_cols: list[str]) -> DataFrame:
-    """All rows with every detector's flags and errors, joined by key."""
+    """All rows with every detector's flags and errors, joined by key, null user or not."""
     for result in results:
-        source = source.join(result, key_cols, "left")
+        source = join_by_key(source, result, key_cols)
     return source
+
+
+def row_counts(df: DataFrame, flags: list[str] = FLAGS) -> DataFrame:
+    """All rows, and those that at least one detector could not decide."""
+    undecided = F.greatest(*[F.col(f).isNull() for f in flags]) if len(flags) > 1 else F.col(flags[0]).isNull()
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(undecided).alias("n_undecided"))

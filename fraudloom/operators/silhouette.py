@@ -22,31 +22,37 @@ BLOCK_ROWS = 4096
 MAX_LABELS = 4096
 
 
-def silhouette(df: DataFrame, features: list[str], label: str, metric: str = "squared") -> float | None:
+def silhouette(
+    df: DataFrame, features: list[str], label: str, metric: str = "squared", max_labels: int = MAX_LABELS
+) -> float | None:
     """Mean silhouette over all rows; None with fewer than two labels."""
-    return silhouettes(df, features, [label], metric)[label]
+    return silhouettes(df, features, [label], metric, max_labels)[label]
 
 
 def silhouettes(
-    df: DataFrame, features: list[str], labels: list[str], metric: str = "squared"
+    df: DataFrame, features: list[str], labels: list[str], metric: str = "squared", max_labels: int = MAX_LABELS
 ) -> dict[str, float | None]:
-    """Mean silhouette of each label column, all in the same passes."""
+    """Mean silhouette of each label column, all in the same passes.
+
+    Per-label sums visit the driver; ``max_labels`` per column bounds them and may
+    be raised with the driver's memory.
+    """
     if metric not in ("squared", "euclidean"):
         raise ValueError(f"metric must be 'squared' or 'euclidean', not {metric!r}")
     vectors = [F.col(c).cast("double").alias(f"_f{i}") for i, c in enumerate(features)]
     narrow = df.select(*vectors, *[F.col(c).cast("long").alias(f"_l{i}") for i, c in enumerate(labels)])
-    sizes = _label_sizes(narrow, len(labels))
+    sizes = _label_sizes(narrow, len(labels), max_labels)
     fn = _squared if metric == "squared" else _euclidean
     usable = {i: s for i, s in sizes.items() if len(s) > 1}
     means = fn(narrow, len(features), usable) if usable else {}
     return {c: means.get(i) for i, c in enumerate(labels)}
 
 
-def _label_sizes(df: DataFrame, n: int) -> dict[int, dict[int, int]]:
+def _label_sizes(df: DataFrame, n: int, most: int) -> dict[int, dict[int, int]]:
     pairs = F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"_l{i}").alias("l")) for i in range(n)])
-    counts = df.select(F.explode(pairs).alias("p")).groupBy("p.c", "p.l").count().limit(n * MAX_LABELS + 1).collect()
-    if len(counts) > n * MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} labels per column")
+    counts = df.select(F.explode(pairs).alias("p")).groupBy("p.c", "p.l").count().limit(n * most + 1).collect()
+    if len(counts) > n * most:
+        raise ValueError(f"more than {most} labels per column; raise max_labels")
     out: dict[int, dict[int, int]] = {i: {} for i in range(n)}
     for row in sorted(counts, key=lambda r: (r["c"], r["l"])):
         out[row["c"]][row["l"]] = row["count"]

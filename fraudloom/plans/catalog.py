@@ -3,6 +3,7 @@
 from fraudloom.plans import (  # noqa: F401
     queries_detect,
     queries_groups,
+    queries_io,
     queries_maintain,
     queries_reports,
     queries_rows,

@@ -41,9 +41,11 @@ class Report:
 
 
 def _comparison(source: DataFrame, found: list[DataFrame], stats: DataFrame, runs: DataFrame, settings: dict) -> Report:
-    combined = cut_lineage(reports.combined_results(source, found, KEY_COLS).dropna(subset=reports.FLAGS))
+    """Every source row stays; rows that a detector could not take have a null flag there."""
+    combined = cut_lineage(reports.combined_results(source, found, KEY_COLS))
     frames = {
         "feature_stats": stats, "search_runs": runs, "all_model_results": combined,
+        "row_counts": reports.row_counts(combined),
         "model_summary": reports.model_summary(combined), "model_overlap": reports.model_overlap(combined),
         "top_values": reports.top_values(combined),
     }
@@ -140,7 +142,7 @@ def autoencoder_report(
     threshold = exact_percentile(tested, "error", percentile / 100)
     f1 = flags.pseudo_label_f1(tested, model.features, "error", threshold)
     errors = cut_lineage(ae.autoencoder_error(net, rows, out="anomaly_score"))
-    errors = errors.withColumn("fraud_flag", F.when(F.col("anomaly_score") > threshold, 1).otherwise(0))
+    errors = errors.withColumn("fraud_flag", (F.col("anomaly_score") > threshold).cast("int"))
     flagged = flags.attach_flags(source, errors, KEY_COLS)
     return Report(
         {
@@ -155,5 +157,11 @@ def autoencoder_report(
 def cluster_report(source: DataFrame, as_of: date, eps: float = 0.5, min_samples: int = 5) -> Report:
     rows, names = _prepared(source, feature_sets.CLUSTER, as_of)
     noise = dbscan.dbscan_noise(rows, names, eps, min_samples, out="is_anomaly")
-    flagged = cut_lineage(source.join(noise, KEY_COLS))
-    return Report({"summary": reports.fraud_rate_summary(flagged, "is_anomaly"), "all_rows": flagged})
+    flagged = cut_lineage(flags.attach_flags(source, noise, KEY_COLS))
+    return Report(
+        {
+            "summary": reports.fraud_rate_summary(flagged, "is_anomaly"),
+            "row_counts": reports.row_counts(flagged, ["is_anomaly"]),
+            "all_rows": flagged,
+        }
+    )

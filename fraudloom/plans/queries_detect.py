@@ -1,11 +1,14 @@
 """Detectors, searches and their training measures."""
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from fraudloom.operators import autoencoder as ae
 from fraudloom.operators import clean, dbscan, feature_sets, flags, iforest, search, silhouette
+from fraudloom.operators.group_features import FEATURES, add_group_features
 from fraudloom.operators.quantile import exact_percentile
-from fraudloom.plans.oracle_views import r6, scaled, with_views
+from fraudloom.plans.oracle_views import grouped, r6, scaled, with_views
 from fraudloom.plans.queries_groups import comparison_ctes
 from fraudloom.plans.registry import AS_OF, KEYS, query, round_columns, rounded
 from fraudloom.session import cut_lineage
@@ -14,10 +17,17 @@ from fraudloom.sources.fixtures import embeddings, transactions
 SEED = 42
 
 
-def scaled_rows(spark, sf, spec=feature_sets.COMPARISON10):
-    """Complete scaled feature rows, written once, and the feature names."""
+def scaled_rows(spark, sf, spec=feature_sets.COMPARISON10, every=False):
+    """Scaled feature rows, written once, and the feature names; ``every`` keeps rows that lack a feature."""
     model, raw = feature_sets.fit(transactions(spark, sf), spec, AS_OF)
-    return cut_lineage(clean.drop_incomplete(model.finish(raw), model.features)), model.features
+    rows = model.finish(raw)
+    return cut_lineage(rows if every else clean.drop_incomplete(rows, model.features)), model.features
+
+
+def rounded_rows(spark, sf, spec=feature_sets.COMPARISON10):
+    """All scaled rows at six digits, so that SQL compares the same numbers."""
+    rows, names = scaled_rows(spark, sf, spec, every=True)
+    return round_columns(rows, names), names
 
 
 @query("isolation_forest_fit")
@@ -76,8 +86,8 @@ _TEN = feature_sets.COMPARISON10.columns
 _POINTS = {
     **comparison_ctes(feature_sets.COMPARISON10),
     "z": scaled("features", _TEN),
-    "p": "SELECT id, user_id, " + ", ".join(f"round({c}, 6) + 0.0 AS x{i}" for i, c in enumerate(_TEN))
-         + " FROM z WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in _TEN),
+    "every": "SELECT id, user_id, " + ", ".join(f"round({c}, 6) + 0.0 AS x{i}" for i, c in enumerate(_TEN)) + " FROM z",
+    "p": "SELECT * FROM every WHERE " + " AND ".join(f"x{i} IS NOT NULL" for i in range(len(_TEN))),
     "v": "SELECT " + ", ".join(f"x{i}" for i in range(len(_TEN))) + ", count(*) AS w, "
          "row_number() OVER () AS v FROM p GROUP BY ALL",
     "near": "SELECT a.v AS a, b.v AS b, b.w AS w, "
@@ -99,11 +109,11 @@ def _points_sql(body):
 
 
 @query("dbscan_noise", _points_sql(
-    "SELECT p.id, p.user_id, cast(n.v IS NOT NULL AS int) AS \"DBSCAN\" FROM p JOIN v ON "
-    + " AND ".join(f"p.x{i} = v.x{i}" for i in range(len(_TEN)))
+    "SELECT p.id, p.user_id, CASE WHEN v.v IS NOT NULL THEN cast(n.v IS NOT NULL AS int) END AS \"DBSCAN\" "
+    "FROM every p LEFT JOIN v ON " + " AND ".join(f"p.x{i} = v.x{i}" for i in range(len(_TEN)))
     + f" LEFT JOIN ({_noise_sql(0.5, 5)}) n ON n.v = v.v"))
 def dbscan_noise(spark, sf):
-    rows, names = scaled_rows(spark, sf)
+    rows, names = rounded_rows(spark, sf)
     return dbscan.dbscan_noise(rows, names, 0.5, 5)
 
 
@@ -112,13 +122,13 @@ def dbscan_noise(spark, sf):
     f"FROM v WHERE v.v IN ({_noise_sql(e, m)})"
     for e in dbscan.EPS_VALUES for m in dbscan.MIN_SAMPLES_VALUES)))
 def dbscan_search(spark, sf):
-    rows, names = scaled_rows(spark, sf)
+    rows, names = rounded_rows(spark, sf)
     return dbscan.dbscan_search(rows, names).runs
 
 
 @query("dbscan_clusters")
 def dbscan_clusters(spark, sf):
-    rows, names = scaled_rows(spark, sf, feature_sets.CLUSTER)
+    rows, names = scaled_rows(spark, sf, feature_sets.CLUSTER, every=True)
     return dbscan.dbscan_clusters(rows, names, 0.5, 5)
 
 
@@ -169,12 +179,69 @@ def reconstruction_error(spark, sf):
     return round_columns(ae.reconstruction_error(halves, "x", "y"), ["error"], 9).select("vec_id", "error")
 
 
-@query("split_train_test")
+_BUCKET = "('0x' || substr(md5('{}|' || id || '|' || coalesce(cast(user_id AS varchar), '')), 1, 8))::BIGINT % 10000"
+
+
+@query("split_train_test", with_views(f"SELECT id, user_id, {_BUCKET.format(SEED)} < 2000 AS is_test FROM tx", "tx"))
 def split_train_test(spark, sf):
     train, test = flags.split_train_test(transactions(spark, sf).select(*KEYS), KEYS, 0.2, SEED)
     return train.withColumn("is_test", F.lit(False)).unionByName(test.withColumn("is_test", F.lit(True)))
 
 
-@query("validation_split")
+@query("validation_split", with_views(f"SELECT id, user_id, {_BUCKET.format(43)} < 2000 AS is_validation FROM tx", "tx"))
 def validation_split(spark, sf):
     return flags.validation_split(transactions(spark, sf).select(*KEYS), KEYS)
+
+
+# Two small trees on raw group counts: enough to rebuild every score in SQL.
+_TREES = {"tree_id": [0, 0, 0, 0, 0, 1, 1, 1], "node_id": [0, 1, 2, 3, 4, 0, 1, 2]}
+_LITERAL = pd.DataFrame({
+    **_TREES,
+    "feature": [0, -1, 1, -1, -1, 1, -1, -1], "threshold": [3.5, 0.0, 1.5, 0.0, 0.0, 2.5, 0.0, 0.0],
+    "left": [1, 1, 3, 3, 4, 1, 1, 2], "right": [2, 1, 4, 3, 4, 2, 1, 2],
+    "size": [16, 10, 6, 2, 4, 16, 13, 3], "depth": [0, 1, 1, 2, 2, 0, 1, 1],
+})
+_ON = ["transactions_per_card", "users_per_card"]
+_COUNTED = {
+    "counted": grouped("tx", [(n, FEATURES[n].key, f"count({'DISTINCT ' * (FEATURES[n].fn != 'count')}{FEATURES[n].value})") for n in _ON]),
+}
+
+
+def _leaf(i: int) -> str:
+    """Depth of a literal leaf plus the mean depth of what it holds."""
+    return repr(float(_LITERAL["depth"][i] + iforest.average_path(float(_LITERAL["size"][i]))))
+
+
+_PATHS = (
+    f"(CASE WHEN transactions_per_card < 3.5 THEN {_leaf(1)} WHEN users_per_card < 1.5 THEN {_leaf(3)} ELSE {_leaf(4)} END"
+    f" + CASE WHEN users_per_card < 2.5 THEN {_leaf(6)} ELSE {_leaf(7)} END)"
+)
+_LITERAL_SCORE = f"-power(2.0, -{_PATHS} / 2 / {float(iforest.average_path(16.0))!r})"
+
+
+def _counted_rows(spark, sf):
+    rows = add_group_features(transactions(spark, sf), _ON)
+    return rows.select(*KEYS, *[F.col(c).cast("double").alias(c) for c in _ON])
+
+
+@query("isolation_forest_literal", with_views(
+    f"""SELECT id, user_id, CASE WHEN transactions_per_card IS NOT NULL AND users_per_card IS NOT NULL
+    THEN {r6(_LITERAL_SCORE, 'x', 9).removesuffix(' AS x')} END AS anomaly_score FROM counted""", "tx", extra=_COUNTED))
+def isolation_forest_literal(spark, sf):
+    """Scores of a given forest; rows without a card have none."""
+    model = iforest.ForestModel(_ON, 16, SEED, _LITERAL)
+    return round_columns(iforest.isolation_forest_score(model, _counted_rows(spark, sf)), ["anomaly_score"], 9)
+
+
+_WEIGHTS = [0.25, -0.5, 0.5, 0.125, 0.1, -0.2, 0.75, -0.25, 0.5, 1.0, 0.05, 0.3]
+
+
+@query("autoencoder_literal", with_views(
+    """SELECT id, user_id, round(((a - x) * (a - x) + (b - y) * (b - y)) / 2, 9) + 0.0 AS "Autoencoder_Error" FROM (
+       SELECT *, h * 0.75 + k * 0.5 + 0.05 AS a, h * -0.25 + k * 1.0 + 0.3 AS b FROM (
+       SELECT *, greatest(x * 0.25 + y * 0.5 + 0.1, 0) AS h, greatest(x * -0.5 + y * 0.125 - 0.2, 0) AS k FROM (
+       SELECT id, user_id, transactions_per_card::double AS x, users_per_card::double AS y FROM counted)))""", "tx", extra=_COUNTED))
+def autoencoder_literal(spark, sf):
+    """Reconstruction error of every row under a given network; rows without a card have none."""
+    model = ae.Autoencoder(_ON, ae.Network(hidden=(2,), output="linear"), np.array(_WEIGHTS), [])
+    return round_columns(ae.autoencoder_error(model, _counted_rows(spark, sf)), ["Autoencoder_Error"], 9)

@@ -316,3 +316,22 @@ def set_delivery_status(spark, sf):
     )
     orders = fx.shop_orders(spark, sf).select("id", "is_delivered", "delivered_at")
     return M.set_delivery_status(orders, changes, "2024-06-15")
+
+
+@query("apply_updates_cards", with_views(
+    """SELECT t.id, t.user_id, t.card_number, coalesce(nullif(c.exp_month, ''), t.exp_month) AS exp_month,
+    coalesce(nullif(c.name_on_card, ''), t.name_on_card) AS name_on_card FROM tx t LEFT JOIN (
+      SELECT card_number, max_by(exp_month, request_id) AS exp_month, max_by(name_on_card, request_id) AS name_on_card
+      FROM (SELECT card_number, id AS request_id, CASE WHEN id % 3 = 0 THEN '' ELSE '11' END AS exp_month,
+            CASE WHEN id % 2 = 0 THEN '' ELSE upper(name_on_card) END AS name_on_card
+            FROM tx WHERE id % 7 = 0 AND card_number IS NOT NULL) GROUP BY card_number) c
+    ON c.card_number = t.card_number""", "tx"))
+def apply_updates_cards(spark, sf):
+    """Cards are found by their number; the last request of a card wins whole, and its blanks keep the old."""
+    cards = fx.transactions(spark, sf)
+    changes = cards.filter("id % 7 = 0 AND card_number IS NOT NULL").selectExpr(
+        "card_number", "id AS request_id", "CASE WHEN id % 3 = 0 THEN '' ELSE '11' END AS exp_month",
+        "CASE WHEN id % 2 = 0 THEN '' ELSE upper(name_on_card) END AS name_on_card",
+    )
+    base = cards.select("id", "user_id", "card_number", "exp_month", "name_on_card")
+    return M.apply_updates_keep_blank(base, changes, ["exp_month", "name_on_card"], key="card_number")

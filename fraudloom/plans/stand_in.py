@@ -67,7 +67,7 @@ SCORED_CTES = {
         -(round({' + '.join(f'abs({x})' for x in _Z)}, 9) + 0.0) AS score,
         round(({' + '.join(f'{x} * {x}' for x in _Z)}) / {len(_Z)}, 9) + 0.0 AS error,
         ({_YEAR} - {AS_OF.year}) * 12 + {_MONTH} AS card_expiry_months
-        FROM counted JOIN z ON counted.id = z.id AND counted.user_id = z.user_id""",
+        FROM counted JOIN z ON counted.id = z.id""",
     "scored": """SELECT *, CASE WHEN addresses_per_card > 2 THEN 1 ELSE 0 END AS "DBSCAN",
         CASE WHEN score < (SELECT quantile_cont(score, 0.01) FROM measured) THEN 1 ELSE 0 END AS "IsolationForest",
         CASE WHEN error > (SELECT quantile_cont(error, 0.98) FROM measured) THEN 1 ELSE 0 END AS "Autoencoder"

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,8 +32,8 @@ def build_session(app: str = "fraudloom", master: str | None = None, **conf) ->
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    A temporary folder is only ever picked for a local master, where driver and
-    executors share one disk.
+    A temporary folder is only ever picked where the setting is missing and the
+    master is a single local process; ``local-cluster`` counts as a cluster.
     """
     context = spark.sparkContext
     folder = context.getCheckpointDir()
@@ -38,13 +41,32 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         named = tempfile.mkdtemp(prefix="fraudloom-")
     context.setCheckpointDir(named)
     return context.getCheckpointDir()
 
 
+_OWNED: list[str] = []
+
+
+@contextmanager
+def owned_tables(spark: SparkSession) -> Iterator[str]:
+    """Tables that ``cut_lineage`` writes inside are deleted at the end.
+
+    Frames made inside read those tables, so write or collect them before leaving.
+    """
+    folder = f"{shared_folder(spark)}/tables/job-{uuid.uuid4().hex}"
+    _OWNED.append(folder)
+    try:
+        yield folder
+    finally:
+        _OWNED.remove(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -52,6 +74,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     tells the planner its true size.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    path = f"{_OWNED[-1] if _OWNED else f'{shared_folder(spark)}/tables'}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 _TRANSACTIONS = """
 SELECT o_orderkey AS id,
        concat('card_', cast(o_orderkey AS string)) AS card_id,
-       CASE WHEN o_orderkey % 50 = 0 THEN o_custkey + 1 ELSE o_custkey END AS user_id,
+       CASE WHEN o_orderkey % 53 = 0 THEN NULL
+            WHEN o_orderkey % 50 = 0 THEN o_custkey + 1 ELSE o_custkey END AS user_id,
        CASE WHEN o_orderkey % 97 = 0 THEN NULL
             ELSE concat('4', lpad(cast(o_custkey * 7 + (CASE WHEN o_custkey % 20 = 0
                  THEN o_orderkey % 6 ELSE o_orderkey % 3 END) AS string), 15, '0')) END AS card_number,

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import uuid
 from dataclasses import dataclass
 from datetime import date
 
@@ -30,16 +32,19 @@ class Detector:
     def score(self, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
         """Row key, ``keep``, ``anomaly_score``, ``fraud_flag`` and ``risk_level``.
 
-        Works on streams: the lookup tables are static sides and the forest is
-        broadcast, so no state is kept.
+        Values that training did not have get the next free code and the counts'
+        learned fills. A row that still lacks a feature has a null score, a null
+        flag and the level ``unscored``. Works on streams: the lookup tables are
+        static sides and the forest is broadcast, so no state is kept.
         """
         rows = self.features.transform(df, keep)
         scored = isolation_forest_score(self.forest, rows, [*self.features.row_key, *(keep or [])])
         score = F.col("anomaly_score")
-        level = F.when(score < self.flag_below, "high").when(score < self.watch_below, "medium").otherwise("low")
-        return scored.withColumn("fraud_flag", F.when(score < self.flag_below, 1).otherwise(0)).withColumn(
-            "risk_level", level
+        level = (
+            F.when(score.isNull(), "unscored")
+            .when(score < self.flag_below, "high").when(score < self.watch_below, "medium").otherwise("low")
         )
+        return scored.withColumn("fraud_flag", (score < self.flag_below).cast("int")).withColumn("risk_level", level)
 
 
 def fit_detector(
@@ -65,11 +70,15 @@ def retrain_on_window(
     return fit_detector(window, spec, end, **settings)
 
 
-def save_model(model: Detector, spark: SparkSession, path: str) -> None:
-    """Lookup tables and forest as parquet, parameters as one JSON row."""
+def save_model(model: Detector, spark: SparkSession, path: str) -> str:
+    """Publish a version: lookup tables and forest as parquet, parameters as one JSON row.
+
+    Versions are never changed. The last thing written is a pointer row, so a
+    reader sees the version before or the whole new one. Returns its name.
+    """
     f = model.features
     header = {
-        "spec": f.spec.name, "as_of": f.as_of.isoformat(), "row_key": f.row_key, "fills": f.fills,
+        "spec": f.spec.name, "as_of": f.as_of.isoformat(), "row_key": f.row_key, "fills": f.fills, "unseen": f.unseen,
         "scales": {c: [s.mean, s.std] for c, s in f.scales.items()},
         "profiles": {
             k: {"distinct": t.profile.distinct, "max_bytes": t.profile.max_bytes,
@@ -78,13 +87,35 @@ def save_model(model: Detector, spark: SparkSession, path: str) -> None:
         },
         "flag_below": model.flag_below, "watch_below": model.watch_below,
     }
+    name = uuid.uuid4().hex
+    version = f"{path}/versions/{name}"
     for key, table in f.tables.items():
-        table.table.write.parquet(f"{path}/tables/{key}")
-    model.forest.save(spark, f"{path}/forest")
-    spark.createDataFrame([(json.dumps(header),)], "header string").coalesce(1).write.parquet(f"{path}/header")
+        table.table.write.parquet(f"{version}/tables/{key}")
+    model.forest.save(spark, f"{version}/forest")
+    spark.createDataFrame([(json.dumps(header),)], "header string").coalesce(1).write.parquet(f"{version}/header")
+    number = _published(spark, path)[0] + 1
+    spark.createDataFrame([(number, name)], _POINTER).coalesce(1).write.mode("append").parquet(f"{path}/published")
+    return name
+
+
+_POINTER = "number long, version string"
+
+
+def _published(spark: SparkSession, path: str) -> tuple[int, str | None]:
+    """Number and name of the version published last; (0, None) before the first."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/published")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return 0, None
+    row = spark.read.schema(_POINTER).parquet(f"{path}/published").orderBy(F.desc("number"), F.desc("version")).first()
+    return (row["number"], row["version"]) if row else (0, None)
 
 
-def load_model(spark: SparkSession, path: str) -> Detector:
+def load_model(spark: SparkSession, path: str, version: str | None = None) -> Detector:
+    """The version published last, or a named one."""
+    version = version or _published(spark, path)[1]
+    if version is None:
+        raise FileNotFoundError(f"no model is published at {path}")
+    path = f"{path}/versions/{version}"
     header = json.loads(spark.read.parquet(f"{path}/header").first()["header"])
     spec = SETS[header["spec"]]
     tables = {}
@@ -94,7 +125,7 @@ def load_model(spark: SparkSession, path: str) -> Detector:
         tables[key] = KeyTable(key, spark.read.parquet(f"{path}/tables/{key}"), profile, code)
     features = FeatureModel(
         spec, date.fromisoformat(header["as_of"]), tables, header["fills"],
-        {c: clean.Scale(*s) for c, s in header["scales"].items()}, header["row_key"],
+        {c: clean.Scale(*s) for c, s in header["scales"].items()}, header["row_key"], header["unseen"],
     )
     forest = ForestModel.load(spark, f"{path}/forest")
     return Detector(features, forest, header["flag_below"], header["watch_below"])
@@ -104,24 +135,26 @@ def start_scoring(
     stream: DataFrame, model_path: str, out_path: str, checkpoint: str, keep: list[str] | None = None,
     available_now: bool = False,
 ):
-    """Score every micro-batch with the model saved at ``model_path`` at that time.
+    """Score every micro-batch with the version published at ``model_path`` at that time.
 
-    A batch is written to a folder named by its number and replaced when the
-    batch is replayed, so each row lands once.
+    A batch is written to a folder named by the run, which its checkpoint folder
+    stands for, and by its number. A replayed batch replaces its own folder, so
+    each row lands once; another checkpoint writes beside it.
     """
+    folder = f"{out_path}/run={hashlib.md5(checkpoint.encode()).hexdigest()[:12]}"
 
     def run(batch: DataFrame, number: int) -> None:
         model = load_model(batch.sparkSession, model_path)
-        model.score(batch, keep).write.mode("overwrite").parquet(f"{out_path}/batch={number}")
+        model.score(batch, keep).write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
     writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def backfill_scores(df: DataFrame, model: Detector, path: str, day: str) -> None:
-    """Score stored rows and replace exactly the days present in ``df``.
+def backfill_scores(df: DataFrame, model: Detector, path: str, day: str, keep: list[str] | None = None) -> None:
+    """Score stored rows and replace exactly the days (or other periods) present in ``df``.
 
     Running a day again leaves the same files' worth of rows.
     """
-    scored = model.score(df, [day])
+    scored = model.score(df, [day, *(keep or [])])
     scored.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)

@@ -197,3 +197,45 @@ def test_splits_do_not_depend_on_partitions(spark, blobs):
         for p in (1, 9)
     ]
     assert parts[0] == parts[1] and 0.1 < len(parts[0]) / len(blobs) < 0.3
+
+
+def test_dbscan_does_not_round(spark):
+    x = np.zeros((200, 3))
+    x[:, 0] = np.arange(200) * 1e-7
+    df = frame(spark, x)
+    assert dbscan.dbscan_noise(df, NAMES, 5e-8, 2).agg(F.sum("DBSCAN")).first()[0] == 200
+    assert dbscan.dbscan_noise(df, NAMES, 1.5e-7, 2).agg(F.sum("DBSCAN")).first()[0] == 0
+
+
+def test_dbscan_keeps_incomplete_rows(spark, blobs):
+    df = frame(spark, blobs).withColumn("a", F.when(F.col("id") % 10 != 0, F.col("a")))
+    for got, out in ((dbscan.dbscan_noise(df, NAMES), "DBSCAN"), (dbscan.dbscan_clusters(df, NAMES), "cluster")):
+        assert got.count() == len(blobs) and got.filter(f"{out} IS NULL").count() == len(range(0, len(blobs), 10))
+
+
+def test_flags_reach_rows_with_null_keys(spark):
+    rows = spark.createDataFrame([(1, None), (2, 5), (3, None)], "id long, user_id long")
+    found = rows.withColumn("f", F.lit(1))
+    assert flags.attach_flags(rows, found, ["id", "user_id"], "f").count() == 3
+    scored = rows.withColumn("s", F.when(F.col("id") > 1, F.col("id").cast("double")))
+    got = {r["id"]: r["fraud_flag"] for r in flags.percentile_flag(scored, "s", 50).collect()}
+    assert got == {1: None, 2: 0, 3: 1}
+
+
+def test_percentiles_by_weight_and_by_rank(spark, blobs):
+    from fraudloom.operators.quantile import exact_percentiles
+
+    df = frame(spark, blobs).withColumn("none", F.lit(None).cast("double"))
+    ps = [0.0, 0.01, 0.5, 0.98, 1.0]
+    for limit in (10**6, 0):
+        got = exact_percentiles(df, [*NAMES, "none"], ps, limit)
+        assert got["none"] == [None] * 5
+        for i, c in enumerate(NAMES):
+            assert np.allclose(got[c], np.percentile(blobs[:, i], [100 * p for p in ps]))
+
+
+def test_forest_draws_again_when_short(spark):
+    rng = np.random.default_rng(4)
+    df = frame(spark, rng.normal(size=(4000, 3)))
+    model = isolation_forest_fit(df, NAMES, 60, 4)
+    assert model.nodes[model.nodes["depth"] == 0]["size"].eq(4).all()

@@ -126,3 +126,46 @@ def test_compare_on_dbscan_search(spark, sf_dir):
     assert report.frames["search_runs"].count() == 9
     assert {r["model"] for r in report.frames["model_summary"].collect()} == {"DBSCAN", "IsolationForest", "Autoencoder"}
     assert compare.cluster_report(fx.transactions(spark, sf_dir), AS_OF).frames["summary"].count() == 1
+
+
+def test_unseen_values_are_scored_or_said_to_be_unscored(spark, sf_dir, detector):
+    cards = fx.transactions(spark, sf_dir).limit(50).cache()
+    new = cards.withColumn("card_number", F.concat(F.lit("9"), F.col("id"))).withColumn("address_city", F.lit("New City"))
+    rows = detector.score(new).collect()
+    assert len(rows) == 50 and all(r["anomaly_score"] is not None for r in rows)
+    bare = scoring.fit_detector(fx.transactions(spark, sf_dir), feature_sets.CLUSTER, AS_OF, n_estimators=10)
+    got = bare.score(new).collect()  # this set learns no fills, so a new card has no counts
+    assert {(r["fraud_flag"], r["risk_level"]) for r in got} == {(None, "unscored")}
+    strict = feature_sets.FeatureModel(**{**detector.features.__dict__, "unseen": "error"})
+    with pytest.raises(Exception, match="unseen value in address_city"):
+        strict.transform(new.withColumn("card_number", F.lit(None).cast("string"))).collect()
+
+
+def test_republished_model_scores_the_next_batch(spark, sf_dir, detector, tmp_path):
+    model, stored, out, ck = (str(tmp_path / n) for n in ("model", "cards", "out", "ck"))
+    cards = fx.transactions(spark, sf_dir).limit(40)
+    scoring.save_model(detector, spark, model)
+    first = scoring.load_model(spark, model)
+    cards.coalesce(1).write.mode("append").parquet(stored)
+    stream = spark.readStream.schema(cards.schema).parquet(stored)
+    assert scoring.start_scoring(stream, model, out, ck, available_now=True).awaitTermination(180)
+    scoring.save_model(scoring.Detector(first.features, first.forest, 1.0, 1.0), spark, model)
+    cards.coalesce(1).write.mode("append").parquet(stored)
+    assert scoring.start_scoring(stream, model, out, ck, available_now=True).awaitTermination(180)
+    by_batch = {r["batch"]: r["n"] for r in spark.read.parquet(out).filter("fraud_flag = 1").groupBy("batch").agg(F.count("*").alias("n")).collect()}
+    assert by_batch[1] == 40 and by_batch.get(0, 0) < 40
+    other = scoring.start_scoring(stream, model, out, str(tmp_path / "ck2"), available_now=True)
+    assert other.awaitTermination(180)
+    assert spark.read.parquet(out).select("run").distinct().count() == 2
+
+
+def test_owned_tables_are_deleted(spark, tmp_path):
+    import os
+
+    from fraudloom.session import cut_lineage, owned_tables
+
+    with owned_tables(spark) as folder:
+        assert cut_lineage(spark.range(5)).count() == 5
+        local = folder.removeprefix("file:")
+        assert os.listdir(local)
+    assert not os.path.exists(local)
