@@ -148,12 +148,13 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 5, *
 
 
 def _cut(text: bytes, hit: list[int]) -> str:
-    """A text without its hit words; what stood around a removed span stays."""
-    out, at, gone = [], 0, set(hit)
+    """A text without its runs of hit words and what lies between the words of a run."""
+    out, at, last, gone = [], 0, -2, set(hit)
     for i, m in enumerate(_WORD.finditer(text.translate(FOLD))):
         if i in gone:
-            out.append(text[at : m.start()])
-            at = m.end()
+            if last != i - 1:
+                out.append(text[at : m.start()])
+            at, last = m.end(), i
     return b"".join([*out, text[at:]]).decode()
 
 
