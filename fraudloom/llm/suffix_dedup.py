@@ -54,7 +54,7 @@ _PLACE = _U(20)
 @dataclass(frozen=True)
 class Spec:
     length: int = 100
-    gram: int = 50
+    gram: int = 32
     #: Bytes of text that a group of documents has on average.
     group_bytes: int = 16 << 20
     #: Occurrences beyond which an anchor's strings are dealt out one by one.
@@ -80,51 +80,66 @@ def suffix_types(t: np.ndarray) -> np.ndarray:
     return smaller
 
 
-def _words(t: np.ndarray) -> np.ndarray:
-    """At each place the next four symbols plus one, as one number; zeros beyond the end."""
-    wide = np.zeros(len(t) + 4, np.uint64)
+def _words(t: np.ndarray) -> tuple[np.ndarray, int, int]:
+    """At each place the next symbols plus one as one number, with zeros beyond the end; their count and bits."""
+    bits = 9 if not len(t) or int(t.max()) < 511 else 16
+    count = 63 // bits
+    wide = np.zeros(len(t) + count, np.uint64)
     wide[: len(t)] = t.astype(np.uint64) + _U(1)
-    return (wide[:-4] << _U(48)) | (wide[1:-3] << _U(32)) | (wide[2:-2] << _U(16)) | wide[3:-1]
+    out = np.zeros(len(t), np.uint64)
+    for i in range(count):
+        out = (out << _U(bits)) | wide[i : len(t) + i]
+    return out, count, bits
 
 
-def _sort_directly(starts: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Suffixes in order, by four symbols at a time; only ties are looked at again."""
+def _sort_directly(starts: np.ndarray, packed: tuple[np.ndarray, int, int], most: int) -> np.ndarray:
+    """Suffixes in the order of their first ``most`` symbols, some symbols at a time; only ties are looked at again."""
+    words, step, _ = packed
     order = starts[np.argsort(words[starts], kind="stable")]
     first = words[order]
     head = np.ones(len(order), bool)
     head[1:] = first[1:] != first[:-1]
-    depth, n = 4, len(words)
-    tied = np.flatnonzero(~(head & np.append(head[1:], True)))
+    depth, n = step, len(words)
     group = np.cumsum(head)
-    while len(tied):
+    tied = np.flatnonzero(~(head & np.append(head[1:], True)))
+    while len(tied) and depth < most:
         at = order[tied] + depth
         key = np.where(at < n, words[np.minimum(at, n - 1)], _U(0))
         own = group[tied]
         by = np.lexsort((key, own))
         order[tied] = order[tied][by]
         key, own = key[by], own[by]
-        fresh_head = np.ones(len(tied), bool)
-        fresh_head[1:] = (own[1:] != own[:-1]) | (key[1:] != key[:-1])
-        group = group.astype(np.int64)
-        group[tied] = tied[np.maximum.accumulate(np.where(fresh_head, np.arange(len(tied)), 0))] + len(group) + 1
-        single = fresh_head & np.append(fresh_head[1:], True)
-        tied = tied[~single]
-        depth += 4
+        fresh = np.ones(len(tied), bool)
+        fresh[1:] = (own[1:] != own[:-1]) | (key[1:] != key[:-1])
+        # a group is named by the place of its first member, so names rise with the order
+        group[tied] = tied[np.maximum.accumulate(np.where(fresh, np.arange(len(tied)), 0))]
+        tied = tied[~(fresh & np.append(fresh[1:], True))]
+        depth += step
     return order
 
 
-def suffix_array(t: np.ndarray) -> np.ndarray:
-    """Two-stage sorting of all suffixes of an array of symbols below 65,535."""
+def suffix_array(
+    t: np.ndarray, most: int | None = None, smaller: np.ndarray | None = None, wanted: np.ndarray | None = None
+) -> np.ndarray:
+    """Two-stage sorting of the suffixes of an array of symbols below 65,535.
+
+    With ``most``, suffixes that agree in so many symbols may stand in any order.
+    ``wanted`` marks the places to sort, all by default; with a place whose suffix
+    is larger than its successor it must mark the next place too. ``smaller`` are
+    the suffix types, if they are known.
+    """
     n = len(t)
     if not n:
         return np.zeros(0, np.int64)
     t = t.astype(np.int64)
-    smaller = suffix_types(t)
-    direct = _sort_directly(np.flatnonzero(smaller), _words(t))
+    smaller = suffix_types(t) if smaller is None else smaller
+    wanted = np.ones(n, bool) if wanted is None else wanted
+    direct = _sort_directly(np.flatnonzero(smaller & wanted), _words(t), n if most is None else most)
     top = int(t.max()) + 1
     bounds = np.searchsorted(t[direct], np.arange(top + 1))
     induced: list[list[np.ndarray]] = [[] for _ in range(top)]
-    induced[t[-1]].append(np.array([n - 1], np.int64))  # the end comes first of all and induces the last suffix
+    if wanted[-1]:
+        induced[t[-1]].append(np.array([n - 1], np.int64))  # the end comes first of all and induces the last suffix
     out = []
     for c in range(top):
         own = induced[c]
@@ -132,7 +147,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
         parts = [wave]
         while len(wave):
             before = wave[wave > 0] - 1
-            wave = before[t[before] == c]
+            wave = before[(t[before] == c) & wanted[before]]
             parts.append(wave)
         bucket = np.concatenate([*parts, direct[bounds[c] : bounds[c + 1]]])
         induced[c] = []
@@ -141,14 +156,15 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
         out.append(bucket)
         before = bucket[bucket > 0] - 1
         symbol = t[before]
-        before, symbol = before[symbol > c], symbol[symbol > c]
+        larger = (symbol > c) & wanted[before]
+        before, symbol = before[larger], symbol[larger]
         if len(before):
             by = np.argsort(symbol.astype(np.uint16), kind="stable")
             before, symbol = before[by], symbol[by]
             cuts = np.flatnonzero(np.diff(symbol)) + 1
             for part, s in zip(np.split(before, cuts), symbol[np.append(0, cuts)]):
                 induced[s].append(part)
-    return np.concatenate(out)
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 def adjacent_prefixes(t: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
@@ -156,19 +172,21 @@ def adjacent_prefixes(t: np.ndarray, order: np.ndarray, most: int) -> np.ndarray
     out = np.zeros(len(order), np.int64)
     if len(order) < 2:
         return out
-    words, n = _words(t), len(t)
+    (words, step, bits), n = _words(t), len(t)
     live, a, b, depth = np.arange(1, len(order)), order[:-1].copy(), order[1:].copy(), 0
     while len(live) and depth < most:
         inside = (a + depth < n) & (b + depth < n)
         live, a, b = live[inside], a[inside], b[inside]
         x = words[a + depth] ^ words[b + depth]
-        # leading equal symbols of the word, but not those beyond an end
-        same = np.where(x == 0, 4, np.where(x >> _U(16) == 0, 3, np.where(x >> _U(32) == 0, 2, np.where(x >> _U(48) == 0, 1, 0))))
-        left = n - np.maximum(a, b) - depth
+        same = np.full(len(x), step)
+        differs = np.flatnonzero(x)
+        # leading equal symbols of words that differ
+        same[differs] = sum((x[differs] >> _U(bits * (step - 1 - i)) == 0).astype(np.int64) for i in range(step))
+        left = n - np.maximum(a, b) - depth  # zeros beyond an end are equal too, but no symbols
         out[live] += np.minimum(same, left)
-        go = (same == 4) & (left > 4)
+        go = (same == step) & (left > step)
         live, a, b = live[go], a[go], b[go]
-        depth += 4
+        depth += step
     return np.minimum(out, most)
 
 
@@ -179,21 +197,33 @@ def repeated_starts(segments: list[bytes], length: int) -> list[np.ndarray]:
     t = np.zeros(places[-1], np.uint16)
     at = np.arange(len(t) - len(segments)) + np.repeat(np.arange(len(segments)), sizes)
     t[at] = np.frombuffer(b"".join(segments), np.uint8).astype(np.uint16) + 1
-    order = suffix_array(t)
+    # only starts with a whole string before the separator are wanted, and what induces them:
+    # the places up to the first suffix that is sorted directly
+    begin, last = places[:-1], places[:-1] + sizes - length
+    smaller = suffix_types(t)
+    sorted_first = np.append(np.flatnonzero(smaller), len(t) - 1)
+    stop = sorted_first[np.searchsorted(sorted_first, last)]
+    wanted, starts = _ranges(begin, stop, len(t)), _ranges(begin, last, len(t))
+    order = suffix_array(t, length, smaller, wanted)
+    order = order[starts[order]]
     same = adjacent_prefixes(t, order, length) >= length
     group = np.cumsum(~same)
-    size = np.bincount(group)
-    many = np.flatnonzero(size[group] > 1)
-    if not len(many):
-        return [np.zeros(0, np.int64)] * len(segments)
+    many = np.flatnonzero(np.bincount(group)[group] > 1) if len(order) else np.zeros(0, int)
     g, p = group[many], order[many]
     by = np.lexsort((p, g))
     g, p = g[by], p[by]
     later = np.sort(p[1:][g[1:] == g[:-1]])
     cuts = np.searchsorted(later, places)
-    # a string over a separator is in a group of such strings only, and no string of a segment
-    found = (later[cuts[i] : cuts[i + 1]] - places[i] for i in range(len(segments)))
-    return [x[x <= size - length] for x, size in zip(found, sizes)]
+    return [later[cuts[i] : cuts[i + 1]] - places[i] for i in range(len(segments))]
+
+
+def _ranges(first: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
+    """True from each first to its last place, both included; ranges may meet but not overlap."""
+    edges = np.zeros(n + 1, np.int64)
+    some = last >= first
+    np.add.at(edges, first[some], 1)
+    np.add.at(edges, last[some] + 1, -1)
+    return np.cumsum(edges[:-1]) > 0
 
 
 # -- anchors -----------------------------------------------------------------------
@@ -248,7 +278,8 @@ def anchor_runs(text: bytes, spec: Spec) -> tuple[np.ndarray, np.ndarray, np.nda
         place = least & _U((1 << 20) - 1)
         lo = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1])
         hi = np.append(lo[1:] - 1, len(place) - 1)
-        found.append((lo + at, hi + at, h[place[lo].astype(np.int64)]))
+        # the least hashes are small numbers; mixed again they spread over all slots
+        found.append((lo + at, hi + at, _mix(h[place[lo].astype(np.int64)] + _U(_BASE))))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return tuple(np.concatenate(x) for x in zip(*found))
