@@ -82,9 +82,13 @@ def owned_changes_only(
     base: DataFrame, changes: DataFrame, key: str = "id", owner: str = "user_id",
     requester: str = "requester_id", request: str = "request_id",
 ) -> tuple[DataFrame, DataFrame]:
-    """Changes by a row's owner; the rest with the reason they are refused."""
-    owners = base.select(F.col(key), F.col(owner).alias("_owner"))
-    reason = F.when(F.col("_owner").isNull(), NOT_FOUND).when(F.col("_owner") != F.col(requester), DENIED)
+    """Changes by a row's owner; the rest with the reason they are refused.
+
+    A row without an owner is there, but nobody may change it.
+    """
+    owners = base.select(F.col(key), F.col(owner).alias("_owner"), F.lit(True).alias("_there"))
+    is_owner = F.coalesce(F.col("_owner") == F.col(requester), F.lit(False))
+    reason = F.when(F.col("_there").isNull(), NOT_FOUND).when(~is_owner, DENIED)
     judged = changes.join(owners, key, "left").withColumn("_reason", reason)
     return _judged(judged, changes.columns, request)
 

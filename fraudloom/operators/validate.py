@@ -50,6 +50,7 @@ ADDRESS_RULES = [
     Rule("city", max_len=120, required=True),
     Rule("state", max_len=120, required=True),
 ]
+# Texts that read as true and as false.
 TRUE_TEXTS = ["t", "y", "yes", "true", "on", "1"]
 FALSE_TEXTS = ["f", "n", "no", "false", "off", "0"]
 CARD_RULES = [

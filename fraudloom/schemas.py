@@ -1,4 +1,4 @@
-"""Row types of the card and shop tables."""
+"""Row types of the card and shop tables. Column names and types."""
 
 from pyspark.sql import types as T
 

@@ -118,3 +118,24 @@ def test_validation(spark):
     prices = spark.createDataFrame([(1, "12.5%"), (2, "12.345"), (3, "")], "id long, price string")
     got = rows(validate.validate_form_rules(prices, "product", 2024), "id", "reason")
     assert got == [(2, "price: bad format"), (3, "price: required")]
+
+
+def test_long_chain_of_clashing_registrations(spark):
+    """Request i shares its username with i - 1 when i is odd and its e-mail when i is even: every other one is refused."""
+    from fraudloom.operators import maintain
+
+    rows = [(i, f"u{(i + 1) // 2}", f"m{i // 2}@x") for i in range(24)]
+    users = spark.createDataFrame([(1, "other", "other@x")], "id long, username string, email string")
+    taken, refused = maintain.register_users(users, spark.createDataFrame(rows, "request_id long, username string, email string"))
+    assert sorted(r["request_id"] for r in taken.collect()) == list(range(0, 24, 2))
+    assert sorted(r["request_id"] for r in refused.collect()) == list(range(1, 24, 2))
+
+
+def test_ownerless_rows_are_there_but_denied(spark):
+    from fraudloom.operators import maintain
+
+    base = spark.createDataFrame([(1, None), (2, 7)], "id long, user_id long")
+    changes = spark.createDataFrame([(1, 1, 7), (2, 2, 7), (3, 9, 7), (4, 2, None)], "request_id long, id long, requester_id long")
+    kept, refused = maintain.owned_changes_only(base, changes)
+    assert [r["request_id"] for r in kept.collect()] == [2]
+    assert {r["request_id"]: r["reason"] for r in refused.collect()} == {1: maintain.DENIED, 3: maintain.NOT_FOUND, 4: maintain.DENIED}
