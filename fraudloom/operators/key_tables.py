@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fraudloom.operators.numbering import POSITION_BITS
-from fraudloom.plans.sizing import HOT_SHARE, SALT_FROM_ROWS, KeyProfile, join_back, sized
+from fraudloom.plans.sizing import SALT_FROM_ROWS, KeyProfile, hot_share, join_back, sized
 from fraudloom.session import cut_lineage
 
 @dataclass(frozen=True)
@@ -139,6 +139,8 @@ def _fold(df, counts, members, labels, approx) -> DataFrame:
             member = F.when(present, F.col(m.value).cast("string"))
             records.append(_record(key, value, slot + 1, member, F.lit(0), [], n_counts))
     long = df.select(F.explode(F.array(*records)).alias("r")).select("r.*")
+    # members without a key, or missing ones, count nowhere: they need not be shuffled
+    long = long.filter("_slot = 0 OR (_value IS NOT NULL AND _member IS NOT NULL)")
     numbers = ["_rows"] + [f"_c{i}" for i in range(n_counts)]
     if not approx and n_members:
         long = long.groupBy("_key", "_value", "_slot", "_member").agg(*[F.sum(c).alias(c) for c in numbers])
@@ -164,7 +166,8 @@ def _record(key, value: Column, slot: int, member: Column | None, row: Column, o
 
 def _profiles(stored, spans, groups, salt_from_rows) -> dict[str, KeyProfile]:
     total = {k: sum(s["rows"] for s in spans if s["_key"] == k) for k in groups}
-    floors = {k: n * HOT_SHARE for k, n in total.items() if n >= salt_from_rows}
+    share = hot_share(stored.sparkSession)
+    floors = {k: n * share for k, n in total.items() if n >= salt_from_rows}
     hot = defaultdict(list)
     if floors:
         heavy = F.lit(False)

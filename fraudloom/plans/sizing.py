@@ -7,12 +7,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 32 * 1024 * 1024
 SALTS = 32
+#: A key is hot from this share of the rows, or from a few partitions' worth of them if that is less.
 HOT_SHARE = 1 / 64
+LEAST_HOT_SHARE = 1 / 4096
 SALT_FROM_ROWS = 5_000_000
 _ROW_OVERHEAD = 64
 
@@ -21,7 +23,7 @@ _ROW_OVERHEAD = 64
 class KeyProfile:
     """Counted size of a one-row-per-key table and the keys holding many rows.
 
-    At most ``1 / HOT_SHARE`` keys can be hot, so ``hot`` is always short.
+    At most ``1 / LEAST_HOT_SHARE`` keys can be hot, so ``hot`` is always short.
     """
 
     distinct: int
@@ -34,6 +36,12 @@ class KeyProfile:
         return self.distinct * width <= (BROADCAST_BYTES if limit is None else limit)
 
 
+def hot_share(spark: SparkSession) -> float:
+    """The share of all rows from which a key is salted, given the number of shuffle partitions."""
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(min(HOT_SHARE, 4 / partitions), LEAST_HOT_SHARE)
+
+
 def join_back(
     df: DataFrame,
     table: DataFrame,
