@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -42,8 +43,10 @@ from fraudloom.session import shared_folder
 BLOCK_IDS = 65_536
 SHARD_BYTES = 64 << 20
 BLOCKS = "shard int, block int, first long, n long, bits int, payload binary, doc_ids array<long>, ends array<long>"
-#: White space that is not a lone blank or line end between two other characters.
-_UNSAFE = re.compile(r"\s\s|^\s|\s$|[^\S \n]")
+#: White space that is not a lone blank or line end between two other characters, and the mark that cuts texts.
+_DOUBLE = ("  ", "\n\n", " \n", "\n ")
+_ODD_ASCII = ("\0", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f")
+_ODD_SPACE = re.compile(r"[^\S\x00-\x20]")
 
 
 def id_bits(vocabulary: int) -> int:
@@ -69,10 +72,24 @@ def unpack(payload: bytes, bits: int, start: int, count: int) -> np.ndarray:
     return (places.astype("<u4") << np.arange(bits, dtype="<u4")).sum(axis=1, dtype="<u4")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter by which byte-level vocabularies write each byte: itself if printable, else the next from U+0100 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = iter(range(0x100, 0x200))
+    return {b: chr(b if b in shown else next(hidden)) for b in range(256)}
+
+
 class Encoder:
-    """A tokenizer with a cache of pieces between blanks."""
+    """A tokenizer with a cache of pieces between blanks.
+
+    Pieces that are one run of letters, with or without marks behind, go straight
+    to the library's merge model; below U+0250 there is no doubt what a letter is.
+    Other new pieces are encoded in one call, as lines of one text: a line end
+    between them is a token of its own and so parts their ids.
+    """
 
-    KEPT, LONGEST = 250_000, 64
+    KEPT, LONGEST = 350_000, 64
+    MARKS, PLAIN = ",.;:!?|#*&%$", "\u0250"
 
     def __init__(self, data: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -80,53 +97,101 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(data.decode())
         self.tokenizer.encode_special_tokens = True
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.vocabulary = self.tokenizer.get_vocab_size()
-        kind = self.tokenizer.pre_tokenizer
-        self.splits = type(kind).__name__ == "ByteLevel" and not kind.add_prefix_space and self.tokenizer.normalizer is None
+        self.packed = [struct.pack("<I", i) for i in range(max(self.tokenizer.get_vocab().values()) + 1)]
+        kind, line = self.tokenizer.pre_tokenizer, self._library("\n")
+        plain = type(kind).__name__ == "ByteLevel" and not kind.add_prefix_space and kind.use_regex
+        self.splits = plain and self.tokenizer.normalizer is None and len(line) == 4
+        self.line = line
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, pieces: set[str]) -> None:
+    def _library(self, text: str) -> bytes:
+        found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
+        return np.asarray(found.ids, "<u4").tobytes()
+
+    def _run(self, piece: str) -> bytes:
+        """Ids of a piece that is not split before merging."""
+        if piece.isascii():  # visible ASCII stands for itself
+            spelled = piece.replace(" ", self.letters[0x20])
+        else:
+            spelled = piece.encode().decode("latin-1").translate(self.letters)
+        return b"".join([self.packed[t.id] for t in self.model.tokenize(spelled)])
+
+    def _quick(self, piece: str) -> bytes | None:
+        """Ids of a run of letters, marks behind it, and a line end or blank in front; None for anything else."""
+        if piece[0] == "\n":
+            own = self._kept(piece[1:]) if len(piece) > 1 else b""
+            return None if own is None else self.line + own
+        stem = piece.rstrip(self.MARKS)
+        if len(stem) < len(piece):
+            if not stem or not stem[-1].isalnum() or stem[-1] >= self.PLAIN:
+                return None
+            own = self._kept(stem)
+            return None if own is None else own + self._run(piece[len(stem):])
+        letters = piece[1:] if piece[0] == " " else piece
+        if letters.isalpha() and (letters.isascii() or max(letters) < self.PLAIN):
+            return self._run(piece)
+        return None
+
+    def _kept(self, piece: str) -> bytes | None:
+        own = self.known.get(piece) or self.old.get(piece) or self._quick(piece)
+        if own is not None and len(piece) <= self.LONGEST:
+            self.known[piece] = own
+        return own
+
+    def _lines(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces without line ends and without white space but a first blank."""
+        data = self._library("\n".join(pieces))
+        ends = np.flatnonzero(np.frombuffer(data, "<u4") == int.from_bytes(self.line, "little")) * 4
+        begins, ends = [0, *(ends + 4).tolist()], [*ends.tolist(), len(data)]
+        return [data[a:b] for a, b in zip(begins, ends)]
+
+    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of new pieces; all but very long ones go to the cache, whose older half is forgotten when full."""
         if len(self.known) + len(pieces) > self.KEPT:
             self.old, self.known = self.known, {}
-        asked = []
+        found, rest = {}, []
         for p in pieces:
-            own = self.old.get(p)
+            own = self._kept(p)
             if own is None:
-                asked.append(p)
+                rest.append(p)
             else:
-                self.known[p] = own
-        self.known.update(zip(asked, self._library(asked)))
+                found[p] = own
+        bare = [p[1:] if p[0] == "\n" else p for p in rest]
+        if bare:
+            made = dict(zip(rest, self._lines(bare)))
+            found |= {p: self.line + x if p[0] == "\n" else x for p, x in made.items()}
+            self.known.update((p, found[p]) for p in rest if len(p) <= self.LONGEST)
+        return found
+
+    def _splittable(self, text: str) -> bool:
+        """Whether white space is only lone blanks and line ends between other characters."""
+        if any(x in text for x in _DOUBLE) or text[0].isspace() or text[-1].isspace() or any(x in text for x in _ODD_ASCII):
+            return False
+        return text.isascii() or not _ODD_SPACE.search(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         out: list[bytes] = [b""] * len(texts)
         split: dict[int, list[str]] = {}
         for i, t in enumerate(texts):
-            if t and self.splits and not _UNSAFE.search(t):
-                pieces = t.replace("\n", " \n").split(" ")
-                split[i] = [pieces[0], *(p if p[0] == "\n" else " " + p for p in pieces[1:])]
+            if t and self.splits and self._splittable(t):
+                # a blank goes with the word behind it, a line end too
+                split[i] = t.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
             elif t:
-                out[i] = self._library([t])[0]
-        new = set().union(*split.values()) - self.known.keys()
-        large = {p for p in new if len(p) > self.LONGEST}
-        self._learn(new - large)
-        extra = dict(zip(large, self._library(list(large))))
-        # learning may have moved earlier pieces out
+                out[i] = self._library(t)
+        found = self._learn(set().union(*split.values()).difference(self.known))
+        known = self.known
         for i, pieces in split.items():
             try:
-                out[i] = b"".join(map(self.known.__getitem__, pieces))
-            except KeyError:
-                out[i] = b"".join(self._one(p, extra) for p in pieces)
+                out[i] = b"".join(map(known.__getitem__, pieces))
+            except KeyError:  # a very long piece, or one that a full cache has just forgotten
+                own = (known.get(p) or found.get(p) or self.old.get(p) for p in pieces)
+                out[i] = b"".join(x if x is not None else self._library(p) for x, p in zip(own, pieces))
         return out
 
-    def _one(self, piece: str, extra: dict[str, bytes]) -> bytes:
-        own = self.known.get(piece) or extra.get(piece) or self.old.get(piece)
-        return self._library([piece])[0] if own is None else own
-
 
 @lru_cache(maxsize=2)
 def encoder(data: bytes) -> Encoder:
