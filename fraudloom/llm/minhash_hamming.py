@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 
 from fraudloom.llm.common import annotate, bytes_of, fresh
 from fraudloom.operators.components import connected_components
+from fraudloom.plans.sizing import sized
 from fraudloom.session import cut_lineage
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -219,8 +220,9 @@ def close_pairs(pairs: DataFrame, signed: DataFrame, plan: Plan) -> DataFrame:
 
 def confirm(pairs: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough; ``texts`` has id and text."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    needed = texts.join(asked, "id", "left_semi")
+    asked = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    # few ids are sent to the texts, so that these need not be dealt out by id
+    needed = texts.join(sized(asked, asked.count(), 8), "id", "left_semi")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,7 +241,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     both = (
-        pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+        sets.select(F.col("id").alias("b"), F.col("s").alias("sb")).join(sized(pairs, pairs.count(), 16), "b")
         .join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
         .select("a", "b", "sa", "sb")
     )
