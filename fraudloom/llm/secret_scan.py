@@ -9,10 +9,14 @@ Fisher's method joins their p-values.
 
 Random tokens have uniform p-values, ordinary names and paths have tiny ones, but
 the shorter a token the weaker the tests. So tokens are classed by alphabet and
-length, and each class has its own cut: the least p above which the estimated
-share of ordinary tokens stays within ``false_share``. Twice the number of tokens
-with p >= 0.5 estimates a class's random tokens. The class counts cover all
-documents; they are a table of at most classes x cuts numbers.
+length, and each class has its own cut. Copies say nothing new, so a token counts
+once however often it occurs. If all tokens above a cut are random, half of them
+lie above the middle between the cut and 1; a cut is refused if so few do that a
+share of ordinary tokens within ``false_share`` has probability under ``level``.
+The least cut that is not refused holds. Once a lower one is refused the class is
+known to hold ordinary tokens, and a cut with no token above its middle is refused
+however few tokens there are. A class whose cuts are all refused reports nothing.
+The counts cover all documents; they are a table of at most classes x cuts numbers.
 
 Positions count code points, ends are exclusive. Defined results: null and empty
 texts have no spans; repeated rows are scanned one by one; an empty table has no
@@ -60,6 +64,7 @@ CUTS = (0.001, 0.01, 0.05, 0.1, 0.2, 0.5)
 class Battery:
     least_bits: float = 64.0
     false_share: float = 0.1
+    level: float = 0.05
 
 
 def _bound(value: Column, use) -> Column:
@@ -163,7 +168,7 @@ def _sides(token: Column, letters: Column, half: Column) -> Column:
     ), "")
 
 
-TESTED = "array<struct<start:int,rank:int,end:int,kind:string,p:double>>"
+TESTED = "array<struct<start:int,rank:int,end:int,kind:string,token:string,p:double>>"
 
 
 def _tested(spans: Column, battery: Battery) -> Column:
@@ -176,6 +181,7 @@ def _tested(spans: Column, battery: Battery) -> Column:
         return F.when(enough, F.struct(
             s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"),
             F.concat_ws("/", e["name"], length_class.cast("string")).alias("kind"),
+            token.alias("token"),
             p_value(token, e["letters"]).alias("p"),
         ))
 
@@ -193,20 +199,38 @@ def candidates(docs: DataFrame, text: str, out: str, battery: Battery) -> DataFr
     return taken.withColumn(out, F.when(worth, _tested(spans, battery)).otherwise(F.array().cast(TESTED))).drop(found)
 
 
+def _at_most(k: int, n: int, share: float) -> float:
+    """Probability of at most ``k`` successes in ``n`` trials."""
+    log = lambda i: (
+        math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(share) + (n - i) * math.log1p(-share)
+    )
+    top = log(k)
+    total, i = 0.0, k
+    while i >= 0 and (term := math.exp(log(i) - top)) > 1e-12:
+        total, i = total + term, i - 1
+    return min(math.exp(top) * total, 1.0)
+
+
+def chosen_cut(counts: list[tuple[int, int]], battery: Battery) -> float | None:
+    """The least cut not refused, from each cut's tokens above it and above its middle; None if all are refused."""
+    for i, (c, (n, upper)) in enumerate(zip(CUTS, counts)):
+        expected = n * (1 - battery.false_share) / 2
+        likely = upper >= expected or _at_most(upper, n, (1 - battery.false_share) / 2) >= battery.level
+        if n and likely and (i == 0 or upper):
+            return c
+    return None
+
+
 def class_cuts(docs: DataFrame, text: str = "text", battery: Battery = Battery()) -> dict[str, float]:
-    """The least accepted p-value of every class of tokens, from the counts of all documents."""
+    """The least accepted p-value of every class of tokens, from the counts of distinct tokens of all documents."""
     out = fresh(docs, "tested")
-    tested = candidates(docs.select(text), text, out, battery).select(F.explode(out).alias("t")).select("t.kind", "t.p")
-    rows = tested.groupBy("kind").agg(*(F.count(F.when(F.col("p") >= c, 1)).alias(f"n{i}") for i, c in enumerate(CUTS))).collect()
-    cuts = {}
-    for row in rows:
-        random = 2 * row[f"n{len(CUTS) - 1}"]
-        for i, c in enumerate(CUTS):
-            n = row[f"n{i}"]
-            if n - (1 - c) * random <= battery.false_share * n + math.sqrt(n):
-                cuts[row["kind"]] = c
-                break
-    return cuts
+    tested = candidates(docs.select(text), text, out, battery).select(F.explode(out).alias("t")).select("t.*")
+    # long tokens go by their digest; those under the least cut are in no count
+    single = tested.filter(F.col("p") >= CUTS[0]).select("kind", F.sha2("token", 256).alias("token"), "p").distinct()
+    above = lambda c, name: F.count(F.when(F.col("p") >= c, 1)).alias(name)
+    counts = [x for i, c in enumerate(CUTS) for x in (above(c, f"n{i}"), above((1 + c) / 2, f"upper{i}"))]
+    cuts = {r["kind"]: chosen_cut([(r[f"n{i}"], r[f"upper{i}"]) for i in range(len(CUTS))], battery) for r in single.groupBy("kind").agg(*counts).collect()}
+    return {kind: cut for kind, cut in cuts.items() if cut is not None}
 
 
 def find_secrets(docs: DataFrame, text: str = "text", battery: Battery = Battery()) -> tuple[DataFrame, str]:

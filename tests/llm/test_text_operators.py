@@ -273,6 +273,30 @@ def test_battery_tells_random_tokens_from_names(spark):
     assert len(flagged & set(range(150))) >= 140 and len(flagged & set(range(150, 300))) <= 5
 
 
+def test_copies_of_a_token_do_not_move_the_cut(spark):
+    rng = random.Random(12)
+    made = ["".join(rng.choices(secret_scan.ALPHABETS["HEX"], k=40)) for _ in range(60)]
+    p = spark.createDataFrame([(t,) for t in made], "t string").select("t", secret_scan.p_value(F.col("t"), F.lit(secret_scan.ALPHABETS["HEX"])).alias("p"))
+    by = sorted((r.p, r.t) for r in p.collect())
+    low = next(t for v, t in by if v >= 0.25)
+    others = [t for v, t in by if v >= 0.1 and t != low][::3]
+    rows = [(i, f"see {t} here") for i, t in enumerate([*others, *[low] * 200])] + [(900, f"{low} {low}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert secret_scan.class_cuts(docs) == {"HEX/10": secret_scan.CUTS[0]}
+    found, name = secret_scan.find_secrets(docs)
+    assert found.filter(~F.exists(name, lambda s: s["rank"] == 3)).count() == 0
+
+
+def test_no_cut_is_met_whatever_the_data():
+    cut = lambda ps: secret_scan.chosen_cut([(sum(p >= c for p in ps), sum(p >= (1 + c) / 2 for p in ps)) for c in secret_scan.CUTS], secret_scan.Battery())
+    even = [(i + 0.5) / 200 for i in range(200)]
+    assert cut(even) == secret_scan.CUTS[0] and cut([0.285]) == secret_scan.CUTS[0]
+    assert cut([0.002] * 400 + even) == 0.01  # the share of ordinary tokens above it is small enough
+    assert cut([0.3] * 60 + [0.51] * 8) is None and cut([0.002] * 60 + [0.3] * 2) is None
+    assert cut([0.3] * 60 + [0.51, 0.6, 0.8, 0.9]) == 0.5
+    assert cut([]) is None
+
+
 def test_battery_is_uniform_on_random_tokens(spark):
     rng = random.Random(9)
     rows = [("".join(rng.choices("0123456789abcdef", k=64)),) for _ in range(800)]
