@@ -17,8 +17,8 @@ tokenizers library once and kept in a bounded cache. Other texts go to the
 library whole.
 
 Defined results: null and empty texts have the final id alone; equal doc_ids are
-ordered by their texts' bytes, null ids come first; strings of special tokens are
-ordinary text; an empty table makes no blocks.
+ordered by their texts' bytes, null ids come first; strings of added tokens become
+those tokens, as in the library's plain call; an empty table makes no blocks.
 """
 
 from __future__ import annotations
@@ -96,13 +96,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(data.decode())
-        self.tokenizer.encode_special_tokens = True
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.packed = [struct.pack("<I", i) for i in range(max(self.tokenizer.get_vocab().values()) + 1)]
         kind, line = self.tokenizer.pre_tokenizer, self._library("\n")
         plain = type(kind).__name__ == "ByteLevel" and not kind.add_prefix_space and kind.use_regex
-        self.splits = plain and self.tokenizer.normalizer is None and len(line) == 4
+        self.added = tuple(x.content for x in self.tokenizer.get_added_tokens_decoder().values())
+        self.splits = plain and self.tokenizer.normalizer is None and len(line) == 4 and not any("\n" in x for x in self.added)
         self.line = line
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -167,7 +167,9 @@ class Encoder:
         return found
 
     def _splittable(self, text: str) -> bool:
-        """Whether white space is only lone blanks and line ends between other characters."""
+        """Whether white space is only lone blanks and line ends between other characters, and no added token is spelled."""
+        if any(x in text for x in self.added):
+            return False
         if any(x in text for x in _DOUBLE) or text[0].isspace() or text[-1].isspace() or any(x in text for x in _ODD_ASCII):
             return False
         return text.isascii() or not _ODD_SPACE.search(text)

@@ -469,6 +469,19 @@ def test_files_equal_the_library(spark, awkward, empty, tmp_path):
     assert packed_ids.read_documents(spark, none).count() == 0
 
 
+def test_texts_that_spell_added_tokens_equal_the_library():
+    from tokenizers import Tokenizer
+
+    path = packed_ids.tokenizer_file("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    mark = library.id_to_token(50256)
+    texts = [f"a {mark} b", mark, f"one two{mark}three\nfour", f"{mark}{mark} x", mark[:-1], "a b\nc", f"a {mark[:5]} {mark[5:]}"]
+    with open(path, "rb") as f:
+        got = packed_ids.Encoder(f.read()).encode(texts)
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 50256 in want[0] and [np.frombuffer(x, "<u4").tolist() for x in got] == want
+
+
 # classifiers
 
 
