@@ -163,7 +163,8 @@ def training_metrics(spark, sf):
 
 @query("pca_reconstruction")
 def pca_reconstruction(spark, sf):
-    rows, names = scaled_rows(spark, sf)
+    """Flags of every row; the fit leaves out rows that lack a feature, which have no error and no flag."""
+    rows, names = scaled_rows(spark, sf, every=True)
     errors = cut_lineage(ae.pca_error(ae.pca_fit(rows, names), rows))
     return flags.percentile_flag(errors, "Autoencoder_Error", 99, "Autoencoder")
 

@@ -6,6 +6,7 @@ from fraudloom.operators import autoencoder as ae
 from fraudloom.operators import dbscan, flags, search, silhouette
 from fraudloom.operators.components import connected_components
 from fraudloom.operators.iforest import ForestModel, average_path, isolation_forest_fit, isolation_forest_score
+from fraudloom.plans import queries_detect
 
 NAMES = ["a", "b", "c"]
 SCHEMA = "id long, user_id long, a double, b double, c double"
@@ -191,6 +192,15 @@ def test_pca_error(spark, blobs):
     assert np.allclose(got, ((centred - centred @ v @ v.T) ** 2).mean(axis=1), atol=1e-8)
 
 
+def test_pca_query_keeps_rows_that_lack_a_feature(spark, sf_dir):
+    rows, names = queries_detect.scaled_rows(spark, sf_dir, every=True)
+    lacking = {(r.id, r.user_id) for r in rows.filter(" OR ".join(f"`{n}` IS NULL" for n in names)).select("id", "user_id").collect()}
+    got = queries_detect.pca_reconstruction(spark, sf_dir).collect()
+    assert lacking and len(got) == rows.count()
+    assert {(r.id, r.user_id) for r in got if r.Autoencoder is None} == lacking
+    assert {(r.id, r.user_id) for r in got if r.Autoencoder_Error is None} == lacking
+
+
 def test_splits_do_not_depend_on_partitions(spark, blobs):
     parts = [
         sorted(r["id"] for r in flags.split_train_test(frame(spark, blobs, p), ["id", "user_id"])[1].collect())
