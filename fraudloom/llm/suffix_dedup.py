@@ -305,7 +305,7 @@ def _send_hashes(spec: Spec, slots: int):
         values, counts = np.unique(np.concatenate(hashes), return_counts=True) if hashes else (np.zeros(0, np.uint64), np.zeros(0, int))
         slot = _slot(values, slots).astype(np.int64)
         cuts = np.append(np.flatnonzero(np.diff(slot, prepend=-1)), len(slot))
-        counts = np.minimum(counts, 255).astype(np.uint8)
+        counts = np.minimum(counts, 2**32 - 1).astype("<u4")
         parts = list(zip(cuts[:-1], cuts[1:]))
         return pa.table({
             "slot": pa.array([slot[a] for a, _ in parts], pa.int64()),
@@ -321,7 +321,7 @@ def _repeated_hashes(spec: Spec):
     def run(table: pa.Table) -> pa.Table:
         sent = bytes_of(table["hashes"].combine_chunks())
         values = np.frombuffer(b"".join(sent), "<u8")
-        counts = np.frombuffer(b"".join(bytes_of(table["counts"].combine_chunks())), np.uint8).astype(np.int64)
+        counts = np.frombuffer(b"".join(bytes_of(table["counts"].combine_chunks())), "<u4").astype(np.int64)
         owner = np.repeat(np.arange(len(sent)), [len(x) // 8 for x in sent])
         order = np.argsort(values, kind="stable")
         v = values[order]

@@ -393,6 +393,16 @@ def test_kept_bytes_and_empty_tables(spark, empty):
     assert rows == {1: "qA", 2: "Bé"} or rows[2] == "Bé"
 
 
+def test_an_anchor_of_few_groups_is_hot(prose):
+    import pyarrow as pa
+
+    spec = suffix_dedup.Spec(hot=300)
+    docs = pa.table({"doc_id": pa.array(range(400), pa.int64()), "text": [prose[0]] * 400})
+    sent = suffix_dedup._send_hashes(spec, 1)((pa.scalar(0),), docs)
+    back = suffix_dedup._repeated_hashes(spec)(sent)
+    assert back["hashes"].to_pylist()[0] and back["hot"].to_pylist() == back["hashes"].to_pylist()
+
+
 # license join
 
 
