@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fraudloom.llm import decontaminate, minhash_hamming, quality_rules, secret_scan, wfst_pieces
 from fraudloom.llm.common import table
@@ -35,9 +36,11 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every document."""
+    """Piece ids of every document, the text decoded from them, and whether that is the document's text."""
     found, name = wfst_pieces.encode_documents(docs)
-    return found.select("doc_id", "source", "lang", f"{name}.*")
+    back, decoded = wfst_pieces.decode_documents(found.select("doc_id", "source", "lang", "text", f"{name}.*"))
+    same = F.col(decoded) == F.coalesce("text", F.lit(""))
+    return back.withColumn("round_trip", same).drop("text")
 
 
 STAGES = [

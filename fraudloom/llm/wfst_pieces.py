@@ -30,14 +30,16 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from math import inf
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StringType, StructField, StructType
 
-from fraudloom.llm.common import annotate, fresh, sha256_hex, tokenizer_file
+from fraudloom.llm.common import BATCH_ROWS, annotate, fresh, sha256_hex, tokenizer_file
 
 MARK = "▁"
 #: Fixed values of the model file's format.
@@ -360,6 +362,22 @@ def encode_documents(docs: DataFrame, model: bytes | None = None, text: str = "t
     return annotate(docs, name, "n_pieces long, n_byte_pieces long, ids array<int>", rows, text), name
 
 
+def decode_documents(docs: DataFrame, ids: str = "ids", model: bytes | None = None) -> tuple[DataFrame, str]:
+    """``docs`` with a column of the texts that an array column of piece ids spells, whose name is returned too; null is empty."""
+    name, at = fresh(docs, "decoded"), docs.columns.index(ids)
+    shared = docs.sparkSession.sparkContext.broadcast(model or model_bytes())
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, decode = compiled(shared.value)
+        for batch in batches:
+            lists = batch.column(at)
+            texts = [decode(np.asarray(lists[i].as_py() or [], "<u4")).decode() for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, name])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, StringType())])), name
+
+
 def encoded_digests(docs: DataFrame, model: bytes | None = None, text: str = "text") -> tuple[DataFrame, str]:
     """``docs`` with what encoding and decoding give: counts, crc32 of the ids, sha-256 of the decoded text, round trip."""
     name = fresh(docs, "encoded")

@@ -5,6 +5,8 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+import numpy as np  # noqa: E402
+
 import corpus_pipeline  # noqa: E402
 from fraudloom.llm import wfst_pieces  # noqa: E402
 
@@ -20,6 +22,14 @@ def test_stages_keep_the_columns(spark, sf_dir, awkward):  # noqa: F811
     assert {"doc_id", "ids"} <= set(last.columns) and last.count() == docs.count()
 
 
+def test_the_last_stage_decodes(spark, sf_dir, awkward):  # noqa: F811
+    t, _ = wfst_pieces.compiled(wfst_pieces.model_bytes())
+    texts = sorted(r.text or "" for r in awkward.select("text").collect())
+    rows = corpus_pipeline.STAGES[-1][1](spark, awkward, sf_dir).collect()
+    assert sorted(r.decoded for r in rows) == sorted(t.decode(t_ids) for t_ids in (r.ids for r in rows))
+    assert sum(r.round_trip for r in rows) == sum(t.decode(np.frombuffer(t.encode(x), "<u4")) == x for x in texts) > 0
+
+
 def test_stages_on_an_empty_table(spark, sf_dir, empty):  # noqa: F811
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf_dir).count() == 0, name

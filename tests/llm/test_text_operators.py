@@ -326,6 +326,20 @@ def test_pieces_equal_the_library(spark, awkward, empty):
     assert wfst_pieces.encode_documents(empty)[0].count() == 0
 
 
+def test_decoded_ids_equal_the_library(spark):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=wfst_pieces.tokenizer_file("piece_bpe_32k.model"))
+    ids = [library.encode(t) for t in ("a  b", "日本語 😀", "don't 12!!###", "")]
+    rows = [(i, x, "kept") for i, x in enumerate(ids)] + [(9, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, ids array<int>, decoded string")
+    back, name = wfst_pieces.decode_documents(docs)
+    same_table(back, docs)
+    got = {r.doc_id: r[name] for r in back.collect()}
+    assert got == {**{i: library.decode(x) for i, x in enumerate(ids)}, 9: ""}
+    assert wfst_pieces.decode_documents(docs.limit(0))[0].count() == 0
+
+
 def unigram_model(pieces):
     def field(n, data):
         return bytes([n << 3 | 2, len(data)]) + data
