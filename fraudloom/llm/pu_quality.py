@@ -1,7 +1,8 @@
 """Quality classifier by positive-unlabelled learning (operator 2).
 
 Trusted good documents are the positives, documents without a label the
-unlabelled; labels of bad ones are not used. A first classifier tells positives
+unlabelled; labels of bad ones are not used. If none lacks a label, all documents
+but the held-out ones are the unlabelled, their labels unread. A first classifier tells positives
 from unlabelled; from its scores the share of good documents among the unlabelled
 (the class prior) is estimated, as the least ratio of unlabelled to positive mass
 above a score. The final logistic model minimises the non-negative unbiased risk
@@ -16,7 +17,7 @@ documents, chosen by their ids' hashes; only their features reach the driver
 (some MB). Scores cover every document and use nothing but its whole text.
 
 Defined results: null and empty texts are scored as texts without words; without
-positives or unlabelled documents all scores are 1 (nothing speaks against any).
+positives all scores are 1 (nothing speaks against any).
 """
 
 from __future__ import annotations
@@ -160,12 +161,17 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_side:
     """Fit on bounded samples of positives and unlabelled documents; None if either is missing."""
     known = training_labels(labels, label, doc_id)
     positives = hashed_sample(known.filter("label = 1"), per_side)
-    free = docs.filter(F.col(doc_id).isNotNull() & ~held_out(doc_id)).select(F.col(doc_id).alias("doc_id")).join(
-        labels.select(F.col(doc_id).alias("doc_id")), "doc_id", "left_anti"
-    )
-    unlabelled = hashed_sample(free.distinct(), per_side).withColumn("label", F.lit(0))
-    texts = sampled_texts(docs, positives.unionByName(unlabelled), doc_id, text)
-    rows = annotate(texts, "f", "x array<double>", _featured).select("doc_id", "label", "f.x").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    fold = docs.filter(F.col(doc_id).isNotNull() & ~held_out(doc_id)).select(F.col(doc_id).alias("doc_id"))
+    free = fold.join(labels.select(F.col(doc_id).alias("doc_id")), "doc_id", "left_anti")
+
+    def featured(ids: DataFrame) -> list:
+        unlabelled = hashed_sample(ids.distinct(), per_side).withColumn("label", F.lit(0))
+        texts = sampled_texts(docs, positives.unionByName(unlabelled), doc_id, text)
+        return annotate(texts, "f", "x array<double>", _featured).select("doc_id", "label", "f.x").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+
+    rows = featured(free)
+    if rows and all(r["label"] == 1 for r in rows):
+        rows = featured(fold)
     x, y = np.array([r["x"] for r in rows]), np.array([r["label"] for r in rows])
     if not len(x) or not (y == 1).any() or not (y == 0).any():
         return None

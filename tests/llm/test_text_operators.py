@@ -538,6 +538,19 @@ def test_quality_without_bad_labels(spark, prose):
     assert [r.score for r in one.select(f"{n}.score").collect()] == [1.0] * 3
 
 
+def test_quality_when_every_document_has_a_label(spark, prose):
+    rng = random.Random(7)
+    fine = lambda: " ".join(rng.choices(" ".join(prose).split(), k=120))
+    junk = lambda: "### ".join(rng.choices(" ".join(prose).split(), k=40))
+    docs, labels = labelled(spark, [(junk(), 0) if i % 3 == 0 else (fine(), 1) for i in range(400)], "quality")
+    model = pu_quality.train(docs, labels)
+    assert model is not None
+    scored, name = pu_quality.score(docs, model)
+    s = {r.doc_id: r.score for r in scored.select("doc_id", f"{name}.score").collect()}
+    good, bad = [s[i] for i in range(400) if i % 3], [s[i] for i in range(0, 400, 3)]
+    assert sum(x >= 0.3 for x in good) > 0.8 * len(good) and sum(x < 0.3 for x in bad) > 0.8 * len(bad)
+
+
 def test_swaps_take_identity_terms_out_of_the_score(spark, prose):
     rng = random.Random(5)
     filler = lambda: rng.choices(" ".join(prose).split(), k=12)
