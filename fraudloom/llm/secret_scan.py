@@ -43,7 +43,7 @@ HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "random")
 LEAST_VALUE = 6
 
-CANDIDATE = r"[A-Za-z0-9+/_-]{16,}"
+CANDIDATE, PART = r"[A-Za-z0-9+/_-]{16,}", r"[A-Za-z0-9]+"
 DIGITS, UPPER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: Alphabets by rising size; a token belongs to the first that spells it.
@@ -185,6 +185,13 @@ def _tested(spans: Column, battery: Battery) -> Column:
             p_value(token, e["letters"]).alias("p"),
         ))
 
+    # no alphabet spells a run with both kinds of signs, such as a token behind a path: its parts are tested
+    unspelled = lambda s: s["value"].rlike("[+/]") & s["value"].rlike("[_-]")
+    parts = lambda s: F.transform(
+        _located(s["value"], PART, F.regexp_extract_all(s["value"], F.lit(PART), F.lit(0)), KINDS.index("random")),
+        lambda x: F.struct((s["start"] + x["start"]).alias("start"), x["rank"].alias("rank"), (s["start"] + x["end"]).alias("end"), x["value"].alias("value")),
+    )
+    spans = F.flatten(F.transform(spans, lambda s: F.when(unspelled(s), parts(s)).otherwise(F.array(s))))
     mixed = F.filter(spans, lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]"))
     known = F.transform(mixed, lambda s: F.struct(s.alias("s"), encoding_of(s["value"]).alias("e")))
     return F.filter(F.transform(known, lambda k: tested(k["s"], k["e"])), lambda t: t.isNotNull())

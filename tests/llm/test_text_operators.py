@@ -287,6 +287,15 @@ def test_copies_of_a_token_do_not_move_the_cut(spark):
     assert found.filter(~F.exists(name, lambda s: s["rank"] == 3)).count() == 0
 
 
+def test_tokens_behind_a_path_are_tested(spark):
+    rng = random.Random(15)
+    made = ["".join(rng.choices(secret_scan.ALPHABETS["base62"], k=40)) for _ in range(40)]
+    rows = [(i, f"é see my_dir/{t} or my_dir/x-{t}+tail") for i, t in enumerate(made)]
+    found, name = secret_scan.find_secrets(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: [r.text[s["start"] : s["end"]] for s in r.s] for r in found.select("doc_id", "text", F.col(name).alias("s")).collect()}
+    assert all(x in ([], [made[i]] * 2) for i, x in got.items()) and sum(map(bool, got.values())) >= 36
+
+
 def test_no_cut_is_met_whatever_the_data():
     cut = lambda ps: secret_scan.chosen_cut([(sum(p >= c for p in ps), sum(p >= (1 + c) / 2 for p in ps)) for c in secret_scan.CUTS], secret_scan.Battery())
     even = [(i + 0.5) / 200 for i in range(200)]
