@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from fraudloom.llm import (
     decontaminate,
+    exact_dedup,
     license_join,
+    merkle_manifest,
     minhash_hamming,
     packed_ids,
     pu_quality,
@@ -191,3 +193,71 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored, name = toxicity.score(docs, model)
     score = F.col(f"{name}.score")
     return scored.select("doc_id", held_out().alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
+
+
+OP12_SQL = """
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+  doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(t) AS text_sha256
+FROM d WINDOW same AS (PARTITION BY t)
+"""
+
+
+@query(OP12_SQL)
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked, name = exact_dedup.mark_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return marked.select(
+        "doc_id", *(F.col(f"{name}.{c}").alias(c) for c in ("keep_id", "group_size", "kept")), F.col(f"{name}.digest").alias("text_sha256")
+    )
+
+
+#: CRC-32 bit by bit: a byte enters as 256 + its value, then come eight shifts.
+OP11_SQL = """
+WITH RECURSIVE d AS (
+  SELECT *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered,
+    coalesce(xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(
+      string_split(doc_id::VARCHAR, ''), lambda c: [256 + ascii(c), 0, 0, 0, 0, 0, 0, 0, 0]))),
+      lambda c, x: CASE WHEN x >= 256 THEN xor(c, x - 256) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) % 3 = 0, false) AS hit
+  FROM documents),
+e AS (
+  SELECT lang, doc_id, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+    || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS front,
+    coalesce(strlen(text) || ':' || text, '-') AS body, CASE WHEN hit THEN coalesce(strlen(text) || ':' || lowered, '-') END AS other
+  FROM d),
+h AS (SELECT lang, doc_id, sha256(front || body) AS leaf, sha256(front || coalesce(other, body)) AS claim FROM e),
+langs AS (SELECT lang, count(*) AS n, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM h GROUP BY lang),
+leaves AS (
+  SELECT tree, n, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, doc_id, leaf, claim
+  FROM h JOIN langs ON h.lang IS NOT DISTINCT FROM langs.lang),
+low(tree, level, n, pos, hash) AS (
+  SELECT tree, 0, n, pos, leaf FROM leaves
+  UNION ALL
+  SELECT tree, level + 1, (n + 7) // 8, pos // 8, sha256(string_agg(hash, '' ORDER BY pos)) FROM low WHERE n > 1 GROUP BY tree, level, n, pos // 8),
+subroots AS (SELECT tree, hash FROM low WHERE n = 1),
+high(level, n, pos, hash) AS (
+  SELECT 0, (SELECT count(*) FROM subroots), tree, hash FROM subroots
+  UNION ALL
+  SELECT level + 1, (n + 7) // 8, pos // 8, sha256(string_agg(hash, '' ORDER BY pos)) FROM high WHERE n > 1 GROUP BY level, n, pos // 8),
+nodes AS (SELECT tree, level, n, pos, hash FROM low UNION ALL SELECT -1, level, n, pos, hash FROM high),
+runs AS (SELECT tree, level, pos // 8 AS run, list(hash ORDER BY pos) AS hashes FROM nodes WHERE n > 1 GROUP BY tree, level, pos // 8),
+climb(first_tree, first_pos, tree, level, n, pos, proof, folded) AS (
+  SELECT tree, pos, tree, 0, n, pos, '', claim FROM leaves
+  UNION ALL
+  SELECT first_tree, first_pos, step.tree, step.level, step.n, step.pos, step.proof, step.folded FROM (
+    SELECT first_tree, first_pos, c.tree, c.level + 1 AS level, (n + 7) // 8 AS n, pos // 8 AS pos,
+      proof || array_to_string(hashes[:pos % 8], '') || array_to_string(hashes[pos % 8 + 2:], '') AS proof,
+      sha256(array_to_string(hashes[:pos % 8], '') || folded || array_to_string(hashes[pos % 8 + 2:], '')) AS folded
+    FROM climb c JOIN runs ON runs.tree = c.tree AND runs.level = c.level AND run = pos // 8 WHERE n > 1
+    UNION ALL
+    SELECT first_tree, first_pos, -1, 0, (SELECT count(*) FROM subroots), tree, proof, folded FROM climb WHERE n = 1 AND tree >= 0) step),
+ends AS (SELECT first_tree, first_pos, proof, folded FROM climb WHERE tree = -1 AND n = 1)
+SELECT doc_id, leaf, s.hash AS subroot, r.hash AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = r.hash AS verified
+FROM leaves l JOIN ends ON first_tree = l.tree AND first_pos = l.pos JOIN subroots s ON s.tree = l.tree, (SELECT hash FROM high WHERE n = 1) r
+"""
+
+
+@query(OP11_SQL)
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    built = merkle_manifest.build(docs, tampered=merkle_manifest.lowered_where_divisible())
+    return merkle_manifest.proofs(built).withColumnRenamed("id", "doc_id")
