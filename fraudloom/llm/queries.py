@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fraudloom.llm import (
+    anchor_codes,
     decontaminate,
     exact_dedup,
     license_join,
@@ -261,3 +262,40 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     built = merkle_manifest.build(docs, tampered=merkle_manifest.lowered_where_divisible())
     return merkle_manifest.proofs(built).withColumnRenamed("id", "doc_id")
+
+
+def _codebook_sql(rounds: int) -> str:
+    """One pair of steps per round: nearest entries, then floored means; entries without parts stay."""
+    steps = """
+WITH kept AS (
+  SELECT vec_id, label, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS r, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT r, part, v[part * (len(v) // 4) + 1:(part + 1) * (len(v) // 4)] AS w FROM kept, (SELECT unnest(range(4)) AS part)),
+b0 AS (SELECT part, r AS entry, w FROM p WHERE r < 256)"""
+    near = """,
+a{n} AS (
+  SELECT r, p.part, min(struct_pack(d := list_dot_product(p.w, p.w) - 2 * list_dot_product(p.w, b.w) + list_dot_product(b.w, b.w), e := b.entry)) AS best
+  FROM p JOIN b{n} b ON b.part = p.part GROUP BY r, p.part)"""
+    mean = """,
+m{n} AS (
+  SELECT part, entry, list(m ORDER BY i) AS w FROM (
+    SELECT part, entry, i, floor(sum(x) / count(*)) AS m
+    FROM (SELECT p.part, best.e AS entry, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM p JOIN a{n} a ON a.r = p.r AND a.part = p.part)
+    GROUP BY part, entry, i) GROUP BY part, entry),
+b{k} AS (SELECT b.part, b.entry, coalesce(m.w, b.w) AS w FROM b{n} b LEFT JOIN m{n} m ON m.part = b.part AND m.entry = b.entry)"""
+    for n in range(rounds):
+        steps += near.format(n=n) + mean.format(n=n, k=n + 1)
+    return steps + near.format(n=rounds) + f""",
+c AS (SELECT r, string_agg(lower(printf('%02x', best.e)), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM a{rounds} GROUP BY r),
+books AS (SELECT sha256(string_agg(array_to_string(list_transform(w, lambda x: x::BIGINT), ','), ',' ORDER BY part, entry)) AS digest FROM b{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, digest AS codebooks_sha256
+FROM kept JOIN c USING (r), books
+"""
+
+
+@query(_codebook_sql(anchor_codes.ROUNDS))
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = anchor_codes.compress(table(spark, sf_dir, "embeddings"))
+    return anchor_codes.with_label_errors(codes).select(
+        F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(codes.digest()).alias("codebooks_sha256")
+    )
