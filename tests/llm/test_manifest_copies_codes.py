@@ -76,7 +76,7 @@ def test_remove_copies_keeps_the_last_of_each(spark, awkward_rows):
     for r in awkward_rows:
         t = (r[4] or "").translate(UPPER)
         last[t] = max(last.get(t, -1), -1 if r[0] is None else r[0])
-    want = sorted(repr((r[0], r[4])) for r in awkward_rows if r[0] == last[(r[4] or "").translate(UPPER)])
+    want = sorted(repr((r[0], r[4])) for r in awkward_rows if (-1 if r[0] is None else r[0]) == last[(r[4] or "").translate(UPPER)])
     assert sorted(repr((r["doc_id"], r["text"])) for r in kept.collect()) == want
 
 
