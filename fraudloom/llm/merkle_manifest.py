@@ -175,17 +175,18 @@ def _linked(nodes: DataFrame, kind: str, level: int, trees: int, fan: int) -> Da
 
 
 #: A run's leaves climb together; siblings left and right of the child they came from join the path.
+#: The nodes grow with the table, so they are never broadcast.
 CLIMB = """
-WITH RECURSIVE climb(parent, slot, subroot, leaves, path) AS (
-  SELECT parent, slot, subroot, leaves, path FROM {anchors}
+WITH RECURSIVE climb(id, parent, slot, subroot, folded, path) AS (
+  SELECT id, parent, slot, subroot, folded, path FROM {anchors}
   UNION ALL
-  SELECT n.parent, n.slot, coalesce(c.subroot, n.subroot),
-    transform(c.leaves, x -> named_struct('slot', x.slot, 'id', x.id, 'leaf', x.leaf, 'folded', unhex(sha2(concat(
-      lower(hex(substr(n.children, 1, 32 * c.slot))), lower(hex(x.folded)), lower(hex(substr(n.children, 32 * c.slot + 33)))), 256)))),
+  SELECT /*+ MERGE(n) */ c.id, n.parent, n.slot, coalesce(c.subroot, n.subroot),
+    transform(c.folded, x -> unhex(sha2(concat(
+      lower(hex(substr(n.children, 1, 32 * c.slot))), lower(hex(x)), lower(hex(substr(n.children, 32 * c.slot + 33)))), 256))),
     concat(c.path, substr(n.children, 1, 32 * c.slot), substr(n.children, 32 * c.slot + 33))
   FROM climb c JOIN {nodes} n ON n.id = c.parent
 )
-SELECT subroot, leaves, path FROM climb WHERE parent IS NULL
+SELECT id, subroot, folded, path FROM climb WHERE parent IS NULL
 """
 
 
@@ -197,25 +198,26 @@ def proofs(manifest: Manifest) -> DataFrame:
     spark = manifest.runs.sparkSession
     spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # every row climbs, however many there are
 
-    def lowest(x):
-        others = F.array_join(F.transform("leaves", lambda y: F.when(y["slot"] == x["slot"], spelled(x["claim"])).otherwise(spelled(y["leaf"]))), "")
-        folded = F.when(F.col("lone"), x["claim"]).otherwise(digest(others))
-        return F.struct(x["slot"].alias("slot"), x["id"].alias("id"), x["leaf"].alias("leaf"), folded.alias("folded"))
+    def with_claim(x):
+        run = F.transform("leaves", lambda y: F.when(y["slot"] == x["slot"], spelled(x["claim"])).otherwise(spelled(y["leaf"])))
+        return F.when(F.col("lone"), x["claim"]).otherwise(digest(F.array_join(run, "")))
 
     anchors = manifest.runs.select(
-        "parent", "slot", "subroot", F.transform("leaves", lowest).alias("leaves"), F.lit(b"").alias("path")
+        "id", "parent", "slot", "subroot", F.transform("leaves", with_claim).alias("folded"), F.lit(b"").alias("path")
     )
     climbed = spark.sql(CLIMB, anchors=anchors, nodes=manifest.nodes.select("id", "parent", "slot", "subroot", "children"))
 
     def siblings(x):
         return F.array_join(F.transform(F.filter("leaves", lambda y: y["slot"] != x["slot"]), lambda y: spelled(y["leaf"])), "")
 
-    told = F.transform("leaves", lambda x: F.struct(
+    told = F.transform("leaves", lambda x, at: F.struct(
         x["id"].alias("id"), spelled(x["leaf"]).alias("leaf"),
-        F.sha2(F.concat(siblings(x), spelled(F.col("path"))), 256).alias("proof_sha256"), spelled(x["folded"]).alias("folded_root"),
+        F.sha2(F.concat(siblings(x), spelled(F.col("path"))), 256).alias("proof_sha256"),
+        spelled(F.get("folded", at)).alias("folded_root"),
     ))
     root = F.lit(manifest.root)
-    return climbed.select(F.explode(told).alias("x"), spelled(F.col("subroot")).alias("subroot")).select(
+    met = climbed.join(manifest.runs.select("id", "leaves").hint("merge"), "id")
+    return met.select(F.explode(told).alias("x"), spelled(F.col("subroot")).alias("subroot")).select(
         "x.id", "x.leaf", "subroot", root.alias("root"), "x.proof_sha256", "x.folded_root",
         (F.col("x.folded_root") == root).alias("verified"),
     )
