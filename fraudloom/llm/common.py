@@ -41,6 +41,20 @@ def bytes_of(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def parts_by_bytes(texts: list[bytes], most: int = 1 << 18) -> Iterator[list[bytes]]:
+    """Consecutive texts in lists of at most ``most`` bytes; a longer text is a list of its own."""
+    part: list[bytes] = []
+    held = 0
+    for t in texts:
+        if part and held + len(t) > most:
+            yield part
+            part, held = [], 0
+        part.append(t)
+        held += len(t)
+    if part:
+        yield part
+
+
 def fresh(docs: DataFrame, name: str) -> str:
     """``name``, with underscores in front until no column of ``docs`` has it."""
     taken = {c.lower() for c in docs.columns}

@@ -16,10 +16,11 @@ Links are confirmed on full sets. No group is expanded into its pairs:
 1. texts with equal words are one class;
 2. in every bucket (key), all members are compared with its smallest member;
    confirmed links give components;
-3. buckets that still hold several components are compared block by block, in
-   numpy, between components only, and only pairs that an exact bound on their
-   similarity lets through are confirmed: first a spanning forest of them, then
-   all that still lie between components.
+3. buckets that still hold several components are compared in numpy, many small ones
+   at a time and large ones block by block, between components only, and only pairs
+   that an exact bound on their similarity lets through are confirmed: first a
+   spanning forest of them, then, in the buckets where the forest left pairs out, all
+   that still lie between components.
 
 Defined results: empty and null texts have an empty set and no links; texts with
 fewer words than a shingle are one shingle of all their words; rows sharing a
@@ -39,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fraudloom.llm.common import annotate, bytes_of, fresh
+from fraudloom.llm.common import annotate, bytes_of, fresh, parts_by_bytes
 from fraudloom.operators.components import connected_components
 from fraudloom.plans.sizing import sized
 from fraudloom.session import cut_lineage
@@ -47,6 +48,8 @@ from fraudloom.session import cut_lineage
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Rows of a block when a bucket's members are compared.
 BLOCK = 512
+#: Members of small buckets that are compared in one call.
+GROUP = 4096
 #: Bins of the counts that bound two sets' similarity from above.
 BINS = 256
 
@@ -147,9 +150,8 @@ SIGNED = "n_shingles long, words_md5 binary, signature binary, bins binary"
 
 def _signer(plan: Plan):
     def rows(texts: list[bytes]) -> Iterable[tuple]:
-        split = [folded_words(t) for t in texts]
-        for at in range(0, len(split), 64):
-            part = split[at : at + 64]
+        for some in parts_by_bytes(texts):
+            part = [folded_words(t) for t in some]
             sets = [shingle_set(w, plan.words) for w in part]
             full = [s for s in sets if len(s)]
             made = iter(signatures(full, plan)) if full else iter(())
@@ -248,38 +250,57 @@ def confirm(pairs: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _block_pairs(plan: Plan, spanning: bool):
-    """Compare two blocks of one bucket: passing pairs between components, or a forest of them."""
+def _group_pairs(plan: Plan, spanning: bool):
+    """Compare the members of one group: whole small buckets, or two blocks of a large one.
+
+    Gives the passing pairs between components. With ``spanning`` only a forest of
+    them, and the keys of the buckets in which pairs were left out.
+    """
+    kind = "<u2" if plan.bits <= 16 else "<u4"
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("side", "ascending"), ("id", "ascending")])
+        table = table.sort_by([("key", "ascending"), ("side", "ascending"), ("id", "ascending")]).combine_chunks()
         side = table["side"].to_numpy()
         ids, comp, size = (table[c].to_numpy() for c in ("id", "component", "n_shingles"))
-        kind = "<u2" if plan.bits <= 16 else "<u4"
         sig = np.frombuffer(b"".join(bytes_of(table["signature"].combine_chunks())), kind).reshape(len(ids), -1)
-        bins = np.frombuffer(b"".join(bytes_of(table["bins"].combine_chunks())), np.uint8).reshape(len(ids), -1).astype(np.int16)
-        same = not (side == 1).any()
-        left = np.flatnonzero(side == 0)
-        right = left if same else np.flatnonzero(side == 1)
+        bins = np.frombuffer(b"".join(bytes_of(table["bins"].combine_chunks())), np.uint8).reshape(len(ids), -1)
+        keys = bytes_of(table["key"].combine_chunks())
+        new = np.array([True, *(x != y for x, y in zip(keys, keys[1:]))])
+        start = np.maximum.accumulate(np.where(new, np.arange(len(ids)), 0))
+        end = np.append(np.flatnonzero(new)[1:], len(ids))[np.cumsum(new) - 1]
+        # a member meets those behind it in its bucket, or those of the other block
+        second = np.where(side == 1, len(ids), np.arange(len(ids)) + 1)
+        if (side == 1).any():
+            second = np.where(side == 0, start + int((side == 0).sum()), len(ids))
         found = []
-        for i in left:
-            other = right[right > i] if same else right
-            other = other[comp[other] != comp[i]]
-            lo, hi = np.minimum(size[other], size[i]), np.maximum(size[other], size[i])
-            other = other[100 * lo >= plan.percent * hi]
-            other = other[(sig[other] != sig[i]).sum(axis=1) <= plan.distance]
-            total = size[other] + size[i]
-            apart = np.abs(bins[other] - bins[i]).sum(axis=1)
+        open_to, step = np.flatnonzero(second < end), 0
+        while len(open_to):
+            a, b = open_to, second[open_to] + step
+            step += 1
+            open_to = open_to[b + 1 < end[open_to]]
+            keep = comp[a] != comp[b]
+            a, b = a[keep], b[keep]
+            keep = 100 * np.minimum(size[a], size[b]) >= plan.percent * np.maximum(size[a], size[b])
+            a, b = a[keep], b[keep]
+            keep = _distance(plan, sig[a], sig[b]) <= plan.distance
+            a, b = a[keep], b[keep]
+            total = size[a] + size[b]
+            apart = np.abs(bins[a].astype(np.int16) - bins[b]).sum(axis=1)
             # the symmetric difference is at least ``apart``; see bin_counts
-            other = other[100 * (total - apart) >= plan.percent * (total + apart)]
-            found.append((np.full(len(other), i), other))
+            keep = 100 * (total - apart) >= plan.percent * (total + apart)
+            found.append((a[keep], b[keep]))
         a = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)
         b = np.concatenate([y for _, y in found]) if found else np.zeros(0, np.int64)
+        left_out: list[bytes] = []
         if spanning and len(a):
             keep = _forest(comp[a], comp[b])
+            left_out = sorted({keys[i] for i in np.delete(a, keep).tolist()})
             a, b = a[keep], b[keep]
-        x, y = ids[a], ids[b]
-        return pa.table({"a": pa.array(np.minimum(x, y), pa.int64()), "b": pa.array(np.maximum(x, y), pa.int64())})
+        x, y, none = ids[a], ids[b], [None] * len(left_out)
+        return pa.table({
+            "a": pa.array([*np.minimum(x, y).tolist(), *none], pa.int64()), "b": pa.array([*np.maximum(x, y).tolist(), *none], pa.int64()),
+            "key": pa.array([*([None] * len(x)), *left_out], pa.binary()),
+        })
 
     return run
 
@@ -303,24 +324,30 @@ def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def cross_pairs(buckets: DataFrame, state: DataFrame, plan: Plan, spanning: bool) -> DataFrame:
-    """Pairs between components inside the buckets that pass the similarity bound.
+    """(a, b, key): pairs between components inside the buckets that pass the similarity bound.
 
-    ``buckets`` has key and id; ``state`` id, component, n_shingles, signature
-    and bins. A bucket's members are dealt into blocks of about ``BLOCK`` rows,
-    and each pair of blocks is one group, so no group grows with its bucket.
+    ``buckets`` has key and id; ``state`` id, component, n_shingles, signature and
+    bins. Buckets of up to ``BLOCK`` members are compared many at a time; a larger
+    one is dealt into blocks, and each pair of blocks is one group, so that no group
+    grows with its bucket. With ``spanning`` a forest of the pairs is given, and rows
+    with a key alone name the buckets that hold others.
     """
     placed = buckets.join(state.select("id", "component"), "id")
-    mixed = placed.groupBy("key").agg(
+    mixed = cut_lineage(placed.groupBy("key").agg(
         F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")
-    ).filter("lo < hi").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    members = placed.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    ).filter("lo < hi").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"), "m"))
+    small = mixed.filter("blocks = 1").agg(F.sum("m").alias("m")).first()["m"] or 0
+    slots = -(-small // GROUP) or 1
+    members = buckets.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # block i meets block j >= i: side 0 in (i, j), side 1 in (j', i) for j' < i
     met = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "key", "id", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
         (F.col("block") > F.col("other")).cast("int").alias("side"),
+        F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(slots))).alias("slot"),
+        F.when(F.col("blocks") > 1, F.col("key")).alias("large"),
     )
     full = met.join(state, "id")
-    return full.groupBy("key", "i", "j").applyInArrow(_block_pairs(plan, spanning), "a long, b long").distinct()
+    return full.groupBy("slot", "large", "i", "j").applyInArrow(_group_pairs(plan, spanning), "a long, b long, key binary").distinct()
 
 
 def _linked(state: DataFrame, links: DataFrame) -> DataFrame:
@@ -340,6 +367,12 @@ def _linked(state: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
+def _confirmed(state: DataFrame, pairs: DataFrame, tested: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
+    """``state`` with the components that those of ``pairs`` join which were not tested before."""
+    pairs = cut_lineage(pairs.join(tested, ["a", "b"], "left_anti"))
+    return state if pairs.isEmpty() else _linked(state, cut_lineage(confirm(pairs, texts, plan)))
+
+
 def near_components(signed: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
     """(id, component) of classes. ``signed`` has id, n_shingles, signature, bins; ``texts`` id and text."""
     state = cut_lineage(signed.select("id", F.col("id").alias("component"), "n_shingles", "signature", "bins"))
@@ -350,13 +383,13 @@ def near_components(signed: DataFrame, texts: DataFrame, plan: Plan) -> DataFram
     found = cut_lineage(close_pairs(star, state, plan))
     state = _linked(state, cut_lineage(confirm(found, texts, plan)))
     buckets = buckets.drop("hub")
-    tested = found
-    for spanning in (True, False):
-        pairs = cross_pairs(buckets, state, plan, spanning).join(tested, ["a", "b"], "left_anti")
-        pairs = cut_lineage(pairs)
-        if not pairs.isEmpty():
-            state = _linked(state, cut_lineage(confirm(pairs, texts, plan)))
-            tested = tested.unionByName(pairs)
+    first = cut_lineage(cross_pairs(buckets, state, plan, spanning=True))
+    tested = found.unionByName(first.filter("key IS NULL").select("a", "b"))
+    state = _confirmed(state, first.filter("key IS NULL").select("a", "b"), found, texts, plan)
+    left_out = first.filter("key IS NOT NULL").select("key").distinct()
+    if not left_out.isEmpty():
+        rest = cross_pairs(buckets.join(left_out, "key", "left_semi"), state, plan, spanning=False)
+        state = _confirmed(state, rest.select("a", "b"), tested, texts, plan)
     return state.select("id", "component")
 
 
