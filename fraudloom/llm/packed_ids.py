@@ -79,16 +79,35 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b if b in shown else next(hidden)) for b in range(256)}
 
 
+class _Pieces(dict):
+    """Ids of pieces, made when first asked for. When full, the older half is set aside and used once more."""
+
+    KEPT, LONGEST = 350_000, 64
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        own = self.old.get(piece)
+        if own is None:
+            own = self.make(piece)
+        if len(piece) <= self.LONGEST:
+            if len(self) >= self.KEPT:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = own
+        return own
+
+
 class Encoder:
     """A tokenizer with a cache of pieces between blanks.
 
-    Pieces that are one run of letters, with or without marks behind, go straight
-    to the library's merge model; below U+0250 there is no doubt what a letter is.
-    Other new pieces are encoded in one call, as lines of one text: a line end
-    between them is a token of its own and so parts their ids.
+    Pieces that are one run of letters or ASCII digits, with or without marks behind,
+    go straight to the library's merge model; below U+0250 there is no doubt what a
+    letter is. Other pieces are encoded by the library, each once.
     """
 
-    KEPT, LONGEST = 350_000, 64
     MARKS, PLAIN = ",.;:!?|#*&%$", "\u0250"
 
     def __init__(self, data: bytes):
@@ -104,8 +123,8 @@ class Encoder:
         self.added = tuple(x.content for x in self.tokenizer.get_added_tokens_decoder().values())
         self.splits = plain and self.tokenizer.normalizer is None and len(line) == 4 and not any("\n" in x for x in self.added)
         self.line = line
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.runs = _Pieces(self._run)
+        self.known = _Pieces(self._piece)
 
     def _library(self, text: str) -> bytes:
         found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
@@ -119,52 +138,15 @@ class Encoder:
             spelled = piece.encode().decode("latin-1").translate(self.letters)
         return b"".join([self.packed[t.id] for t in self.model.tokenize(spelled)])
 
-    def _quick(self, piece: str) -> bytes | None:
-        """Ids of a run of letters, marks behind it, and a line end or blank in front; None for anything else."""
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a piece without white space but a first blank or line end; a line end is a token of its own."""
         if piece[0] == "\n":
-            own = self._kept(piece[1:]) if len(piece) > 1 else b""
-            return None if own is None else self.line + own
+            return self.line + self.known[piece[1:]] if len(piece) > 1 else self.line
         stem = piece.rstrip(self.MARKS)
-        if len(stem) < len(piece):
-            if not stem or not stem[-1].isalnum() or stem[-1] >= self.PLAIN:
-                return None
-            own = self._kept(stem)
-            return None if own is None else own + self._run(piece[len(stem):])
-        letters = piece[1:] if piece[0] == " " else piece
-        if letters.isalpha() and (letters.isascii() or max(letters) < self.PLAIN):
-            return self._run(piece)
-        return None
-
-    def _kept(self, piece: str) -> bytes | None:
-        own = self.known.get(piece) or self.old.get(piece) or self._quick(piece)
-        if own is not None and len(piece) <= self.LONGEST:
-            self.known[piece] = own
-        return own
-
-    def _lines(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces without line ends and without white space but a first blank."""
-        data = self._library("\n".join(pieces))
-        ends = np.flatnonzero(np.frombuffer(data, "<u4") == int.from_bytes(self.line, "little")) * 4
-        begins, ends = [0, *(ends + 4).tolist()], [*ends.tolist(), len(data)]
-        return [data[a:b] for a, b in zip(begins, ends)]
-
-    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """Ids of new pieces; all but very long ones go to the cache, whose older half is forgotten when full."""
-        if len(self.known) + len(pieces) > self.KEPT:
-            self.old, self.known = self.known, {}
-        found, rest = {}, []
-        for p in pieces:
-            own = self._kept(p)
-            if own is None:
-                rest.append(p)
-            else:
-                found[p] = own
-        bare = [p[1:] if p[0] == "\n" else p for p in rest]
-        if bare:
-            made = dict(zip(rest, self._lines(bare)))
-            found |= {p: self.line + x if p[0] == "\n" else x for p, x in made.items()}
-            self.known.update((p, found[p]) for p in rest if len(p) <= self.LONGEST)
-        return found
+        letters = stem[1:] if stem[:1] == " " else stem
+        if letters.isalpha() and (letters.isascii() or max(letters) < self.PLAIN) or letters.isascii() and letters.isdigit():
+            return self.runs[stem] + self.runs[piece[len(stem) :]] if len(stem) < len(piece) else self._run(piece)
+        return self._library(piece)
 
     def _splittable(self, text: str) -> bool:
         """Whether white space is only lone blanks and line ends between other characters, and no added token is spelled."""
@@ -176,23 +158,15 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = [b""] * len(texts)
-        split: dict[int, list[str]] = {}
-        for i, t in enumerate(texts):
-            if t and self.splits and self._splittable(t):
-                # a blank goes with the word behind it, a line end too
-                split[i] = t.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
-            elif t:
-                out[i] = self._library(t)
-        found = self._learn(set().union(*split.values()).difference(self.known))
-        known = self.known
-        for i, pieces in split.items():
-            try:
-                out[i] = b"".join(map(known.__getitem__, pieces))
-            except KeyError:  # a very long piece, or one that a full cache has just forgotten
-                own = (known.get(p) or found.get(p) or self.old.get(p) for p in pieces)
-                out[i] = b"".join(x if x is not None else self._library(p) for x, p in zip(own, pieces))
-        return out
+        found, known = [], self.known.__getitem__
+        for t in texts:
+            if not t:
+                found.append(b"")
+            elif not self.splits or not self._splittable(t):
+                found.append(self._library(t))
+            else:  # a blank goes with the word behind it, a line end too
+                found.append(b"".join(map(known, t.replace(" ", "\0 ").replace("\n", "\0\n").split("\0"))))
+        return found
 
 
 @lru_cache(maxsize=2)
