@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import sys
+import types
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -89,6 +93,27 @@ def annotate(
     return docs.mapInArrow(run, schema)
 
 
+def once_per_worker(key, make: Callable[[], object], most: int = 4) -> object:
+    """``make()``, kept over the tasks of a Python worker; the ``most`` last keys are kept.
+
+    The values lie in a module of their own, as this package's modules are not those
+    of the next task where its functions travel by value.
+    """
+    module = sys.modules.setdefault("_fraudloom_worker", types.ModuleType("_fraudloom_worker"))
+    kept = module.__dict__.setdefault("kept", {})
+    if key not in kept:
+        while len(kept) >= most:
+            kept.pop(next(iter(kept)))
+        kept[key] = make()
+    return kept[key]
+
+
+def share(spark: SparkSession, value: object) -> Callable[[], object]:
+    """A broadcast of an object of this package; what is returned gives it to a worker that has no copy of the package."""
+    sent, key = spark.sparkContext.broadcast(cloudpickle.dumps(value)), uuid.uuid4().hex
+    return lambda: once_per_worker(key, lambda: cloudpickle.loads(sent.value))
+
+
 def tokenizer_file(name: str) -> str:
     """Default place of a public tokenizer's file; callers may pass any other path."""
     import public_tokenizers

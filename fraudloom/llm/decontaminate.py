@@ -5,8 +5,9 @@ is broadcast; every document's word windows are looked up in it, hits are
 verified on the words themselves, and hit spans or whole documents are removed.
 
 The broadcast is bounded: the benchmark is dealt into blocks of at most
-``block_windows`` windows, each block is sent in its own pass over the documents,
-and the passes' word marks are joined. Nothing is left out of a large benchmark.
+``block_windows`` windows (a longer item into overlapping ranges), each block is sent
+in its own pass over the documents, whose word marks are written before the next and
+joined. Nothing is left out of a large benchmark.
 
 A first look-up takes only every ``step``-th word of a document, with runs of
 words so short that every window holds one that starts there; only around those
@@ -26,7 +27,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fraudloom.llm.common import FOLD, annotate, fresh, plain_words
+from fraudloom.llm.common import FOLD, annotate, fresh, plain_words, share
+from fraudloom.session import cut_lineage
 
 #: Windows of one broadcast block. A window of the default size is about 100
 #: bytes of words, so a block takes some tens of MB in a worker.
@@ -88,18 +90,21 @@ def window_blocks(benchmark: DataFrame, item: str, text: str, window: int, block
         words = plain_words((row[1] or "").encode())
         if not words:
             continue
-        if rows and held + len(words) > block_windows:
-            yield WindowSet.of(rows, window)
-            rows, held = [], 0
-        rows.append((row[0], words))
-        held += max(len(words) - window + 1, 1)
+        windows = max(len(words) - window + 1, 1)
+        for at in range(0, windows, block_windows):  # a long item is split into overlapping ranges
+            size = min(block_windows, windows - at)
+            if rows and held + size > block_windows:
+                yield WindowSet.of(rows, window)
+                rows, held = [], 0
+            rows.append((row[0], words[at : at + size + window - 1]))
+            held += size
     if rows:
         yield WindowSet.of(rows, window)
 
 
 def _searcher(shared):
     def rows(texts: list[bytes]) -> Iterable[tuple]:
-        known = shared.value
+        known = shared()
         for t in texts:
             words = plain_words(t)
             hit, items = known.search(words)
@@ -116,13 +121,14 @@ def find_windows(
 
     ``hit`` lists the positions of hit words, ``items`` the sorted item ids.
     """
-    name, context = fresh(docs, "found"), docs.sparkSession.sparkContext
+    name, spark = fresh(docs, "found"), docs.sparkSession
     found = None
     for block in window_blocks(benchmark, item, text, window, block_windows):
-        shared = context.broadcast(block)
+        shared = share(spark, block)
         if found is None:
             found = annotate(docs, name, FOUND, _searcher(shared))
             continue
+        found = cut_lineage(found)  # one block at a time in a worker
         more = fresh(found, "more")
         found = annotate(found, more, FOUND, _searcher(shared))
         found = found.withColumn(name, F.struct(

@@ -36,6 +36,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fraudloom.llm.common import annotate, bytes_of, fresh, plain_words
+from fraudloom.llm.common import share as by_value
+from fraudloom.session import cut_lineage
 
 #: Phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -162,13 +164,14 @@ def template_matches(
     label: str = "label", template_text: str = "text",
 ) -> tuple[DataFrame, str]:
     """``docs`` with an array of matching blocks in a struct column ``.matches``, whose name is returned too."""
-    name, context, found = fresh(docs, "blocks"), docs.sparkSession.sparkContext, None
+    name, spark, found = fresh(docs, "blocks"), docs.sparkSession, None
     for part in template_parts(templates, label, template_text, part_tokens):
         frequency = token_frequency(docs, {w for _, _, ws in part for w in ws}, text)
-        shared = context.broadcast(Index(part, frequency, share))
+        shared = by_value(spark, Index(part, frequency, share))
         if found is None:
             found = annotate(docs, name, f"matches {MATCHES}", _matcher(shared), text)
             continue
+        found = cut_lineage(found)  # one part at a time in a worker
         more = fresh(found, "more")
         found = annotate(found, more, f"matches {MATCHES}", _matcher(shared), text)
         found = found.withColumn(name, F.struct(F.concat(f"{name}.matches", f"{more}.matches").alias("matches"))).drop(more)
@@ -182,7 +185,7 @@ _FIELDS = ("template", "label", "first", "last", "shared", "size")
 
 def _matcher(shared):
     def rows(texts: list[bytes]) -> Iterable[tuple]:
-        index = shared.value
+        index = shared()
         return (([dict(zip(_FIELDS, m)) for m in index.matches(plain_words(t))],) for t in texts)
 
     return rows

@@ -29,7 +29,6 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fraudloom.llm.common import BATCH_ROWS, bytes_of, tokenizer_file
+from fraudloom.llm.common import BATCH_ROWS, bytes_of, once_per_worker, tokenizer_file
 from fraudloom.session import shared_folder
 
 BLOCK_IDS = 65_536
@@ -169,10 +168,9 @@ class Encoder:
         return found
 
 
-@lru_cache(maxsize=2)
 def encoder(data: bytes) -> Encoder:
     """One encoder per worker and tokenizer."""
-    return Encoder(data)
+    return once_per_worker(("encoder", hash(data)), lambda: Encoder(data))
 
 
 def _blocks(shared, end_id: int, block_ids: int):

@@ -137,9 +137,9 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, decay: float = 1e-3) -> Mo
     def apart(w: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return -a.T @ (1 - _sigmoid(a @ w)) / len(a) + b.T @ _sigmoid(b @ w) / len(b) + decay * w * keep
 
-    half_p, half_u = len(p) // 2, len(u) // 2
-    first = _descend(lambda w: apart(w, p[:half_p], u[:half_u]), width, 300)
-    prior = class_prior(p[half_p:] @ first, u[half_u:] @ first)
+    # every other row, so that rows in some order of theirs are shared out alike
+    first = _descend(lambda w: apart(w, p[::2], u[::2]), width, 300)
+    prior = class_prior(p[1::2] @ first, u[1::2] @ first)
 
     def risk(w: np.ndarray) -> np.ndarray:
         sp, su = _sigmoid(p @ w), _sigmoid(u @ w)

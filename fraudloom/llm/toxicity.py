@@ -12,8 +12,9 @@ frequent in toxic texts.
 Features are chosen and weights fitted on at most ``per_class`` toxic and
 ``per_class`` other labelled documents, chosen by their ids' hashes; other sizes
 of the classes are made up for by weights. Feature counts are summed on the
-executors; the driver gets at most ``most_features`` of them and each sampled
-text's numbers of those. Scores cover every document, and use nothing but its
+executors; the driver ranks the ``candidates`` most frequent ones of those that at
+least ``least_documents`` toxic documents of the sample hold, keeps at most
+``most_features`` and gets each sampled text's numbers of those. Scores cover every document, and use nothing but its
 whole text.
 
 Defined results: null and empty texts have no features and get the model's bias;
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fraudloom.llm.common import FOLD, annotate, bytes_of, fresh
+from fraudloom.llm.common import FOLD, annotate, bytes_of, fresh, share
 from fraudloom.llm.sampling import class_counts, hashed_sample, sampled_texts, training_labels
 
 PER_CLASS = 20_000
@@ -153,7 +154,7 @@ def fit(
 
 def train(
     docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS, most_features: int = MOST_FEATURES,
-    fairness: float = 1.0, identities: tuple[tuple[str, ...], ...] = IDENTITIES, doc_id: str = "doc_id", text: str = "text",
+    candidates: int = CANDIDATES, least_documents: int = LEAST_DOCUMENTS, fairness: float = 1.0, identities: tuple[tuple[str, ...], ...] = IDENTITIES, doc_id: str = "doc_id", text: str = "text",
 ) -> Model:
     """Choose features and fit on a bounded sample of the labelled documents that are not held out."""
     known = training_labels(labels, label, doc_id)
@@ -169,7 +170,7 @@ def train(
         share = min(max(sizes[1] / (sizes[0] + sizes[1]), 1e-9), 1 - 1e-9)
         return Model(math.log(share / (1 - share)))
     toxic, other = sample.filter("label = 1"), sample.filter("label = 0")
-    often = _counted(toxic, None).filter(F.col("n") >= LEAST_DOCUMENTS).orderBy(F.desc("n"), "feature").limit(CANDIDATES).collect()
+    often = _counted(toxic, None).filter(F.col("n") >= least_documents).orderBy(F.desc("n"), "feature").limit(candidates).collect()
     seen = {r["feature"]: r["n"] for r in often}
     elsewhere = {r["feature"]: r["n"] for r in _counted(other, frozenset(seen)).collect()}
     ranked = sorted(
@@ -196,5 +197,5 @@ def train(
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> tuple[DataFrame, str]:
     """``docs`` with a struct column ``.score``, whose name is returned too."""
-    name, shared = fresh(docs, "toxicity"), docs.sparkSession.sparkContext.broadcast(model)
-    return annotate(docs, name, "score double", lambda texts: ((s,) for s in shared.value.scores(texts)), text), name
+    name, shared = fresh(docs, "toxicity"), share(docs.sparkSession, model)
+    return annotate(docs, name, "score double", lambda texts: ((s,) for s in shared().scores(texts)), text), name

@@ -31,7 +31,6 @@ import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from math import inf
 
 import numpy as np
@@ -39,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StringType, StructField, StructType
 
-from fraudloom.llm.common import BATCH_ROWS, annotate, fresh, sha256_hex, tokenizer_file
+from fraudloom.llm.common import BATCH_ROWS, annotate, fresh, once_per_worker, sha256_hex, tokenizer_file
 
 MARK = "▁"
 #: Fixed values of the model file's format.
@@ -144,6 +143,7 @@ class Transducer:
         self.leading = not any(MARK in p.lstrip(MARK) for p in self.ids)
         self.line_ends = not any("\n" in x for x in self.spanned)
         self.words = _Words(self)
+        self.longest = max(map(len, self.ids), default=1)
         self.trie: dict = {}
         for piece in self.ids:
             node = self.trie
@@ -168,7 +168,7 @@ class Transducer:
     def arcs(self, chunk: str, at: int) -> list[str]:
         """Pieces that leave position ``at``, longest last; a lone character where none spells it."""
         found, node = [], self.trie
-        for c in chunk[at : at + 64] if len(chunk) > 64 else chunk[at:]:
+        for c in chunk[at : at + self.longest] if len(chunk) > self.longest else chunk[at:]:
             node = node.get(c)
             if node is None:
                 break
@@ -335,11 +335,13 @@ class _Decoder:
         return data[1:] if self.prefix and data[:1] == b" " else data
 
 
-@lru_cache(maxsize=2)
 def compiled(data: bytes) -> tuple[Transducer, _Decoder]:
     """The transducers of a model file's bytes; each worker compiles them once."""
-    t = Transducer(data)
-    return t, _Decoder(t)
+    def make():
+        t = Transducer(data)
+        return t, _Decoder(t)
+
+    return once_per_worker(("pieces", hash(data)), make)
 
 
 def model_bytes(path: str | None = None) -> bytes:
