@@ -187,9 +187,9 @@ _GONE = "(SELECT c_custkey FROM customer WHERE c_acctbal < 0)"
 
 @query("delete_users_cascade", with_views(
     f"""SELECT 'user' AS kind, id FROM shop_users WHERE id NOT IN {_GONE}
-    UNION ALL SELECT 'card', id FROM tx WHERE user_id NOT IN {_GONE}
-    UNION ALL SELECT 'address', id FROM shop_addresses WHERE user_id NOT IN {_GONE}
-    UNION ALL SELECT 'order', id FROM shop_orders WHERE user_id NOT IN {_GONE}""",
+    UNION ALL SELECT 'card', id FROM tx WHERE user_id IS NULL OR user_id NOT IN {_GONE}
+    UNION ALL SELECT 'address', id FROM shop_addresses WHERE user_id IS NULL OR user_id NOT IN {_GONE}
+    UNION ALL SELECT 'order', id FROM shop_orders WHERE user_id IS NULL OR user_id NOT IN {_GONE}""",
     "tx", "shop_users", "shop_addresses", "shop_orders"))
 def delete_users_cascade(spark, sf):
     gone = fx.table(spark, sf, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,13 +67,36 @@ def owned_tables(spark: SparkSession) -> Iterator[str]:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Shuffle files of an execution go when it ends, not when the driver happens to collect garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _write(df: DataFrame, path: str) -> DataFrame:
+    spark = df.sparkSession
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _table_path(spark: SparkSession) -> str:
+    return f"{_OWNED[-1] if _OWNED else f'{shared_folder(spark)}/tables'}/{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The written table survives lost executors, prunes columns on later reads and
-    tells the planner its true size.
+    tells the planner its true size. The shuffles that made it are deleted.
     """
-    spark = df.sparkSession
-    path = f"{_OWNED[-1] if _OWNED else f'{shared_folder(spark)}/tables'}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _write(df, _table_path(df.sparkSession))
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """``cut_lineage`` of what ``make`` returns; tables that it wrote on the way are deleted."""
+    path = _table_path(spark)
+    with owned_tables(spark):
+        return _write(make(), path)

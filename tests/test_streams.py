@@ -159,6 +159,17 @@ def test_republished_model_scores_the_next_batch(spark, sf_dir, detector, tmp_pa
     assert spark.read.parquet(out).select("run").distinct().count() == 2
 
 
+def test_settled_keeps_the_result_alone(spark):
+    import os
+
+    from fraudloom.session import cut_lineage, owned_tables, settled
+
+    with owned_tables(spark) as folder:
+        made = settled(spark, lambda: cut_lineage(spark.range(9).groupBy("id").count()).filter("id > 3"))
+        assert made.count() == 5
+        assert len(os.listdir(folder.removeprefix("file:"))) == 1
+
+
 def test_owned_tables_are_deleted(spark, tmp_path):
     import os
 
