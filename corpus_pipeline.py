@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fraudloom.llm import decontaminate, minhash_hamming, quality_rules, secret_scan, wfst_pieces
 from fraudloom.llm.common import table
-from fraudloom.session import shared_folder
+from fraudloom.session import owned_tables, shared_folder
 
 #: Shingles and similarity of the near-duplicate stage: five words, 0.8 or more.
 NEAR = minhash_hamming.Plan(words=5, percent=80, n=60, chunks=15, distance=29)
@@ -61,6 +61,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/pipeline/{uuid.uuid4().hex}"
     for name, stage in STAGES:
         path = f"{folder}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with owned_tables(spark):  # what a stage writes on the way goes with it
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
