@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from fraudloom.llm.common import annotate, bytes_of, fresh, parts_by_bytes
 from fraudloom.operators.components import connected_components
 from fraudloom.plans.sizing import sized
-from fraudloom.session import cut_lineage
+from fraudloom.session import cut_lineage, settled
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Rows of a block when a bucket's members are compared.
@@ -421,7 +421,10 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan(), doc_id: str = "doc_id"
 
 def keep_one(docs: DataFrame, plan: Plan = Plan(), doc_id: str = "doc_id") -> DataFrame:
     """One document of each group, with all columns. Rows without doc_id stay; repeated rows of one doc_id become one."""
-    kept = cut_lineage(near_duplicates(docs, plan, doc_id).filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
+    def leading() -> DataFrame:
+        return near_duplicates(docs, plan, doc_id).filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+    kept = settled(docs.sparkSession, leading)
     mark = fresh(docs, "kept_id")
     joined = docs.join(kept.select(F.col("doc_id").alias(mark)), F.col(doc_id) == F.col(mark), "left")
     stay = joined.filter(F.col(mark).isNotNull() | F.col(doc_id).isNull()).drop(mark)
