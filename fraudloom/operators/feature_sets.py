@@ -8,7 +8,7 @@ training vocabulary.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -48,12 +48,16 @@ class FeatureModel:
     #: What a value gets that training did not have: ``next`` free code, or ``error``.
     unseen: str = "next"
 
-    def raw(self, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
-        """Row key, ``keep`` columns and unscaled features, as doubles."""
+    def raw(self, df: DataFrame, keep: list[str] | None = None, live: list[str] | None = None) -> DataFrame:
+        """Row key, ``keep`` columns and unscaled features, as doubles.
+
+        ``live`` names counts that the rows carry themselves instead of the tables.
+        """
         prepared = self.spec.prepare(df, self.as_of)
         kept = [F.col(c).alias(f"_keep_{c}") for c in keep or []]
         prepared = prepared.select("*", *kept)
         for key, table in self.tables.items():
+            table = replace(table, table=table.table.drop(*(live or [])))
             label = self.spec.codes.get(key)
             if label is not None:
                 prepared = prepared.withColumn(f"_has_{key}", F.col(key).isNotNull()).fillna({key: label})
@@ -90,8 +94,8 @@ class FeatureModel:
     def finish(self, raw: DataFrame) -> DataFrame:
         return clean.standardize(clean.impute(raw, self.fills), self.scales)
 
-    def transform(self, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
-        return self.finish(self.raw(df, keep))
+    def transform(self, df: DataFrame, keep: list[str] | None = None, live: list[str] | None = None) -> DataFrame:
+        return self.finish(self.raw(df, keep, live))
 
 
 def fit_tables(

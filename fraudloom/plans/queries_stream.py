@@ -1,12 +1,18 @@
 """Batch twins of the streaming operators, and scoring with a detector."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from fraudloom.operators import feature_sets
-from fraudloom.plans.oracle_views import r6
+from fraudloom.operators.group_features import FEATURES
+from fraudloom.operators.key_tables import Measure
+from fraudloom.plans.oracle_views import r6, with_views
 from fraudloom.plans.registry import AS_OF, query, round_columns
 from fraudloom.sources import fixtures as fx
+from fraudloom.session import shared_folder
 from fraudloom.streaming import scoring, velocity
+from fraudloom.streaming.running import running_features
 
 
 def _events(spark, sf):
@@ -65,6 +71,62 @@ def stream_alerts(spark, sf):
     )
 
 
+def _streamed(spark, sf, name):
+    """A given table as a stream of its files; a table may be one file or a folder of them."""
+    stored = fx.table(spark, sf, name)
+    reader = spark.readStream.schema(stored.schema)
+    if any(f.endswith(f"/{name}.parquet") for f in stored.inputFiles()):
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return reader.parquet(f"{sf}/{name}.parquet")
+
+
+def _drained(stream):
+    """All that a stream now holds, by way of a file sink in the shared folder."""
+    spark = stream.sparkSession
+    folder = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+    writer = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state")
+    writer.trigger(availableNow=True).outputMode("append").start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+_OF_USER = [
+    Measure("events_of_user", "user_id", "count", "event_id"), Measure("kinds_of_user", "user_id", "distinct", "event_type"),
+    Measure("many_kinds", "user_id", "many", "event_type"),
+]
+
+
+@query("stream_running_counts", """SELECT event_id, count(event_id) OVER so_far AS events_of_user,
+    count(DISTINCT event_type) OVER so_far AS kinds_of_user, count(DISTINCT event_type) OVER so_far > 1 AS many_kinds
+    FROM events WINDOW so_far AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
+def stream_running_counts(spark, sf):
+    running = running_features(_streamed(spark, sf, "events").select("event_id", "ts", "user_id", "event_type"), _OF_USER, ["ts", "event_id"])
+    return _drained(running).select("event_id", *(m.out for m in _OF_USER))
+
+
+_SO_FAR = "CASE WHEN {k} IS NOT NULL THEN {a} OVER (PARTITION BY {k} ORDER BY id ROWS UNBOUNDED PRECEDING) {more} END AS {out}"
+
+
+def _running_sql(name):
+    m = FEATURES[name]
+    agg = f"count({'' if m.fn == 'count' else 'DISTINCT '}{m.value})"
+    return _SO_FAR.format(k=m.key, a=agg, more="> 1" if m.fn == "many" else "", out=name)
+
+
+#: Counts of cards, customers and users as of each transaction.
+LIVE = [
+    "transactions_per_card", "users_per_card", "addresses_per_card", "transactions_per_customer", "cards_per_customer",
+    "multiple_states", "cards_per_user",
+]
+
+
+@query("stream_running_features", with_views(f"SELECT id, {', '.join(map(_running_sql, LIVE))} FROM tx", "tx"))
+def stream_running_features(spark, sf):
+    cards, path = fx.transactions(spark, sf), f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}/in"
+    cards.write.parquet(path)
+    rows = spark.readStream.schema(cards.schema).parquet(path)
+    return _drained(running_features(rows, LIVE, ["id"])).select("id", *LIVE)
+
+
 @query("stream_score")
 def stream_score(spark, sf):
     cards = fx.transactions(spark, sf)

@@ -17,7 +17,9 @@ from fraudloom.operators.iforest import ForestModel, isolation_forest_fit, isola
 from fraudloom.operators.key_tables import KeyTable, code_column
 from fraudloom.operators.quantile import exact_percentile
 from fraudloom.plans.sizing import KeyProfile
+from fraudloom.schemas import KEY_COLS
 from fraudloom.session import cut_lineage
+from fraudloom.streaming.running import running_features
 
 
 @dataclass(frozen=True)
@@ -29,15 +31,17 @@ class Detector:
     flag_below: float
     watch_below: float
 
-    def score(self, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    def score(self, df: DataFrame, keep: list[str] | None = None, live: list[str] | None = None) -> DataFrame:
         """Row key, ``keep``, ``anomaly_score``, ``fraud_flag`` and ``risk_level``.
 
         Values that training did not have get the next free code and the counts'
         learned fills. A row that still lacks a feature has a null score, a null
         flag and the level ``unscored``. Works on streams: the lookup tables are
-        static sides and the forest is broadcast, so no state is kept.
+        static sides and the forest is broadcast, so no state is kept here. Counts
+        that follow the stream come with its rows (``running_features``); ``live``
+        names them.
         """
-        rows = self.features.transform(df, keep)
+        rows = self.features.transform(df, keep, live)
         scored = isolation_forest_score(self.forest, rows, [*self.features.row_key, *(keep or [])])
         score = F.col("anomaly_score")
         level = (
@@ -133,19 +137,26 @@ def load_model(spark: SparkSession, path: str, version: str | None = None) -> De
 
 def start_scoring(
     stream: DataFrame, model_path: str, out_path: str, checkpoint: str, keep: list[str] | None = None,
-    available_now: bool = False,
+    available_now: bool = False, live: list[str] | None = None, order: list[str] | None = None,
+    history: DataFrame | None = None,
 ):
     """Score every micro-batch with the version published at ``model_path`` at that time.
 
+    With ``live`` features, each row is scored with its groups' counts as of its own
+    arrival, in the order of ``order`` within a micro-batch and after ``history``;
+    other counts are those of the model's tables.
+
     A batch is written to a folder named by the run, which its checkpoint folder
     stands for, and by its number. A replayed batch replaces its own folder, so
     each row lands once; another checkpoint writes beside it.
     """
+    if live:
+        stream = running_features(stream, live, order or list(KEY_COLS), history)
     folder = f"{out_path}/run={hashlib.md5(checkpoint.encode()).hexdigest()[:12]}"
 
     def run(batch: DataFrame, number: int) -> None:
         model = load_model(batch.sparkSession, model_path)
-        model.score(batch, keep).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        model.score(batch, keep, live).write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
     writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
