@@ -4,7 +4,8 @@ Equal rows collapse into weighted vectors, and vectors into cells so small that
 all rows of a cell are neighbours. Cells know the exact bounds of their vectors,
 so most pairs of cells are decided whole: too far apart, or everything within
 the radius, counted by weight. Only the vectors of the remaining pairs are
-compared one by one, inside a join that folds them into counts.
+asked for, through k-d trees of the cells that hold many (``refine``): a question ends
+where bounds decide, where one neighbour is enough, or at ``min_samples``.
 
 Neighbouring cells are found a few dimensions at a time. A level extends each
 pair of neighbouring prefixes by the next dimensions' cells and drops a pair as
@@ -24,12 +25,14 @@ from pyspark.sql import functions as F
 
 from fraudloom.operators.components import connected_components
 from fraudloom.operators.numbering import number_rows
+from fraudloom.operators.refine import LEAF, SLACK, Question, Trees, ask, grow, touching
+from fraudloom.operators.refine import undecided as _open
+from fraudloom.operators.refine import whole as _whole
 from fraudloom.plans.sizing import sized
 from fraudloom.schemas import KEY_COLS
 from fraudloom.session import cut_lineage
 
 LEVEL_CELLS = 300
-_SLACK = 1e-9
 
 # The searched settings, in the order they are tried.
 EPS_VALUES = [0.3, 0.5, 0.7]
@@ -160,7 +163,7 @@ def _cell_pairs(cells: DataFrame, vectors: Vectors, eps: float) -> DataFrame:
     levels = _levels(vectors)
     reach = math.ceil(eps / vectors.side) + 2
     nodes = _nodes(cells, vectors, levels, reach)
-    limit = eps * eps * (1 + _SLACK)
+    limit = eps * eps * (1 + SLACK)
     pairs = cells.sparkSession.createDataFrame([("", "", 0.0, 0.0)], "a string, b string, near double, far double")
     for k, dims in enumerate(levels):
         mine = nodes.filter((F.col("level") == k) & F.col("seeks")).select(
@@ -200,37 +203,15 @@ def _named(pairs: DataFrame, vectors: Vectors, levels: list[list[int]]) -> DataF
     return pairs.select(renamed("a"), renamed("b"), "near", "far")
 
 
-def _whole(eps: float) -> Column:
-    """All vectors of both cells lie within ``eps``."""
-    return F.col("far") <= eps * eps * (1 - _SLACK)
-
-
-def _open(eps: float) -> Column:
-    """The cells' bounds do not decide; vectors must be compared."""
-    return ~_whole(eps) & (F.col("near") <= eps * eps * (1 + _SLACK))
-
-
-def _distance2(names: list[str]) -> Column:
-    return reduce(add, [(F.col(c) - F.col(f"y_{c}")) * (F.col(c) - F.col(f"y_{c}")) for c in names])
-
-
-def _compare(pairs: DataFrame, seekers: DataFrame, others: DataFrame, names: list[str]) -> DataFrame:
-    """Seekers beside the vectors of the cells they must be compared with."""
-    theirs = others.select(
-        F.col("cell").alias("b"), *[F.col(c).alias(f"y_{c}") for c in names],
-        *[c for c in others.columns if c not in {"cell", "v", *names}],
-    )
-    return seekers.select(F.col("cell").alias("a"), "v", *names).join(pairs, "a").join(theirs, "b")
-
-
 @dataclass(frozen=True)
 class DbscanRun:
-    """Vectors with 0/1 ``core_{s}`` and ``noise_{s}`` per setting, and the cell pairs."""
+    """Vectors with 0/1 ``core_{s}`` and ``noise_{s}`` per setting, the cell pairs and the dense cells' trees."""
 
     vectors: Vectors
     flags: DataFrame
     pairs: DataFrame
     settings: Settings
+    trees: Trees
 
     def outliers(self) -> list[int]:
         sums = [
@@ -242,7 +223,7 @@ class DbscanRun:
 
 def find_noise(
     df: DataFrame, features: list[str], settings: list[tuple[float, int]],
-    key_cols: list[str] | None = None, pair_all: bool = False,
+    key_cols: list[str] | None = None, pair_all: bool = False, leaf: int = LEAF,
 ) -> DbscanRun:
     """Core and noise flags for every (eps, min_samples), from one set of cell pairs.
 
@@ -266,11 +247,13 @@ def find_noise(
         *[F.sum(F.when(_whole(e), F.col("W"))).alias(f"whole_{i}") for i, e in enumerate(radii)]
     )
     placed = vectors.table.join(cells.select("cell", "sure"), "cell")
-    met = _compare(unclear, placed.filter(~F.col("sure")), vectors.table.select("cell", "v", "w", *names), names)
-    distance = _distance2(names)
-    single = met.groupBy("v").agg(
-        *[F.sum(F.when(_open(e) & (distance <= e * e), F.col("w"))).alias(f"single_{i}") for i, e in enumerate(radii)]
-    )
+    trees = grow(vectors.table, names, leaf)
+    seekers = placed.filter(~F.col("sure"))
+    known = seekers.join(whole, "cell").select("v", *[F.col(f"whole_{i}").alias(f"answer_{i}") for i in range(len(radii))])
+    single = ask(
+        seekers, unclear, vectors.table.select("cell", "v", "w", *names), trees, names,
+        [Question(e, "w", "sum", tried.most) for e in radii], known if trees.levels else None,
+    ).withColumnsRenamed({f"answer_{i}": f"single_{i}" for i in range(len(radii))})
     counted = placed.join(whole, "cell", "left").join(single, "v", "left")
     cores = {}
     for s, (e, m) in enumerate(settings):
@@ -286,13 +269,10 @@ def find_noise(
         *[F.max(F.when(_whole(e), F.col(f"core_{s}"))).alias(f"whole_{s}") for s, (e, _) in enumerate(settings)]
     )
     loose = cored.filter(F.least(*cores, F.lit(1)) == 0)
-    met = _compare(unclear, loose, anchors.select("cell", "v", *names, *cores), names)
-    reached = met.groupBy("v").agg(
-        *[
-            F.max(F.when(_open(e) & (distance <= e * e), F.col(f"core_{s}"))).alias(f"single_{s}")
-            for s, (e, _) in enumerate(settings)
-        ]
-    )
+    reached = ask(
+        loose, unclear, anchors.select("cell", "v", *names, *cores), trees, names,
+        [Question(e, f"core_{s}", "max", 1) for s, (e, _) in enumerate(settings)],
+    ).withColumnsRenamed({f"answer_{s}": f"single_{s}" for s in range(len(settings))})
     joined = cored.join(near_core, "cell", "left").join(reached, "v", "left")
     noise = {
         f"noise_{s}": F.when(
@@ -301,7 +281,7 @@ def find_noise(
         for s in range(len(settings))
     }
     extra = [c for p in ("whole", "single") for c in (f"{p}_{s}" for s in range(len(settings)))]
-    return DbscanRun(vectors, cut_lineage(joined.withColumns(noise).drop(*extra)), pairs, tried)
+    return DbscanRun(vectors, cut_lineage(joined.withColumns(noise).drop(*extra)), pairs, tried, trees)
 
 
 def _to_rows(
@@ -330,9 +310,9 @@ def noise_rows(
 
 def dbscan_noise(
     df: DataFrame, features: list[str], eps: float = DEFAULT[0], min_samples: int = DEFAULT[1],
-    key_cols: list[str] | None = None, out: str = "DBSCAN",
+    key_cols: list[str] | None = None, out: str = "DBSCAN", leaf: int = LEAF,
 ) -> DataFrame:
-    return noise_rows(df, features, find_noise(df, features, [(eps, min_samples)]), 0, key_cols, out)
+    return noise_rows(df, features, find_noise(df, features, [(eps, min_samples)], leaf=leaf), 0, key_cols, out)
 
 
 @dataclass(frozen=True)
@@ -364,7 +344,7 @@ def dbscan_search(
 
 def dbscan_clusters(
     df: DataFrame, features: list[str], eps: float = DEFAULT[0], min_samples: int = DEFAULT[1],
-    key_cols: list[str] | None = None, out: str = "cluster",
+    key_cols: list[str] | None = None, out: str = "cluster", leaf: int = LEAF,
 ) -> DataFrame:
     """Row key and cluster number, -1 for noise, null where a feature is missing.
 
@@ -374,16 +354,16 @@ def dbscan_clusters(
     cells.
     """
     key_cols = key_cols or KEY_COLS
-    run = find_noise(df, features, [(eps, min_samples)], key_cols, pair_all=True)
-    names, distance = run.vectors.names, _distance2(run.vectors.names)
+    run = find_noise(df, features, [(eps, min_samples)], key_cols, pair_all=True, leaf=leaf)
+    names = run.vectors.names
     core = run.flags.filter(F.col("core_0") == 1)
     nodes = cut_lineage(core.groupBy("cell").agg(F.min("v").alias("node"), F.min("first_key").alias("first_key")))
     named = run.pairs.join(nodes.select(F.col("cell").alias("a"), F.col("node").alias("na")), "a").join(
         nodes.select(F.col("cell").alias("b"), F.col("node").alias("nb")), "b"
     ).filter("na < nb")
     whole = named.filter(_whole(eps)).select(F.col("na").alias("a"), F.col("nb").alias("b"))
-    met = _compare(named.filter(_open(eps)), core, core.select("cell", "v", *names), names)
-    single = met.filter(distance <= eps * eps).select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    met = touching(named, core.select("cell", "v", *names), run.trees, names, eps)
+    single = named.join(met, ["a", "b"]).select(F.col("na").alias("a"), F.col("nb").alias("b"))
     parts = connected_components(nodes.select("node"), whole.unionByName(single).distinct())
     members = cut_lineage(nodes.join(parts, "node"))
     firsts = members.groupBy("component").agg(F.min("first_key").alias("first_key"))
@@ -393,8 +373,10 @@ def dbscan_clusters(
     loose = run.flags.filter((F.col("core_0") == 0) & (F.col("noise_0") == 0))
     touched = run.pairs.join(labels.withColumnRenamed("cell", "b"), "b")
     by_cell = touched.filter(_whole(eps)).groupBy(F.col("a").alias("cell")).agg(F.min(out).alias("_whole"))
-    met = _compare(touched.filter(_open(eps)), loose, core.select("cell", "v", *names), names)
-    by_vector = met.filter(distance <= eps * eps).groupBy("v").agg(F.min(out).alias("_single"))
+    labelled = core.join(labels, "cell").select("cell", "v", *names, out)
+    by_vector = ask(
+        loose, touched.filter(_open(eps)).select("a", "b", "near", "far"), labelled, run.trees, names, [Question(eps, out, "min")]
+    ).withColumnRenamed("answer_0", "_single")
     border = loose.join(by_cell, "cell", "left").join(by_vector, "v", "left")
     border = border.select(*names, F.least("_whole", "_single").alias(out))
     marks = cut_lineage(core.join(labels, "cell").select(*names, out).unionByName(border))

@@ -9,7 +9,7 @@ from fraudloom.operators import clean, dbscan, feature_sets, flags, iforest, sea
 from fraudloom.operators.group_features import FEATURES, add_group_features
 from fraudloom.operators.quantile import exact_percentile
 from fraudloom.plans.oracle_views import grouped, r6, scaled, with_views
-from fraudloom.plans.queries_groups import comparison_ctes
+from fraudloom.plans.queries_groups import CLUSTER_CTES, comparison_ctes
 from fraudloom.plans.registry import AS_OF, KEYS, query, round_columns, rounded
 from fraudloom.session import cut_lineage
 from fraudloom.sources.fixtures import embeddings, transactions
@@ -126,9 +126,35 @@ def dbscan_search(spark, sf):
     return dbscan.dbscan_search(rows, names).runs
 
 
-@query("dbscan_clusters")
+_SIX = feature_sets.CLUSTER.columns
+_X6 = [f"x{i}" for i in range(len(_SIX))]
+#: Vectors are numbered by their least row key; labels run along core links until none falls.
+_CLUSTER_SQL = f"""WITH RECURSIVE every AS MATERIALIZED (
+  SELECT id, user_id, {', '.join(f'round({c}, 6) + 0.0 AS {x}' for c, x in zip(_SIX, _X6))}
+  FROM ({with_views(scaled('features', _SIX), 'tx', extra=CLUSTER_CTES)})),
+v AS MATERIALIZED (
+  SELECT {', '.join(_X6)}, count(*) AS w, row_number() OVER (ORDER BY min(id)) AS v
+  FROM every WHERE {' AND '.join(f'{x} IS NOT NULL' for x in _X6)} GROUP BY {', '.join(_X6)}),
+near AS MATERIALIZED (
+  SELECT a.v AS a, b.v AS b, b.w AS w FROM v a, v b WHERE {' + '.join(f'(a.{x} - b.{x}) * (a.{x} - b.{x})' for x in _X6)} <= 0.25),
+core AS MATERIALIZED (SELECT a AS v FROM near GROUP BY a HAVING sum(w) >= 5),
+links AS MATERIALIZED (SELECT a, b FROM near WHERE a IN (FROM core) AND b IN (FROM core)),
+reach(v, least) USING KEY (v) AS (
+  SELECT v, v FROM core
+  UNION
+  SELECT l.b, min(r.least) FROM reach r JOIN links l ON l.a = r.v JOIN recurring.reach t ON t.v = l.b WHERE r.least < t.least GROUP BY l.b),
+numbered AS (SELECT v, dense_rank() OVER (ORDER BY least) - 1 AS n FROM reach),
+found AS (
+  SELECT v, n FROM numbered
+  UNION ALL
+  SELECT a, min(n) FROM near JOIN numbered ON numbered.v = b WHERE a NOT IN (FROM core) GROUP BY a)
+SELECT id, user_id, CASE WHEN v.v IS NOT NULL THEN coalesce(n, -1)::INT END AS cluster
+FROM every LEFT JOIN v ON {' AND '.join(f'every.{x} = v.{x}' for x in _X6)} LEFT JOIN found ON found.v = v.v"""
+
+
+@query("dbscan_clusters", _CLUSTER_SQL)
 def dbscan_clusters(spark, sf):
-    rows, names = scaled_rows(spark, sf, feature_sets.CLUSTER, every=True)
+    rows, names = rounded_rows(spark, sf, feature_sets.CLUSTER)
     return dbscan.dbscan_clusters(rows, names, 0.5, 5)
 
 

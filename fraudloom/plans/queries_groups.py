@@ -151,12 +151,9 @@ _scaled_set(
     },
     _impute_sql(lambda c: f"avg({c}) OVER ()"),
 )
-_scaled_set(
-    "features_cluster", _C,
-    {
-        "d": "SELECT * REPLACE (try_cast(exp_month AS double) AS exp_month, try_cast(exp_year AS double) AS exp_year) FROM tx",
-        "g": grouped("d", _measures(_C.counts)),
-        "features": _coded("g", list(_C.codes), [c for c in _C.columns if c not in _C.codes]),
-    },
-    _impute_sql(lambda c: "NULL"),
-)
+CLUSTER_CTES = {
+    "d": "SELECT * REPLACE (try_cast(exp_month AS double) AS exp_month, try_cast(exp_year AS double) AS exp_year) FROM tx",
+    "g": grouped("d", _measures(_C.counts)),
+    "features": _coded("g", list(_C.codes), [c for c in _C.columns if c not in _C.codes]),
+}
+_scaled_set("features_cluster", _C, CLUSTER_CTES, _impute_sql(lambda c: "NULL"))
