@@ -78,33 +78,47 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b if b in shown else next(hidden)) for b in range(256)}
 
 
-class _Pieces(dict):
-    """Ids of pieces, made when first asked for. When full, the older half is set aside and used once more."""
+class _Words(dict):
+    """Ids of words with the blank, or the line end, in front of them; made when first asked for.
+
+    When full, the older half is set aside and used once more.
+    """
 
     KEPT, LONGEST = 350_000, 64
 
-    def __init__(self, make):
+    def __init__(self, owner: "Encoder"):
         super().__init__()
-        self.make, self.old = make, {}
+        self.owner, self.old, self.marks = owner, {}, {}
 
-    def __missing__(self, piece: str) -> bytes:
-        own = self.old.get(piece)
+    def __missing__(self, word: str) -> bytes:
+        own = self.old.get(word)
         if own is None:
-            own = self.make(piece)
-        if len(piece) <= self.LONGEST:
+            owner = self.owner
+            stem = word.rstrip(owner.MARKS)
+            if stem and len(stem) < len(word) and stem[-1].isalnum() and stem[-1] < owner.PLAIN:
+                # letters or digits and the marks behind them are apart, whatever comes before
+                run = word[len(stem) :]
+                own = self.marks.get(run)
+                if own is None:
+                    own = self.marks[run] = owner.spelled(run)
+                own = self[stem] + own
+            else:
+                own = owner.word(word)
+        if len(word) <= self.LONGEST:
             if len(self) >= self.KEPT:
                 self.old = dict(self)
                 self.clear()
-            self[piece] = own
+                self.marks.clear()
+            self[word] = own
         return own
 
 
 class Encoder:
-    """A tokenizer with a cache of pieces between blanks.
+    """A tokenizer with a cache of words between blanks.
 
-    Pieces that are one run of letters or ASCII digits, with or without marks behind,
+    Words that are one run of letters or ASCII digits, with or without marks behind,
     go straight to the library's merge model; below U+0250 there is no doubt what a
-    letter is. Other pieces are encoded by the library, each once.
+    letter is. Other words are encoded by the library, each once.
     """
 
     MARKS, PLAIN = ",.;:!?|#*&%$", "\u0250"
@@ -122,30 +136,35 @@ class Encoder:
         self.added = tuple(x.content for x in self.tokenizer.get_added_tokens_decoder().values())
         self.splits = plain and self.tokenizer.normalizer is None and len(line) == 4 and not any("\n" in x for x in self.added)
         self.line = line
-        self.runs = _Pieces(self._run)
-        self.known = _Pieces(self._piece)
+        self.known = _Words(self)
 
     def _library(self, text: str) -> bytes:
         found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
         return np.asarray(found.ids, "<u4").tobytes()
 
-    def _run(self, piece: str) -> bytes:
+    def spelled(self, piece: str) -> bytes:
         """Ids of a piece that is not split before merging."""
         if piece.isascii():  # visible ASCII stands for itself
             spelled = piece.replace(" ", self.letters[0x20])
         else:
-            spelled = piece.encode().decode("latin-1").translate(self.letters)
+            spelled = "".join(map(self.letters.__getitem__, piece.encode()))
         return b"".join([self.packed[t.id] for t in self.model.tokenize(spelled)])
 
-    def _piece(self, piece: str) -> bytes:
-        """Ids of a piece without white space but a first blank or line end; a line end is a token of its own."""
-        if piece[0] == "\n":
-            return self.line + self.known[piece[1:]] if len(piece) > 1 else self.line
-        stem = piece.rstrip(self.MARKS)
-        letters = stem[1:] if stem[:1] == " " else stem
-        if letters.isalpha() and (letters.isascii() or max(letters) < self.PLAIN) or letters.isascii() and letters.isdigit():
-            return self.runs[stem] + self.runs[piece[len(stem) :]] if len(stem) < len(piece) else self._run(piece)
-        return self._library(piece)
+    def bare(self, word: str) -> bytes:
+        """Ids of a word as it stands, without white space inside."""
+        ascii_ = word.isascii()
+        if word.isalpha() and (ascii_ or max(word) < self.PLAIN) or ascii_ and word.isdigit():
+            return self.spelled(word)
+        return self._library(word)
+
+    def word(self, word: str) -> bytes:
+        """Ids of a blank and a word, or of a line end, which is a token of its own, and a word."""
+        if word[:1] == "\n":
+            return self.line + self.bare(word[1:]) if len(word) > 1 else self.line
+        ascii_ = word.isascii()
+        if word.isalpha() and (ascii_ or max(word) < self.PLAIN) or ascii_ and word.isdigit():
+            return self.spelled(" " + word)
+        return self._library(" " + word)
 
     def _splittable(self, text: str) -> bool:
         """Whether white space is only lone blanks and line ends between other characters, and no added token is spelled."""
@@ -164,7 +183,8 @@ class Encoder:
             elif not self.splits or not self._splittable(t):
                 found.append(self._library(t))
             else:  # a blank goes with the word behind it, a line end too
-                found.append(b"".join(map(known, t.replace(" ", "\0 ").replace("\n", "\0\n").split("\0"))))
+                words = t.replace("\n", " \n").split(" ")
+                found.append(self.bare(words[0]) + b"".join(map(known, words[1:])))
         return found
 
 
@@ -193,8 +213,7 @@ def _blocks(shared, end_id: int, block_ids: int):
             ], names=[c.split()[0] for c in BLOCKS.split(", ")])
 
         for batch in batches:
-            names = batch.column(0).to_pylist()
-            texts = [t.decode() for t in bytes_of(batch.column(1))]
+            names, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for at in range(0, len(texts), 64):
                 for doc, ids in zip(names[at : at + 64], own.encode(texts[at : at + 64])):
                     held += (ids, last)
