@@ -1,11 +1,14 @@
 """Reconstruction-error models: a dense autoencoder and a PCA baseline.
 
-Training is data-parallel. Rows are hashed into a fixed number of shards, each
-epoch every shard streams its Arrow batches through Adam from the shared
-weights, and the shards' weights and moments are averaged by rows. The driver
-sees one such vector per epoch, summed on the executors, never rows. The number
-of shards is a setting, so results change neither with the table's size nor with
-the cluster; choose it by the rows that one task should pass per epoch.
+Training is data-parallel and synchronous. Rows are put in a fixed random order and cut
+into slots of ``SLOT`` rows, each packed into one row of a written table. In every epoch
+each slot passes its mini-batches through Adam from the shared weights; the slots'
+weights and moments, weighted by rows, are added up in a tree whose branches are given
+by the slots' numbers, and their mean is what the next epoch starts from. Slots follow
+from the rows alone, so the model is the same, to the last bit, under any partitioning
+and on any cluster, while the tasks of an epoch grow with the table. A table of one slot
+is trained exactly as by a single process. The driver gets at most ``FOLD`` partial sums
+per epoch, never rows.
 """
 
 from __future__ import annotations
@@ -16,15 +19,21 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fraudloom.operators.flags import validation_split
+from fraudloom.operators.numbering import number_rows
 from fraudloom.schemas import KEY_COLS
+from fraudloom.session import cut_lineage
 
-SHARDS = 8
+#: Rows of a slot: what one task trains on by itself within an epoch.
+SLOT = 8192
+#: Partial sums that are added up at one place.
+FOLD = 64
+#: Slots that share a file of the slot table.
+FILE_SLOTS = 128
 
 
 @dataclass(frozen=True)
@@ -147,109 +156,122 @@ def _gradient(flat: np.ndarray, shapes, x: np.ndarray, net: Network, rng) -> tup
     return grad, loss
 
 
+def _slots(rows: DataFrame, features: list[str], key_cols: list[str], seed: int, slot: int) -> tuple[DataFrame, int]:
+    """The written slots (slot, held, x) and how many there are.
+
+    Rows are ordered by a hash of their keys, then by their features, so that only
+    rows that are the same in all that training sees could change places.
+    """
+    names = [f"_f{i}" for i in range(len(features))]
+    narrow = rows.select(
+        F.xxhash64(F.lit(seed), *key_cols).alias("_order"), F.col("is_validation").alias("_held"),
+        *[F.col(c).cast("double").alias(n) for c, n in zip(features, names)], F.monotonically_increasing_id().alias("_row"),
+    )
+    placed = number_rows(narrow, ["_order", "_held", *names, "_row"], "_place")
+    count = -(-placed.count() // slot)
+
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_place")
+        x = np.column_stack([table[n].to_numpy() for n in names])
+        return pa.table({
+            "slot": pa.array([int(table["_place"][0].as_py()) // slot], pa.int64()),
+            "held": pa.array([table["_held"].to_numpy().astype(np.uint8).tobytes()], pa.binary()),
+            "x": pa.array([x.astype("<f8").tobytes()], pa.binary()),
+        })
+
+    packed = placed.groupBy(F.floor(F.col("_place") / slot)).applyInArrow(pack, "slot long, held binary, x binary")
+    files = max(min(count, max(rows.sparkSession.sparkContext.defaultParallelism, count // FILE_SLOTS)), 1)
+    return cut_lineage(packed.repartition(files, "slot")), count
+
+
 def autoencoder_fit(
     df: DataFrame, features: list[str], network: Network = PLAIN, seed: int = 42,
-    key_cols: list[str] | None = None, shards: int = SHARDS,
+    key_cols: list[str] | None = None, slot: int = SLOT,
 ) -> Autoencoder:
-    """Train on the complete rows of ``df``. Other ``shards`` give another, equally valid, model."""
+    """Train on the complete rows of ``df``. Another ``slot`` gives another, equally valid, model."""
     key_cols = key_cols or KEY_COLS
     net, width = network, len(features)
     shapes = _shapes(width, net.hidden)
     rows = validation_split(df.dropna(subset=features), key_cols, net.validation, seed + 1)
-    order = F.xxhash64(F.lit(seed), *key_cols)
-    sharded = (
-        rows.select(
-            F.pmod(F.xxhash64(F.lit(seed + 2), *key_cols), F.lit(shards)).cast("int").alias("_shard"),
-            order.alias("_order"), "is_validation",
-            *[F.col(c).cast("double").alias(f"_f{i}") for i, c in enumerate(features)],
-        )
-        .repartition(shards, "_shard")
-        .sortWithinPartitions("_shard", "_order")
-        .drop("_order")
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
+    slots, count = _slots(rows, features, key_cols, seed, slot)
     context = df.sparkSession.sparkContext
     # weights, first and second moments, and the step they were taken at
     state = np.concatenate([_start(shapes, seed), np.zeros(2 * sum(n * m + m for n, m in shapes))])
     step, history, best, best_weights, waited = 0, [], np.inf, None, 0
     size = len(state) // 3
-    try:
-        for epoch in range(net.epochs + 1):
-            shared = context.broadcast((state, step))
-            last = epoch == net.epochs
-            parts = sharded.mapInArrow(
-                _epoch(shared, shapes, net, seed, epoch, width, learn=not last),
-                "shard int, n long, steps long, loss double, v_n long, v_loss double, state array<double>",
-            )
-            total = _summed(parts)
-            shared.destroy()
-            if epoch and total["v_n"]:
-                # validation ran on the weights this epoch started from
-                value = total["v_loss"] / total["v_n"]
-                history[-1]["val_loss"] = value
-                if value < best - net.min_delta:
-                    best, waited, best_weights = value, 0, state[:size].copy()
-                else:
-                    waited += 1
-                if net.patience is not None and waited >= net.patience:
-                    break
-            if last or not total["n"]:
+    for epoch in range(net.epochs + 1):
+        shared = context.broadcast((state, step))
+        last = epoch == net.epochs
+        parts = slots.mapInArrow(_epoch(shared, shapes, net, seed, epoch, width, learn=not last), _SUMS)
+        total = _added_up(parts, count)
+        shared.destroy()
+        if epoch and total["v_n"]:
+            # validation ran on the weights this epoch started from
+            value = total["v_loss"] / total["v_n"]
+            history[-1]["val_loss"] = value
+            if value < best - net.min_delta:
+                best, waited, best_weights = value, 0, state[:size].copy()
+            else:
+                waited += 1
+            if net.patience is not None and waited >= net.patience:
                 break
-            state = total["state"] / total["n"]
-            step += total["steps"]
-            history.append({"epoch": epoch, "loss": total["loss"] / total["n"], "val_loss": None})
-    finally:
-        sharded.unpersist()
+        if last or not total["n"]:
+            break
+        state = total["state"] / total["n"]
+        step += total["steps"]
+        history.append({"epoch": epoch, "loss": total["loss"] / total["n"], "val_loss": None})
     weights = best_weights if net.restore_best and best_weights is not None else state[:size]
     return Autoencoder(list(features), net, weights, history)
 
 
-_NUMBERS = ("n", "loss", "v_n", "v_loss")
+#: Sums over slots: learned and held rows, losses, most steps, and states times learned rows.
+_SUMS = "slot long, n long, v_n long, steps long, loss double, v_loss double, state binary"
+
 
+def _sum_of(rows: list[dict]) -> dict:
+    """One row for several, added in the order of their slots."""
+    rows = sorted(rows, key=lambda r: r["slot"])
+    out = {c: sum(r[c] for r in rows) for c in ("n", "v_n", "loss", "v_loss")}
+    state = np.frombuffer(rows[0]["state"], "<f8").copy()
+    for r in rows[1:]:
+        state += np.frombuffer(r["state"], "<f8")
+    return out | {"slot": rows[0]["slot"], "steps": max(r["steps"] for r in rows), "state": state.tobytes()}
 
-def _summed(parts: DataFrame) -> dict:
-    """Sums over shards, states weighted by rows, added on the executors in order of the shards."""
 
-    def ordered(values) -> Column:
-        by_shard = F.array_sort(F.collect_list(F.struct("shard", values.alias("v"))))
-        return F.aggregate(by_shard, F.lit(0.0), lambda s, x: s + x["v"])
+def _table_of(rows: list[dict]) -> pa.Table:
+    kinds = {"long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
+    fields = [f.split() for f in _SUMS.split(", ")]
+    return pa.Table.from_pylist(rows, schema=pa.schema([(n, kinds[k]) for n, k in fields]))
 
-    numbers = F.array(*[F.col(c).cast("double") for c in _NUMBERS])
-    flat = F.concat(numbers, F.transform("state", lambda x: x * F.col("n")))
-    long = parts.select("shard", "steps", F.posexplode(flat).alias("at", "x"))
-    rows = long.groupBy("at").agg(ordered(F.col("x")).alias("x"), F.max("steps").alias("steps")).collect()
-    values = [r["x"] for r in sorted(rows, key=lambda r: r["at"])]
-    out = dict(zip(_NUMBERS, values)) if rows else dict.fromkeys(_NUMBERS, 0.0)
-    return out | {"state": np.array(values[len(_NUMBERS):]), "steps": rows[0]["steps"] if rows else 0}
+
+def _added_up(parts: DataFrame, count: int) -> dict:
+    """The sum of all slots' rows: branches of ``FOLD`` are added on the executors until that many are left."""
+    span = 1
+    while count > FOLD:
+        span, count = span * FOLD, -(-count // FOLD)
+        parts = parts.groupBy(F.floor(F.col("slot") / span)).applyInArrow(lambda t: _table_of([_sum_of(t.to_pylist())]), _SUMS)
+    rows = [r.asDict() for r in parts.collect()]
+    if not rows:
+        return {"n": 0, "v_n": 0, "steps": 0}
+    out = _sum_of(rows)
+    return out | {"state": np.frombuffer(out["state"], "<f8")}
 
 
 def _epoch(shared, shapes, net: Network, seed: int, epoch: int, width: int, learn: bool):
-    """One partition's pass: validation loss of the given weights, then training."""
+    """Each slot's pass: validation loss of the given weights, then training from them."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def passed(slot: int, held: np.ndarray, x: np.ndarray) -> dict:
         state, step = shared.value
         state = state.copy()
         size = len(state) // 3
         weights, first, second = state[:size], state[size:2 * size], state[2 * size:]
-        start = [(w.copy(), b.copy()) for w, b in _unpack(weights, shapes)]
-        n = steps = v_n = 0
-        loss = v_loss = 0.0
-        rng, shard = None, -1
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            shard = batch.column(0)[0].as_py()
-            x = np.column_stack([batch.column(i + 2).to_numpy(zero_copy_only=False) for i in range(width)])
-            held = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            if rng is None:
-                rng = np.random.default_rng([seed, epoch, shard])
-            if held.any():
-                acts, _ = _forward(start, x[held], net)
-                v_n += int(held.sum())
-                v_loss += float(((acts[-1] - x[held]) ** 2).mean(axis=1).sum())
-            x = x[~held]
-            if not learn or not len(x):
-                continue
+        rng = np.random.default_rng([seed, epoch, slot])
+        v_n, v_loss, loss, steps = int(held.sum()), 0.0, 0.0, 0
+        if v_n:
+            acts, _ = _forward(_unpack(weights, shapes), x[held], net)
+            v_loss = float(((acts[-1] - x[held]) ** 2).mean(axis=1).sum())
+        x = x[~held]
+        if learn and len(x):
             x = x[rng.permutation(len(x))]
             for i in range(0, len(x), net.batch):
                 part = x[i:i + net.batch]
@@ -263,14 +285,14 @@ def _epoch(shared, shapes, net: Network, seed: int, epoch: int, width: int, lear
                 scale = net.rate * np.sqrt(1.0 - 0.999**at) / (1.0 - 0.9**at)
                 weights -= scale * first / (np.sqrt(second) + 1e-7)
                 loss += value * len(part)
-            n += len(x)
-        yield pa.RecordBatch.from_pylist(
-            [{"shard": shard, "n": n, "steps": steps, "loss": loss, "v_n": v_n, "v_loss": v_loss, "state": state.tolist()}],
-            schema=pa.schema(
-                [("shard", pa.int32()), ("n", pa.int64()), ("steps", pa.int64()), ("loss", pa.float64()), ("v_n", pa.int64()),
-                 ("v_loss", pa.float64()), ("state", pa.list_(pa.float64()))]
-            ),
-        )
+        n = len(x)
+        return {"slot": slot, "n": n, "v_n": v_n, "steps": steps, "loss": loss, "v_loss": v_loss, "state": (state * n).astype("<f8").tobytes()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                held = np.frombuffer(r["held"], np.uint8).astype(bool)
+                yield from _table_of([passed(r["slot"], held, np.frombuffer(r["x"], "<f8").reshape(len(held), width))]).to_batches()
 
     return run
 

@@ -1,15 +1,20 @@
-"""Exact percentiles whose memory does not grow with the data."""
+"""Exact percentiles whose memory and shuffles do not grow with the data."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fraudloom.operators.numbering import POSITION_BITS
 from fraudloom.session import cut_lineage
 
-#: Distinct values up to which one task may take the percentiles of their counts.
+#: Distinct values up to which one task may take a percentile from their counts.
 EXACT_ROWS = 1_000_000
+#: Size of a sketch, and the share of ranks on either side of a wanted one within which it is sought.
+SKETCH = 1024
+MARGIN = 0.01
 
 
 def exact_percentile(df: DataFrame, column: str, p: float, exact_rows: int = EXACT_ROWS) -> float | None:
@@ -21,21 +26,113 @@ def exact_percentiles(
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated percentiles (0 to 1) of each column's non-null values.
 
-    All columns are counted by value in one pass. What is left is at most one row
-    per distinct value however many tasks there were; up to ``exact_rows`` of them
-    the built-in ``percentile`` weighs them, beyond that they are ranked by a range
-    sort. Both give the same numbers.
+    One scan makes a mergeable sketch per column, whose quantiles on either side of a
+    wanted rank bracket it. The next one counts what lies below the bracket, one number
+    per task, and counts values only inside, where the rank is then found. While
+    brackets may hold more than ``exact_rows`` rows, sketches of what is inside narrow
+    them first. A bracket that turns out to miss its rank, as sketches may err, is
+    replaced by a range sort of all values.
     """
-    pairs = F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)])
-    long = df.select(F.explode(pairs).alias("p")).select("p.*").filter("v IS NOT NULL")
-    counts = cut_lineage(long.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")))
-    names = {f"q{j}": float(p) for j, p in enumerate(ps)}
-    if counts.count() <= exact_rows:
-        found = counts.groupBy("c").agg(*[F.percentile("v", p, F.col("n")).alias(q) for q, p in names.items()])
-    else:
-        found = _ranked(counts.select(F.col("c").alias("_g"), F.col("v").alias("_v"), F.col("n").alias("_n")), "c", names)
-    rows = {r["c"]: [r[q] for q in names] for r in found.collect()}
-    return {c: rows.get(i, [None] * len(ps)) for i, c in enumerate(columns)}
+    values = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
+    first = values.agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(values.columns) for n, f in (("n", F.count), ("s", _sketch))]).first()
+    wanted = {}
+    for i in range(len(columns)):
+        for j, p in enumerate(ps):
+            if first[f"n{i}"]:
+                wanted[i, j] = _Rank(float(p) * (first[f"n{i}"] - 1), 0, first[f"n{i}"], bytes(first[f"s{i}"]) if first[f"s{i}"] else None)
+    found: dict[tuple[int, int], float | None] = {}
+    if wanted:
+        _bracket(df, wanted)
+        while any(r.size > 1 and r.size * 4 * MARGIN > exact_rows for r in wanted.values()):
+            _narrow(values, wanted)
+            _bracket(df, wanted)
+        found = _picked(values, wanted)
+    out = {c: [found.get((i, j)) for j in range(len(ps))] for i, c in enumerate(columns)}
+    for i, c in enumerate(columns):
+        if any((i, j) in wanted and out[c][j] is None for j in range(len(ps))):
+            names = {f"q{j}": float(p) for j, p in enumerate(ps)}
+            counts = values.filter(F.col(f"v{i}").isNotNull()).groupBy(F.col(f"v{i}").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+            row = _ranked(counts.select(F.lit(0).alias("_g"), "_v", "_n"), "g", names).first()
+            out[c] = [row[q] for q in names]
+    return out
+
+
+class _Rank:
+    """A wanted rank among the values of a bracket: ``size`` values in it (of which a sketch tells), ``below`` smaller ones."""
+
+    def __init__(self, rank: float, below: int, size: int, sketch: bytes | None):
+        self.rank, self.below, self.size, self.sketch = rank, below, size, sketch
+        self.lo: float | None = None  # None: no bound on this side
+        self.hi: float | None = None
+
+    def inside(self, c: Column) -> Column:
+        terms = [c.isNotNull()] + ([c >= self.lo] if self.lo is not None else []) + ([c <= self.hi] if self.hi is not None else [])
+        return reduce(lambda a, b: a & b, terms)
+
+    def under(self, c: Column) -> Column:
+        return c < self.lo if self.lo is not None else F.lit(False)
+
+
+def _sketch(c) -> Column:
+    return F.kll_sketch_agg_double(c, F.lit(SKETCH))
+
+
+def _bracket(df: DataFrame, wanted: dict) -> None:
+    """Set each rank's bounds from its sketch: the quantiles ``MARGIN`` below and above it."""
+    known = {
+        (i, j): (r.sketch, (r.rank - r.below) / r.size - MARGIN, (r.rank - r.below + 1) / r.size + MARGIN)
+        for (i, j), r in wanted.items() if r.sketch and r.size > 1
+    }
+    # a bracket that reaches an end of its range keeps the bound that the range had
+    told = [
+        F.kll_sketch_get_quantile_double(F.lit(bytearray(sketch)), F.lit(at)).alias(f"{side}{i}_{j}")
+        for (i, j), (sketch, a, b) in known.items() for side, at in (("lo", a), ("hi", b)) if 0 < at < 1
+    ]
+    row = df.sparkSession.range(1).select(F.lit(0).alias("none"), *told).first().asDict()
+    for i, j in known:
+        r = wanted[i, j]
+        r.lo, r.hi = row.get(f"lo{i}_{j}", r.lo), row.get(f"hi{i}_{j}", r.hi)
+
+
+def _narrow(values: DataFrame, wanted: dict) -> None:
+    """Count below and inside each bracket, and sketch what is inside."""
+    aggs, open_ = [], {at: r for at, r in wanted.items() if r.size > 1}
+    for (i, j), r in open_.items():
+        c = F.col(f"v{i}")
+        aggs += [
+            F.count(F.when(r.under(c), 1)).alias(f"below{i}_{j}"), F.count(F.when(r.inside(c), 1)).alias(f"size{i}_{j}"),
+            _sketch(F.when(r.inside(c), c)).alias(f"s{i}_{j}"),
+        ]
+    row = values.agg(*aggs).first()
+    for (i, j), r in open_.items():
+        before = r.size
+        r.below, r.size, sketch = row[f"below{i}_{j}"], row[f"size{i}_{j}"], row[f"s{i}_{j}"]
+        r.sketch = bytes(sketch) if sketch else None
+        if r.size == before or r.lo == r.hi:  # one value fills it: counting by value is cheap however many rows
+            r.size = 1
+
+
+def _picked(values: DataFrame, wanted: dict) -> dict[tuple[int, int], float | None]:
+    """The percentile of each bracket from counts by value inside and one count of all below; None where the rank lies outside."""
+    records = []
+    for (i, j), r in wanted.items():
+        c = F.col(f"v{i}")
+        records.append(F.struct(
+            F.lit(i).alias("i"), F.lit(j).alias("j"), (r.under(c) | r.inside(c)).alias("counts"),
+            F.when(r.inside(c), c).alias("v"), F.lit(r.rank).alias("rank"),
+        ))
+    long = values.select(F.explode(F.array(*records)).alias("r")).select("r.*").filter(F.col("counts"))
+    counts = long.groupBy("i", "j", "rank", "v").agg(F.count(F.lit(1)).alias("n"))
+    so_far = Window.partitionBy("i", "j").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.withColumn("upto", F.sum("n").over(so_far))
+    sides = []
+    for side, at in (("lo", F.floor("rank")), ("hi", F.ceil("rank"))):
+        sides.append(F.max(F.when((F.col("upto") > at) & (F.col("upto") - F.col("n") <= at), F.col("v"))).alias(side))
+    rows = placed.groupBy("i", "j", "rank").agg(*sides).collect()
+    return {
+        (r["i"], r["j"]): None if r["lo"] is None or r["hi"] is None else r["lo"] if r["lo"] == r["hi"] else r["lo"] + (r["rank"] - int(r["rank"])) * (r["hi"] - r["lo"])
+        for r in rows
+    }
 
 
 def grouped_percentiles(df: DataFrame, group: str, value: str, ps: dict[str, float]) -> DataFrame:

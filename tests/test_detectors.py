@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fraudloom.operators import autoencoder as ae
-from fraudloom.operators import dbscan, flags, search, silhouette
+from fraudloom.operators import dbscan, flags, refine, search, silhouette
 from fraudloom.operators.components import connected_components
 from fraudloom.operators.iforest import ForestModel, average_path, isolation_forest_fit, isolation_forest_score
 from fraudloom.plans import queries_detect
@@ -55,6 +55,32 @@ def test_dbscan_equals_brute_force(spark, blobs, eps, least):
     assert [noise[i] for i in range(len(blobs))] == (want == -1).astype(int).tolist()
 
 
+@pytest.mark.parametrize("eps,least,leaf", [(0.5, 5, 24), (0.3, 60, 16)])
+def test_dense_cells_equal_brute_force(spark, eps, least, leaf):
+    rng = np.random.default_rng(8)
+    x = np.zeros((1000, 3))
+    x[:500, :2] = rng.uniform(0, 1, (500, 2))
+    x[500:700, :2] = rng.uniform(0, 0.2, (200, 2)) + [1.6, 0.4]  # a second group, just about out of reach
+    x[700:800, :2] = np.exp(-rng.uniform(0, 4, (100, 2))) * 0.4 + [0, 2.2]  # denser and denser towards one corner
+    x[800:900] = x[rng.integers(0, 500, 100)]
+    x[900:, :2] = rng.uniform(-1, 4, (100, 2))
+    x = np.round(x, 9)
+    df, want = frame(spark, x), brute(x, eps, least)
+    got = {r["id"]: r["cluster"] for r in dbscan.dbscan_clusters(df, NAMES, eps, least, leaf=leaf).collect()}
+    assert [got[i] for i in range(len(x))] == want.tolist()
+    noise = {r["id"]: r["DBSCAN"] for r in dbscan.dbscan_noise(df, NAMES, eps, least, leaf=leaf).collect()}
+    assert [noise[i] for i in range(len(x))] == (want == -1).astype(int).tolist()
+
+
+def test_trees_split_until_leaves_are_small(spark):
+    x = np.vstack([np.random.default_rng(1).uniform(0, 1, (300, 2)), np.zeros((50, 2)), [[5.0, 5.0]]])
+    df = spark.createDataFrame([(i, "c" if i < 350 else "far", *map(float, r)) for i, r in enumerate(x)], "v long, cell string, a double, b double")
+    trees = refine.grow(df.dropDuplicates(["a", "b"]), ["a", "b"], 10)
+    leaves = refine._leaves(refine.placed(df.dropDuplicates(["a", "b"]), trees)).groupBy("node").agg(F.count("*").alias("n"), F.min("cell").alias("cell")).collect()
+    assert max(r["n"] for r in leaves) <= 10 and sum(r["n"] for r in leaves) == 302 and {"far"} == {r["node"] for r in leaves if r["cell"] == "far"}
+    assert refine.grow(df.filter("v > 349"), ["a", "b"]).paths is None
+
+
 def test_dbscan_search_equals_single_runs(spark, blobs):
     found = dbscan.dbscan_search(frame(spark, blobs), NAMES, target_outliers=40)
     runs = {(r["eps"], r["min_samples"]): r["n_outliers"] for r in found.runs.collect()}
@@ -165,7 +191,7 @@ def test_gradient_and_forward_pass():
 def test_autoencoder(spark, blobs, tmp_path):
     x = (blobs - blobs.mean(axis=0)) / blobs.std(axis=0)
     net = ae.Network(hidden=(8, 2, 8), output="linear", epochs=15, validation=0.2, patience=10)
-    models = [ae.autoencoder_fit(frame(spark, x, parts), NAMES, net, shards=3) for parts in (2, 7)]
+    models = [ae.autoencoder_fit(frame(spark, x, parts), NAMES, net, slot=150) for parts in (2, 7)]
     assert np.array_equal(models[0].weights, models[1].weights)
     history = models[0].history
     assert history[-1]["loss"] < history[0]["loss"] and history[0]["val_loss"] is not None
@@ -180,7 +206,7 @@ def test_autoencoder(spark, blobs, tmp_path):
 def test_early_stopping_restores_the_best(spark, blobs):
     x = (blobs - blobs.mean(axis=0)) / blobs.std(axis=0)
     net = ae.Network(hidden=(4,), epochs=40, validation=0.3, patience=2, min_delta=10.0, restore_best=True)
-    model = ae.autoencoder_fit(frame(spark, x), NAMES, net, shards=2)
+    model = ae.autoencoder_fit(frame(spark, x), NAMES, net, slot=250)
     assert len(model.history) == 3
 
 
@@ -201,6 +227,63 @@ def test_pca_query_keeps_rows_that_lack_a_feature(spark, sf_dir):
     assert {(r.id, r.user_id) for r in got if r.Autoencoder_Error is None} == lacking
 
 
+def plain_training(slots, net, seed):
+    """Two-layer training written out: each slot by itself from the shared weights, then the mean weighted by rows."""
+    width, hidden = slots[0].shape[1], net.hidden[0]
+    sizes = [width * hidden, hidden, hidden * width, width]
+    cuts = np.cumsum(sizes)
+    shared = [ae._start([(width, hidden), (hidden, width)], seed), np.zeros(cuts[-1]), np.zeros(cuts[-1])]
+    step = 0
+    for epoch in range(net.epochs):
+        made = []
+        for number, rows in enumerate(slots):
+            w, m, v = (x.copy() for x in shared)
+            rows = rows[np.random.default_rng([seed, epoch, number]).permutation(len(rows))]
+            for t, at in enumerate(range(0, len(rows), net.batch), step + 1):
+                x = rows[at : at + net.batch]
+                w1, b1, w2, b2 = np.split(w, cuts[:-1])
+                w1, w2 = w1.reshape(width, hidden), w2.reshape(hidden, width)
+                h = np.maximum(x @ w1 + b1, 0)
+                y = 1 / (1 + np.exp(-(h @ w2 + b2)))
+                d2 = 2 * (y - x) / x.size * y * (1 - y)
+                d1 = (d2 @ w2.T) * (h > 0)
+                g = np.concatenate([(x.T @ d1).ravel(), d1.sum(0), (h.T @ d2).ravel(), d2.sum(0)])
+                m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+                w = w - net.rate * np.sqrt(1 - 0.999**t) / (1 - 0.9**t) * m / (np.sqrt(v) + 1e-7)
+            made.append((len(rows), np.array([w, m, v])))
+        shared = list(sum(n * s for n, s in made) / sum(n for n, _ in made))
+        step += max(-(-n // net.batch) for n, _ in made)
+    return shared[0]
+
+
+@pytest.mark.parametrize("slot,fold", [(10_000, 64), (64, 2)])
+def test_training_equals_a_plain_loop(spark, blobs, monkeypatch, slot, fold):
+    monkeypatch.setattr(ae, "FOLD", fold)
+    net = ae.Network(hidden=(4,), epochs=3, batch=16)
+    x = (blobs - blobs.min(axis=0)) / (blobs.max(axis=0) - blobs.min(axis=0))
+    order = frame(spark, x).select(F.xxhash64(F.lit(42), "id", "user_id").alias("h"), "id").orderBy("h").collect()
+    ranked = x[[r["id"] for r in order]]
+    want = plain_training([ranked[i : i + slot] for i in range(0, len(ranked), slot)], net, 42)
+    for parts in (1, 5):
+        got = ae.autoencoder_fit(frame(spark, x, parts), NAMES, net, slot=slot)
+        assert np.allclose(got.weights, want, rtol=0, atol=1e-12)
+    rows = [r for r in got.history]
+    assert [r["epoch"] for r in rows] == [0, 1, 2] and rows[2]["loss"] < rows[0]["loss"]
+
+
+def test_gradient_equals_differences():
+    rng = np.random.default_rng(5)
+    shapes = ae._shapes(3, (4, 2))
+    for net in (ae.Network(hidden=(4, 2), l2={0: 0.1}), ae.Network(hidden=(4, 2), output="linear")):
+        w, x = ae._start(shapes, 3) + rng.normal(0, 0.1, sum(n * m + m for n, m in shapes)), rng.uniform(0, 1, (6, 3))
+        grad, _ = ae._gradient(w, shapes, x, net, None)
+        for i in range(len(w)):
+            step = np.zeros(len(w))
+            step[i] = 1e-6
+            rise = (ae._gradient(w + step, shapes, x, net, None)[1] - ae._gradient(w - step, shapes, x, net, None)[1]) / 2e-6
+            assert grad[i] == pytest.approx(rise, abs=1e-6)
+
+
 def test_splits_do_not_depend_on_partitions(spark, blobs):
     parts = [
         sorted(r["id"] for r in flags.split_train_test(frame(spark, blobs, p), ["id", "user_id"])[1].collect())
