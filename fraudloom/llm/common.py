@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
-#: Rows of one Arrow batch sent to Python. Texts are long, so Spark's default of
-#: 10,000 rows would make batches of unbounded bytes.
-BATCH_ROWS = "1000"
+#: Rows and bytes of one Arrow batch sent to Python: texts are long, so Spark's
+#: defaults of 10,000 rows and 64 MB would fill a worker with one batch.
+BATCH_ROWS, BATCH_BYTES = "1000", str(4 << 20)
 
 WORD_BYTES = bytes([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)])
 #: Lower-cases A-Z and turns every byte outside a word into a space. Words are
@@ -26,6 +26,12 @@ WORD_BYTES = bytes([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]
 FOLD = bytes(ord(chr(b).lower()) if 0x41 <= b <= 0x5A else b if b in WORD_BYTES else 0x20 for b in range(256))
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """From now on, Arrow batches of this session hold few rows and bytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -76,7 +82,7 @@ def annotate(
     batch as UTF-8 bytes (null is empty) and yields the struct's values for each.
     """
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    bound_batches(spark)
     added = StructType.fromDDL(fields)
     schema = StructType([*docs.schema.fields, StructField(name, added)])
     types, at = list(to_arrow_schema(added)), docs.columns.index(text)

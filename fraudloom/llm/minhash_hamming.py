@@ -92,7 +92,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class _WordHashes(dict):
     """64-bit hashes of words; forgets all when full."""
 
-    LIMIT = 400_000
+    LIMIT = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

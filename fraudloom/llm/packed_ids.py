@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fraudloom.llm.common import BATCH_ROWS, bytes_of, once_per_worker, tokenizer_file
+from fraudloom.llm.common import bound_batches, once_per_worker, tokenizer_file
 from fraudloom.session import shared_folder
 
 BLOCK_IDS = 65_536
@@ -238,7 +238,7 @@ def write_ids(
     spark = docs.sparkSession
     with open(tokenizer or tokenizer_file("byte_bpe_50k.json"), "rb") as f:
         shared = spark.sparkContext.broadcast(f.read())
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    bound_batches(spark)
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(-(-total // SHARD_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))

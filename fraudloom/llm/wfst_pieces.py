@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StringType, StructField, StructType
 
-from fraudloom.llm.common import BATCH_ROWS, annotate, fresh, once_per_worker, sha256_hex, tokenizer_file
+from fraudloom.llm.common import annotate, bound_batches, fresh, once_per_worker, sha256_hex, tokenizer_file
 
 MARK = "▁"
 #: Fixed values of the model file's format.
@@ -368,7 +368,7 @@ def decode_documents(docs: DataFrame, ids: str = "ids", model: bytes | None = No
     """``docs`` with a column of the texts that an array column of piece ids spells, whose name is returned too; null is empty."""
     name, at = fresh(docs, "decoded"), docs.columns.index(ids)
     shared = docs.sparkSession.sparkContext.broadcast(model or model_bytes())
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, decode = compiled(shared.value)
