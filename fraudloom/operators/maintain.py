@@ -9,10 +9,12 @@ from __future__ import annotations
 
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fraudloom.functions import text
+from fraudloom.operators.components import connected_components
 from fraudloom.plans.sizing import sized
 from fraudloom.session import cut_lineage
 
@@ -114,13 +116,21 @@ def delete_users_cascade(
     return kept, {name: child.join(owners, "user_id", "left_anti") for name, child in children.items()}
 
 
-def register_users(users: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+#: Requests of one clash component, or of several together, that one task may settle in order.
+SETTLED_TOGETHER = 50_000
+
+
+def register_users(
+    users: DataFrame, requests: DataFrame, together: int = SETTLED_TOGETHER
+) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejects) of registrations taken in ``request_id`` order.
 
     A request fails on a blank field, then on a username, then on an e-mail held
-    by a user or by an earlier accepted request. Each round settles every
-    request that is first among the open ones for both its username and its
-    e-mail, and refuses those that clash with it; rounds are written out.
+    by a user or by an earlier accepted request. Requests that share a username or
+    an e-mail, directly or through others, make a component. Components of up to
+    ``together`` requests are settled in order, many to a task, however long their
+    chains of clashes; larger ones, which a hot name or e-mail makes, in rounds of
+    all that are first for both their keys.
     """
     blank = text.blank_to_null("username").isNull() | text.blank_to_null("email").isNull()
     names, mails = users.select("username"), users.select("email")
@@ -132,7 +142,20 @@ def register_users(users: DataFrame, requests: DataFrame) -> tuple[DataFrame, Da
     ]
     open_ = cut_lineage(free.join(mails, "email", "left_anti").select(*requests.columns))
     accepted, clashing = [open_.limit(0)], [free.join(mails, "email", "left_semi")]
-    while True:
+    components = _clash_components(open_)
+    if components is None:
+        accepted.append(open_)
+        open_ = open_.limit(0)
+    else:
+        accepted.append(open_.join(components, "request_id", "left_anti"))
+        sizes = components.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+        small, large = sizes.filter(F.col("n") <= together), sizes.filter(F.col("n") > together)
+        told = cut_lineage(_in_order(open_.join(components, "request_id").join(small, "component"), together))
+        won = told.filter("reason IS NULL").select("request_id")
+        accepted.append(open_.join(won, "request_id", "left_semi"))
+        refused.append(told.filter("reason IS NOT NULL"))
+        open_ = cut_lineage(open_.join(components.join(large, "component", "left_semi"), "request_id", "left_semi"))
+    while not open_.isEmpty():
         by_name = open_.groupBy("username").agg(F.min("request_id").alias("first_u"))
         by_mail = open_.groupBy("email").agg(F.min("request_id").alias("first_e"))
         # a request that leads both its groups is one row of each grouped table
@@ -156,6 +179,40 @@ def register_users(users: DataFrame, requests: DataFrame) -> tuple[DataFrame, Da
     return taken, _union(refused, ["request_id", "reason"])
 
 
+def _clash_components(open_: DataFrame) -> DataFrame | None:
+    """(request_id, component) of the requests that share a username or an e-mail with another; None if there are none."""
+    stars = []
+    for key in ("username", "email"):
+        first = open_.groupBy(key).agg(F.min("request_id").alias("a"), F.max("request_id").alias("last")).filter("a < last")
+        stars.append(open_.join(first.select(key, "a"), key).select("a", F.col("request_id").alias("b")).filter("a < b"))
+    edges = cut_lineage(stars[0].unionByName(stars[1]))
+    if edges.isEmpty():
+        return None
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return cut_lineage(connected_components(nodes, edges).withColumnRenamed("node", "request_id"))
+
+
+def _in_order(requests: DataFrame, together: int) -> DataFrame:
+    """(request_id, reason): requests of whole components, settled by request; the reason is null where accepted."""
+    total = requests.select("request_id").count()
+    slots = max(-(-total // together), 1)
+
+    def settle(table: pa.Table) -> pa.Table:
+        names, mails, reasons = set(), set(), []
+        table = table.sort_by("request_id")
+        for name, mail in zip(table["username"].to_pylist(), table["email"].to_pylist()):
+            reason = USERNAME_TAKEN if name in names else EMAIL_TAKEN if mail in mails else None
+            if reason is None:
+                names.add(name)
+                mails.add(mail)
+            reasons.append(reason)
+        return pa.table({"request_id": table["request_id"], "reason": pa.array(reasons, pa.string())})
+
+    kind = requests.schema["request_id"].dataType.simpleString()
+    dealt = requests.select("request_id", "username", "email", F.pmod(F.xxhash64("component"), F.lit(slots)).alias("slot"))
+    return dealt.groupBy("slot").applyInArrow(settle, f"request_id {kind}, reason string")
+
+
 def _refuse(requests: DataFrame, reason: str) -> DataFrame:
     return requests.select("request_id", F.lit(reason).alias("reason"))
 

@@ -1,10 +1,11 @@
 """Batch twins of the streaming operators, and scoring with a detector."""
 
 import uuid
+from datetime import date
 
 from pyspark.sql import functions as F
 
-from fraudloom.operators import feature_sets
+from fraudloom.operators import feature_sets, sketches
 from fraudloom.operators.group_features import FEATURES
 from fraudloom.operators.key_tables import Measure
 from fraudloom.plans.oracle_views import r6, with_views
@@ -131,3 +132,34 @@ def stream_running_features(spark, sf):
 def stream_score(spark, sf):
     cards = fx.transactions(spark, sf)
     return scoring.fit_detector(cards, feature_sets.FOREST, AS_OF).score(cards)
+
+
+#: Counts and distinct counts of keys over a window of days.
+WINDOWED = ["transactions_per_card", "users_per_card", "addresses_per_card", "cards_per_customer", "multiple_states", "transactions_per_state"]
+_START, _END = "1995-03-01", "1995-05-30"
+
+
+def dated_transactions(spark, sf):
+    """Card rows with the day of their order."""
+    days = fx.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("date").alias("day"))
+    return fx.transactions(spark, sf).join(days, "id")
+
+
+def _window_sql():
+    measures = [FEATURES[n] for n in WINDOWED]
+    columns = [f"w{i}.{m.out}" for i, m in enumerate(measures)]
+    inside = f"day >= DATE '{_START}' AND day < DATE '{_END}'"
+    joins = []
+    for i, m in enumerate(measures):
+        agg = f"count({'' if m.fn == 'count' else 'DISTINCT '}{m.value})" + (" > 1" if m.fn == "many" else "")
+        joins.append(f"LEFT JOIN (SELECT {m.key} AS k, {agg} AS {m.out} FROM dated WHERE {inside} AND {m.key} IS NOT NULL GROUP BY 1) w{i} ON w{i}.k = dated.{m.key}")
+    dated = "SELECT tx.*, o_orderdate::DATE AS day FROM tx JOIN orders ON o_orderkey = id"
+    return with_views(f"SELECT id, {', '.join(columns)} FROM dated {' '.join(joins)}", "tx", extra={"dated": dated})
+
+
+@query("window_counts_from_sketches", _window_sql())
+def window_counts_from_sketches(spark, sf):
+    rows, path = dated_transactions(spark, sf), f"{shared_folder(spark)}/sketches/{uuid.uuid4().hex}"
+    sketches.store_days(rows, "day", WINDOWED, path)
+    counted = sketches.add_window_counts(rows, spark.read.parquet(path), date.fromisoformat(_START), date.fromisoformat(_END), WINDOWED)
+    return counted.select("id", *WINDOWED)

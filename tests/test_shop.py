@@ -139,3 +139,27 @@ def test_ownerless_rows_are_there_but_denied(spark):
     kept, refused = maintain.owned_changes_only(base, changes)
     assert [r["request_id"] for r in kept.collect()] == [2]
     assert {r["request_id"]: r["reason"] for r in refused.collect()} == {1: maintain.DENIED, 3: maintain.NOT_FOUND, 4: maintain.DENIED}
+
+
+def settled_by_hand(rows):
+    names, mails, out = set(), set(), {}
+    for i, name, mail in sorted(rows):
+        out[i] = maintain.USERNAME_TAKEN if name in names else maintain.EMAIL_TAKEN if mail in mails else None
+        if out[i] is None:
+            names.add(name)
+            mails.add(mail)
+    return out
+
+
+@pytest.mark.parametrize("together", [50_000, 300])
+def test_long_chains_of_clashes(spark, together):
+    rng = random.Random(4)
+    rows = [(i, f"u{i // 2}", f"e{(i + 1) // 2}") for i in range(4000 if together > 4000 else 200)]  # each clashes with the one before
+    rows += [(10_000 + i, f"n{rng.randint(0, 150)}", f"m{rng.randint(0, 150)}") for i in range(400)]
+    rows += [(20_000 + i, "hot", f"h{i}") for i in range(500)] + [(30_000 + i, f"lone{i}", f"lone{i}") for i in range(50)]
+    rng.shuffle(rows)
+    schema = "request_id long, username string, email string"
+    users = spark.createDataFrame([], "id long, username string, email string, is_staff boolean")
+    taken, refused = maintain.register_users(users, spark.createDataFrame(rows, schema), together)
+    got = {r["request_id"]: None for r in taken.collect()} | {r["request_id"]: r["reason"] for r in refused.collect()}
+    assert got == settled_by_hand(rows)
