@@ -129,7 +129,7 @@ class _Words(dict):
 class Transducer:
     """The composed transducer of one model, with caches of paths and weights."""
 
-    WORDS, PAIRS, CACHED = 250_000, 500_000, 64
+    WORDS, PAIRS, CACHED = 100_000, 150_000, 64
 
     def __init__(self, data: bytes):
         self.model = m = Model(data)
