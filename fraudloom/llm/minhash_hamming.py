@@ -195,6 +195,11 @@ def bucket_keys(signed: DataFrame, plan: Plan) -> DataFrame:
     return signed.select("id", "signature").mapInArrow(run, "key binary, id long")
 
 
+def grows(table: DataFrame) -> DataFrame:
+    """A join side that grows with the documents: never broadcast, so that the plan is the same at every size."""
+    return table.hint("merge")
+
+
 def _distance(plan: Plan, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a != b).sum(axis=-1)
 
@@ -204,7 +209,7 @@ def close_pairs(pairs: DataFrame, signed: DataFrame, plan: Plan) -> DataFrame:
     side = signed.select("id", "signature", "n_shingles")
     left = side.select(F.col("id").alias("a"), F.col("signature").alias("sa"), F.col("n_shingles").alias("na"))
     right = side.select(F.col("id").alias("b"), F.col("signature").alias("sb"), F.col("n_shingles").alias("nb"))
-    both = pairs.join(left, "a").join(right, "b").filter(
+    both = pairs.join(grows(left), "a").join(grows(right), "b").filter(
         100 * F.least("na", "nb") >= plan.percent * F.greatest("na", "nb")
     )
 
@@ -332,13 +337,13 @@ def cross_pairs(buckets: DataFrame, state: DataFrame, plan: Plan, spanning: bool
     grows with its bucket. With ``spanning`` a forest of the pairs is given, and rows
     with a key alone name the buckets that hold others.
     """
-    placed = buckets.join(state.select("id", "component"), "id")
+    placed = buckets.join(grows(state.select("id", "component")), "id")
     mixed = cut_lineage(placed.groupBy("key").agg(
         F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")
     ).filter("lo < hi").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"), "m"))
     small = mixed.filter("blocks = 1").agg(F.sum("m").alias("m")).first()["m"] or 0
     slots = -(-small // GROUP) or 1
-    members = buckets.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    members = buckets.join(grows(mixed), "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # block i meets block j >= i: side 0 in (i, j), side 1 in (j', i) for j' < i
     met = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "key", "id", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
@@ -346,7 +351,7 @@ def cross_pairs(buckets: DataFrame, state: DataFrame, plan: Plan, spanning: bool
         F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(slots))).alias("slot"),
         F.when(F.col("blocks") > 1, F.col("key")).alias("large"),
     )
-    full = met.join(state, "id")
+    full = met.join(grows(state), "id")
     return full.groupBy("slot", "large", "i", "j").applyInArrow(_group_pairs(plan, spanning), "a long, b long, key binary").distinct()
 
 
@@ -378,7 +383,7 @@ def near_components(signed: DataFrame, texts: DataFrame, plan: Plan) -> DataFram
     state = cut_lineage(signed.select("id", F.col("id").alias("component"), "n_shingles", "signature", "bins"))
     keys = bucket_keys(state, plan)
     hubs = keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub < last").drop("last")
-    buckets = cut_lineage(keys.join(hubs, "key"))
+    buckets = cut_lineage(keys.join(grows(hubs), "key"))
     star = buckets.filter("hub < id").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     found = cut_lineage(close_pairs(star, state, plan))
     state = _linked(state, cut_lineage(confirm(found, texts, plan)))
