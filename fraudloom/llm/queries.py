@@ -148,7 +148,9 @@ def op10_sentencepiece_wfst(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, name = secret_scan.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter(F.col(name), lambda s: s["rank"] < 3)
-    counts = [F.size(F.filter(F.col(name), lambda s, r=r: s["rank"] == r)).cast("long").alias(f"n_{k}") for r, k in enumerate(secret_scan.KINDS)]
+    # a lambda of two parameters would get the position as the second
+    of_kind = lambda r: F.filter(F.col(name), lambda s: s["rank"] == r)
+    counts = [F.size(of_kind(r)).cast("long").alias(f"n_{k}") for r, k in enumerate(secret_scan.KINDS)]
     return found.select(
         "doc_id", *counts, F.sha2(secret_scan.spelled(base), 256).alias("base_sha256"), secret_scan.spelled(F.col(name)).alias("spans")
     )
