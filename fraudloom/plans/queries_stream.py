@@ -122,7 +122,8 @@ LIVE = [
 
 @query("stream_running_features", with_views(f"SELECT id, {', '.join(map(_running_sql, LIVE))} FROM tx", "tx"))
 def stream_running_features(spark, sf):
-    cards, path = fx.transactions(spark, sf), f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}/in"
+    used = sorted({c for n in LIVE for c in (FEATURES[n].key, FEATURES[n].value)} | {"id"})
+    cards, path = fx.transactions(spark, sf).select(*used), f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}/in"
     cards.write.parquet(path)
     rows = spark.readStream.schema(cards.schema).parquet(path)
     return _drained(running_features(rows, LIVE, ["id"])).select("id", *LIVE)

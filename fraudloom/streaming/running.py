@@ -1,14 +1,18 @@
 """Group features that follow the stream: each row sees its group as of its own arrival.
 
-A keyed state per group (``transformWithState``) holds one counter per measure and, for
-distinct counts, the set of members seen, each a state entry of its own. A row's counts
-include the row itself. State is checkpointed with the stream, so a restarted stream
-goes on where it stopped; history from before the stream can be put in once, by
-``history``.
+Keys are dealt into ``BUCKETS`` buckets by their hash, and a bucket is one group of
+``transformWithState``: every call to the state costs far more than a row does, so many
+keys share one. The state of a bucket is a log of what its keys gained (counts, and for
+distinct counts the members first seen), read once and added to once per micro-batch.
+A log that holds more than twice what its sums need is written anew. A key's set goes
+on in state entries of its own beyond ``INLINE`` members, so that no log grows with one
+key. A row's counts include the row itself. State is checkpointed with the stream, so a
+restarted stream goes on where it stopped; history from before the stream can be put in
+once, by ``history``.
 
 Rows of one micro-batch are taken in the order of ``order``, and micro-batches in the
 order of their arrival; a late row counts from its arrival on. Rows whose key is null
-keep null measures and no state, and are dealt out over ``NULL_GROUPS`` groups, so that
+keep null measures and no state, and are dealt out over all buckets, so that
 they do not meet in one task. The state of a key lies in one task, as running counts
 need an order: use this for keys of many values (cards, customers, users) and static
 tables for the few values of a state or a country.
@@ -16,17 +20,21 @@ tables for the few values of a state or a country.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from fraudloom.operators.group_features import FEATURES
 from fraudloom.operators.key_tables import Measure
 
-NULL_GROUPS = 64
+#: Groups that share the keys; a stream's state is laid out by it, so it must not change between restarts.
+BUCKETS = 16_384
+#: Members of a key's set that are kept in its bucket's log.
+INLINE = 1024
 #: The state store that arbitrary keyed state needs.
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -35,91 +43,138 @@ def _counted_fields(measures: list[Measure]) -> list[StructField]:
     return [StructField(m.out, BooleanType() if m.fn == "many" else LongType()) for m in measures]
 
 
+_LOGGED = StructType([
+    StructField("key", StringType()), StructField("slot", IntegerType()), StructField("n", LongType()), StructField("member", StringType()),
+])
+
+
+class _Bucket:
+    """What a log says: totals by (key, slot) and the members it names."""
+
+    def __init__(self, entries):
+        self.totals: dict[tuple[str, int], int] = defaultdict(int)
+        self.members: dict[tuple[str, int], set[str]] = defaultdict(set)
+        self.entries = 0
+        for key, slot, n, member in entries:
+            self.entries += 1
+            self.totals[key, slot] += n
+            if member is not None:
+                self.members[key, slot].add(member)
+
+    def compact(self) -> list[tuple]:
+        """The shortest log that says the same: members one by one, and what they leave of a total."""
+        out = [(*at, 1, m) for at, seen in self.members.items() for m in sorted(seen)]
+        rest = ((at, n - len(self.members.get(at, ()))) for at, n in self.totals.items())
+        return out + [(*at, n, None) for at, n in rest if n]
+
+
 class _Running(StatefulProcessor):
-    """Counters of one key's measures; rows leave with their group's counts so far."""
+    """Counters of a bucket's keys; rows leave with their group's counts so far."""
 
-    def __init__(self, columns: list[str], order: list[str], measures: list[tuple[str, str, str]]):
-        self.columns, self.order, self.measures = columns, order, measures
-        self.counted = [(i, v) for i, (_, fn, v) in enumerate(measures) if fn == "count"]
+    def __init__(self, columns: list[str], order: list[str], measures: list[tuple[str, str, str]], inline: int = INLINE):
+        self.columns, self.order, self.measures, self.inline = columns, order, measures, inline
+        counted = [v for _, fn, v in measures if fn == "count"]
         self.sets = sorted({v for _, fn, v in measures if fn != "count"})
+        #: the slots of a key: one per counter, then one per set
+        self.counters, self.first_set = list(enumerate(counted)), len(counted)
+        slots = iter(range(len(counted)))
+        self.told = [(next(slots) if fn == "count" else self.first_set + self.sets.index(v), fn == "many") for _, fn, v in measures]
         self.out = Row(*columns, *(out for out, _, _ in measures))
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        names = [f"n{i}" for i, _ in self.counted] + [f"d{i}" for i in range(len(self.sets))]
-        self.totals = handle.getValueState("totals", StructType([StructField(n, LongType()) for n in names]))
-        entry = StructType([StructField("member", StringType())])
-        self.members = [handle.getMapState(f"members{i}", entry, StructType([StructField("seen", BooleanType())])) for i in range(len(self.sets))]
-
-    def _held(self) -> list[int]:
-        held = self.totals.get()
-        return [0] * (len(self.counted) + len(self.sets)) if held is None else list(held)
+        self.log = handle.getListState("log", _LOGGED)
+        entry = StructType([f for f in _LOGGED.fields if f.name != "n"])
+        self.beyond = handle.getMapState("beyond", entry, StructType([StructField("seen", BooleanType())]))
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        """One row of history: a counter's start (``slot`` below the counters) or a member of a set."""
-        held, slot = self._held(), initialState["slot"]
-        if slot < len(self.counted):
-            held[slot] += initialState["n"]
+        """One row of history: an entry of the log, or (``n`` is 0) a member that the log does not name."""
+        at = initialState["_key"], initialState["slot"]
+        if initialState["n"]:
+            self.log.appendValue((*at, initialState["n"], initialState["member"]))
         else:
-            self.members[slot - len(self.counted)].updateValue((initialState["member"],), (True,))
-            held[slot] += 1
-        self.totals.update(tuple(held))
+            self.beyond.updateValue((*at, initialState["member"]), (True,))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        rows = list(rows)
-        if key[0] is None:
-            for r in rows:
-                yield self.out(*(r[c] for c in self.columns), *([None] * len(self.measures)))
-            return
-        rows.sort(key=lambda r: tuple((r[c] is not None, r[c]) for c in self.order))
-        held, known = self._held(), [set() for _ in self.sets]
-        at = len(self.counted)
+        rows = sorted(rows, key=lambda r: tuple((r[c] is not None, r[c]) for c in self.order))
+        known, gained, added = None, defaultdict(int), []
         for r in rows:
-            for place, (_, value) in enumerate(self.counted):
-                held[place] += r[value] is not None
-            for i, value in enumerate(self.sets):
-                member = None if r[value] is None else str(r[value])
-                if member is not None and member not in known[i]:
-                    known[i].add(member)
-                    if not self.members[i].containsKey((member,)):
-                        self.members[i].updateValue((member,), (True,))
-                        held[at + i] += 1
-            told, count = [], iter(held[:at])
-            for _, fn, value in self.measures:
-                n = next(count) if fn == "count" else held[at + self.sets.index(value)]
-                told.append(n > 1 if fn == "many" else n)
-            yield self.out(*(r[c] for c in self.columns), *told)
-        self.totals.update(tuple(held))
+            own = r["_key"]
+            if own is None:
+                yield self.out(*(r[c] for c in self.columns), *([None] * len(self.measures)))
+                continue
+            if known is None:
+                known = _Bucket(self.log.get())
+            totals = known.totals
+            for slot, value in self.counters:
+                if r[value] is not None:
+                    totals[own, slot] += 1
+                    gained[own, slot] += 1
+            for slot, value in enumerate(self.sets, self.first_set):
+                if r[value] is not None and self._is_new(known, own, slot, member := str(r[value])):
+                    totals[own, slot] += 1
+                    if len(known.members[own, slot]) < self.inline:
+                        known.members[own, slot].add(member)
+                        added.append((own, slot, 1, member))
+                    else:
+                        self.beyond.updateValue((own, slot, member), (True,))
+                        gained[own, slot] += 1
+            counts = [totals[own, slot] for slot, _ in self.told]
+            yield self.out(*(r[c] for c in self.columns), *(n > 1 if many else n for n, (_, many) in zip(counts, self.told)))
+        added += [(*at, n, None) for at, n in gained.items()]
+        if added:
+            needed = known.compact()
+            if known.entries + len(added) > 2 * len(needed):
+                self.log.put(needed)
+            else:
+                self.log.appendList(added)
+
+    def _is_new(self, known: _Bucket, key: str, slot: int, member: str) -> bool:
+        named = known.members[key, slot]
+        if member in named:
+            return False
+        return known.totals[key, slot] == len(named) or not self.beyond.containsKey((key, slot, member))
 
     def close(self) -> None:
         pass
 
 
-def _history(df: DataFrame, key: str, measures: list[Measure]) -> DataFrame:
-    """(key, spread, slot, n, member): the counters' starts and the sets' members of ``df``, folded before the shuffle."""
+def _bucket_of(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int").alias("_bucket")
+
+
+def _history(df: DataFrame, key: str, measures: list[Measure], inline: int) -> DataFrame:
+    """(_bucket, _key, slot, n, member): the counters' starts and the sets' members of ``df``, folded before the shuffle.
+
+    Members beyond the first ``inline`` of a set have ``n`` 0, and one row counts them.
+    """
     counted = [m for m in measures if m.fn == "count"]
     sets = sorted({m.value for m in measures if m.fn != "count"})
-    known = df.filter(F.col(key).isNotNull())
-    group = [F.col(key).cast("string").alias("_key"), F.lit(0).alias("_spread")]
+    known = df.filter(F.col(key).isNotNull()).withColumn("_key", F.col(key).cast("string"))
+    none = F.lit(None).cast("string").alias("member")
     parts = [
-        known.groupBy(*group).agg(F.count(m.value).alias("n")).select("_key", "_spread", F.lit(i).alias("slot"), "n", F.lit(None).cast("string").alias("member"))
+        known.groupBy("_key").agg(F.count(m.value).alias("n")).filter("n > 0").select("_key", F.lit(i).alias("slot"), "n", none)
         for i, m in enumerate(counted)
-    ] + [
-        known.filter(F.col(v).isNotNull()).select(*group, F.lit(len(counted) + i).alias("slot"), F.lit(1).cast("long").alias("n"), F.col(v).cast("string").alias("member")).distinct()
-        for i, v in enumerate(sets)
     ]
+    for i, v in enumerate(sets, len(counted)):
+        members = known.filter(F.col(v).isNotNull()).select("_key", F.lit(i).alias("slot"), F.col(v).cast("string").alias("member")).distinct()
+        placed = members.withColumn("place", F.row_number().over(Window.partitionBy("_key").orderBy("member")))
+        beyond = F.count(F.when(F.col("place") > inline, 1))
+        parts.append(placed.select("_key", "slot", (F.col("place") <= inline).cast("long").alias("n"), "member"))
+        parts.append(placed.groupBy("_key", "slot").agg(beyond.alias("n")).filter("n > 0").select("_key", "slot", "n", none))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return out.select(_bucket_of(F.col("_key")), "_key", "slot", "n", "member")
 
 
 def running_features(
-    stream: DataFrame, names: list[str] | list[Measure], order: list[str], history: DataFrame | None = None
+    stream: DataFrame, names: list[str] | list[Measure], order: list[str], history: DataFrame | None = None, inline: int = INLINE
 ) -> DataFrame:
     """``stream`` with one column per named group feature, as of each row's arrival.
 
     ``history`` (a table with the same columns) is counted before the first row of a
-    new stream; a restarted one has it in its state.
+    new stream; a restarted one has it in its state. ``inline`` bounds how many members
+    of one key's set are read with its bucket.
     """
     spark = stream.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
@@ -129,11 +184,13 @@ def running_features(
     out = stream
     for key, measures in by_key.items():
         columns = out.columns
-        spread = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*order), F.lit(NULL_GROUPS))).otherwise(0).cast("int")
-        kept = out.withColumns({"_key": F.col(key).cast("string"), "_spread": spread})
+        text = F.col(key).cast("string")
+        # rows without a key are dealt out by their order
+        dealt = F.when(text.isNull(), F.xxhash64(*order)).otherwise(F.xxhash64(text))
+        kept = out.withColumns({"_key": text, "_bucket": F.pmod(dealt, F.lit(BUCKETS)).cast("int")})
         schema = StructType([*(StructField(f.name, f.dataType) for f in out.schema.fields), *_counted_fields(measures)])
-        started = None if history is None else _history(history, key, measures).groupBy("_key", "_spread")
-        out = kept.groupBy("_key", "_spread").transformWithState(
-            _Running(columns, order, [(m.out, m.fn, m.value) for m in measures]), schema, "Append", "None", started
+        started = None if history is None else _history(history, key, measures, inline).groupBy("_bucket")
+        out = kept.groupBy("_bucket").transformWithState(
+            _Running(columns, order, [(m.out, m.fn, m.value) for m in measures], inline), schema, "Append", "None", started
         )
     return out

@@ -1,17 +1,19 @@
 """Counts that follow the stream: restarts, history, late rows, null keys and scoring on arrival."""
 
 import os
+import random
 from datetime import date
 
 import duckdb
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from fraudloom.operators import feature_sets
 from fraudloom.operators.key_tables import Measure
 from fraudloom.sources import fixtures as fx
-from fraudloom.streaming import scoring
+from fraudloom.streaming import running, scoring
 from fraudloom.streaming.running import running_features
 
 OF_USER = [
@@ -120,3 +122,68 @@ def test_cards_are_scored_as_of_their_arrival(spark, sf_dir, tmp_path):
     assert got == {(r["id"], r["user_id"]): round(r["anomaly_score"], 9) for r in want}
     plain = {(r["id"], r["user_id"]): round(r["anomaly_score"], 9) for r in detector.score(new).collect()}
     assert got != plain
+
+
+class CountedState:
+    """List and map state in memory that counts its calls."""
+
+    def __init__(self):
+        self.calls, self.held = 0, {}
+
+    def getListState(self, name, schema):
+        return self._state(name, [])
+
+    def getMapState(self, name, key, value):
+        return self._state(name, {})
+
+    def _state(self, name, start):
+        outer, held = self, self.held.setdefault(name, start)
+
+        class State:
+            def __getattribute__(self, call):
+                outer.calls += 1
+                return {
+                    "get": lambda: iter(list(held)), "appendList": lambda more: held.extend(more),
+                    "put": lambda new: held.__setitem__(slice(None), new), "appendValue": lambda one: held.append(one),
+                    "containsKey": lambda k: k in held, "updateValue": lambda k, v: held.__setitem__(k, v),
+                }[call]
+
+        return State()
+
+
+@pytest.mark.parametrize("inline", [2, 1000])
+def test_a_bucket_reads_and_writes_its_state_once(inline):
+    rng = random.Random(8)
+    rows = [Row(id=i, k=None if i % 17 == 0 else f"k{rng.randint(0, 40)}", v=rng.choice([None, 1, 2, 3, 4, 5, 6]), _key=None) for i in range(900)]
+    rows = [Row(**{**r.asDict(), "_key": r.k}) for r in rows]
+    state = CountedState()
+    counter = running._Running(["id"], ["id"], [("n", "count", "v"), ("d", "distinct", "v"), ("many", "many", "v")], inline)
+    got = []
+    for first in range(0, 900, 90):  # ten micro-batches, their rows out of order
+        counter.init(state)
+        batch = rows[first : first + 90]
+        before = state.calls
+        got += counter.handleInputRows((0,), iter(rng.sample(batch, 90)), None)
+        if inline == 1000:
+            assert state.calls - before <= 2
+    want, seen = [], {}
+    for r in rows:
+        mine = seen.setdefault(r.k, [])
+        mine += [r.v] if r.v is not None else []
+        want.append((r.id, None, None, None) if r.k is None else (r.id, len(mine), len(set(mine)), len(set(mine)) > 1))
+    assert [tuple(g) for g in got] == want
+    assert len(state.held["log"]) <= 2 * (41 * (min(inline, 6) + 2)) and bool(state.held["beyond"]) == (inline == 2)
+
+
+def test_sets_beyond_the_log_follow_history_and_rows(spark, tmp_path):
+    rows = [(i, "hot" if i % 3 else f"k{i % 5}", str(i % 23), i % 4 or None) for i in range(300)]
+    frame = spark.createDataFrame(rows, "id long, k string, v string, w long")
+    of_k = [Measure("n", "k", "count", "w"), Measure("d", "k", "distinct", "v"), Measure("e", "k", "distinct", "w")]
+    frame.filter("id >= 100").coalesce(1).write.parquet(f"{tmp_path}/in")
+    streamed = spark.readStream.schema(frame.schema).parquet(f"{tmp_path}/in")
+    drain(running_features(streamed, of_k, ["id"], frame.filter("id < 100"), inline=3), tmp_path)
+    want = []
+    for i, k, _, _ in rows[100:]:
+        mine = [r for r in rows[: i + 1] if r[1] == k]
+        want.append((i, sum(r[3] is not None for r in mine), len({r[2] for r in mine}), len({r[3] for r in mine} - {None})))
+    assert rows_of(spark, str(tmp_path), "id", "n", "d", "e") == want
