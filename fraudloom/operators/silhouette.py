@@ -2,9 +2,9 @@
 
 Squared Euclidean distances fold into per-label sums, so that metric is linear
 in the rows. The plain Euclidean mean needs every distance; it is computed
-between blocks of distinct vectors, each block pair yielding sums per vector and
-label, never the distances themselves. Its work grows with the square of the
-distinct vectors, so it is for tables of moderate size.
+between blocks of distinct vectors by matrix products, each pair of blocks meeting
+once and yielding sums per vector and label, never the distances themselves. Its work
+grows with the square of the distinct vectors, so it is for tables of moderate size.
 """
 
 from __future__ import annotations
@@ -13,12 +13,18 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 4096
+from fraudloom.session import cut_lineage
+
+#: Rows of a block: at least, and at most while its vectors and sums hold no more than so many numbers.
+BLOCK_ROWS, MOST_BLOCK_ROWS, BLOCK_NUMBERS = 4096, 16_384, 1 << 22
+MOST_TASKS = 4096
+#: Share of the norms below which a squared distance is not taken from them.
+CANCELLED = 1e-6
 MAX_LABELS = 4096
 
 
@@ -129,58 +135,97 @@ def _squared(df: DataFrame, width: int, sizes: dict[int, dict[int, int]]) -> dic
     return {r["c"]: float(r["s"] / counts[r["c"]].sum()) for r in parts}
 
 
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of all rows of ``x`` to all of ``y``, by one matrix product.
+
+    A squared distance that is small beside the norms has lost digits to their
+    difference; those are taken from the rows themselves.
+    """
+    x_norm, y_norm = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    gap = x @ y.T
+    gap *= -2.0
+    gap += x_norm[:, None]
+    gap += y_norm[None, :]
+    i, j = np.nonzero(gap < CANCELLED * (x_norm.max() + y_norm.max()))
+    for at in range(0, len(i), 65_536):
+        here = slice(at, at + 65_536)
+        gap[i[here], j[here]] = ((x[i[here]] - y[j[here]]) ** 2).sum(axis=1)
+    return np.sqrt(gap, out=gap)
+
+
 def _euclidean(df: DataFrame, width: int, sizes: dict[int, dict[int, int]]) -> dict[int, float]:
+    """Distinct vectors lie in packed blocks; each pair of blocks meets once and gives totals for the rows of both."""
     names = [f"_f{i}" for i in range(width)]
     tags = [f"_l{c}" for c in sizes]
     order = {c: np.array(list(s)) for c, s in sizes.items()}
     counts = {c: np.array(list(s.values()), dtype=float) for c, s in sizes.items()}
-    distinct = df.groupBy(*names, *tags).agg(F.count(F.lit(1)).alias("_w"))
-    n = distinct.count()
-    blocks = max(1, math.ceil(n / BLOCK_ROWS))
-    vector = distinct.withColumn("_b", F.pmod(F.xxhash64(*names, *tags), F.lit(blocks)).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = vector.withColumn("_o", others)
-    right = vector.withColumnRenamed("_b", "_o").withColumn("_b", others)
-
-    def sums(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        if mine.empty or theirs.empty:
-            return pd.DataFrame(columns=[*names, *tags, "_w", "_t"])
-        y = theirs[names].to_numpy()
-        weights = theirs["_w"].to_numpy(dtype=float)
-        shares = []
-        for c, tag in zip(sizes, tags):
-            one = np.zeros((len(y), len(order[c])))
-            one[np.arange(len(y)), np.searchsorted(order[c], theirs[tag].to_numpy())] = weights
-            shares.append(one)
-        share = np.hstack(shares)
-        x = mine[names].to_numpy()
-        out = []
-        for i in range(0, len(x), 512):
-            gap = np.zeros((len(x[i:i + 512]), len(y)))
-            for j in range(width):
-                gap += (x[i:i + 512, j][:, None] - y[:, j][None, :]) ** 2
-            out.append(np.sqrt(gap, out=gap) @ share)
-        return mine[[*names, *tags, "_w"]].assign(_t=list(np.vstack(out)))
-
-    schema = ", ".join([f"{c} double" for c in names] + [f"{c} long" for c in tags] + ["_w long", "_t array<double>"])
-    pairs = left.groupBy("_b", "_o").cogroup(right.groupBy("_b", "_o")).applyInPandas(sums, schema)
     slots = sum(len(o) for o in order.values())
-    totals = pairs.groupBy(*names, *tags, "_w").agg(*[F.sum(F.get("_t", F.lit(i))).alias(f"_t{i}") for i in range(slots)])
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums_of = dict.fromkeys(sizes, 0.0)
-        for batch in batches:
-            total = _matrix(batch, [f"_t{i}" for i in range(slots)])
-            weight = _matrix(batch, ["_w"])[:, 0]
-            at = 0
-            for c, tag in zip(sizes, tags):
-                own = np.searchsorted(order[c], _matrix(batch, [tag])[:, 0])
-                k = len(order[c])
-                sums_of[c] += (_score(own, total[:, at:at + k], counts[c]) * weight).sum()
-                at += k
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(sums_of), pa.int32()), pa.array(list(sums_of.values()), pa.float64())], names=["c", "s"]
-        )
-
-    parts = totals.mapInArrow(score, "c int, s double").groupBy("c").agg(F.sum("s").alias("s")).collect()
-    return {r["c"]: float(r["s"] / counts[r["c"]].sum()) for r in parts}
+    distinct = cut_lineage(df.groupBy(*names, *tags).agg(F.count(F.lit(1)).alias("_w")))
+    told = distinct.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in names]).first()
+    middle = np.array([told[c] or 0.0 for c in names])
+    most = max(min(MOST_BLOCK_ROWS, BLOCK_NUMBERS // max(slots, width)), 256)
+    blocks = max(1, math.ceil(told["n"] / min(max(BLOCK_ROWS, told["n"] // 24), most)))
+
+    def pack(table: pa.Table) -> pa.Table:
+        x = np.column_stack([table[c].to_numpy() for c in names]) - middle
+        labels = np.vstack([table[c].to_numpy() for c in tags]).astype("<i8")
+        return pa.table({
+            "_b": pa.array([table["_b"][0].as_py()], pa.int32()), "_x": pa.array([x.astype("<f8").tobytes()], pa.binary()),
+            "_l": pa.array([labels.tobytes()], pa.binary()), "_w": pa.array([table["_w"].to_numpy().astype("<i8").tobytes()], pa.binary()),
+        })
+
+    block = F.pmod(F.xxhash64(*names, *tags), F.lit(blocks)).cast("int")
+    packed = cut_lineage(distinct.withColumn("_b", block).groupBy("_b").applyInArrow(pack, "_b int, _x binary, _l binary, _w binary"))
+
+    def unpacked(x: bytes, labels: bytes, w: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The vectors, and their weights in the columns of their labels."""
+        weights = np.frombuffer(w, "<i8").astype(float)
+        share, at = np.zeros((len(weights), slots)), 0
+        for c, own in zip(sizes, np.frombuffer(labels, "<i8").reshape(len(tags), len(weights))):
+            share[np.arange(len(weights)), at + np.searchsorted(order[c], own)] = weights
+            at += len(order[c])
+        return np.frombuffer(x, "<f8").reshape(len(weights), width), share
+
+    def totals(table: pa.Table) -> pa.Table:
+        """Totals of distances by label, for the rows of one or both blocks."""
+        table = table.sort_by("_b")
+        own, other = table.slice(0, 1).to_pylist()[0], table.slice(table.num_rows - 1, 1).to_pylist()[0]
+        (x, x_share), (y, y_share) = (unpacked(r["_x"], r["_l"], r["_w"]) for r in (own, other))
+        mine, theirs = np.empty((len(x), slots)), np.zeros((len(y), slots))
+        same = own["_i"] == own["_j"]
+        for i in range(0, len(x), 256):
+            gap = _distances(x[i:i + 256], y)
+            mine[i:i + 256] = gap @ y_share
+            if not same:
+                theirs += gap.T @ x_share[i:i + 256]
+        found = [(own["_b"], mine)] + ([] if same else [(other["_b"], theirs)])
+        return pa.table({
+            "_b": pa.array([b for b, _ in found], pa.int32()), "_t": pa.array([t.astype("<f8").tobytes() for _, t in found], pa.binary()),
+        })
+
+    # block b goes to every pair (i, j), i <= j, that it is part of; pairs with a block that has no rows have nothing to give
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    copies = packed.withColumn("_o", other).select("*", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"))
+    present = packed.select(F.col("_b").alias("_o"))
+    tasks = min(blocks * (blocks + 1) // 2, MOST_TASKS)
+    dealt = copies.join(F.broadcast(present), "_o").drop("_o").repartition(tasks, "_i", "_j")
+    summed = dealt.groupBy("_i", "_j").applyInArrow(totals, "_b int, _t binary")
+
+    def score(key: tuple, table: pa.Table) -> pa.Table:
+        rows = table.filter(pc.is_valid(table["_w"])).to_pylist()[0]
+        weight = np.frombuffer(rows["_w"], "<i8").astype(float)
+        total = np.zeros((len(weight), slots))
+        for t in table["_t"]:
+            if t.is_valid:
+                total += np.frombuffer(t.as_buffer(), "<f8").reshape(len(weight), slots)
+        sums_of, at = [], 0
+        for c, own in zip(sizes, np.frombuffer(rows["_l"], "<i8").reshape(len(tags), len(weight))):
+            k = len(order[c])
+            sums_of.append(float((_score(np.searchsorted(order[c], own), total[:, at:at + k], counts[c]) * weight).sum()))
+            at += k
+        return pa.table({"c": pa.array(list(sizes), pa.int32()), "s": pa.array(sums_of, pa.float64())})
+
+    none = F.lit(None).cast("binary")
+    told = summed.select("_b", "_t", none.alias("_l"), none.alias("_w")).unionByName(packed.select("_b", none.alias("_t"), "_l", "_w"))
+    found = told.groupBy("_b").applyInArrow(score, "c int, s double").groupBy("c").agg(F.sum("s").alias("s")).collect()
+    return {r["c"]: float(r["s"] / counts[r["c"]].sum()) for r in found}

@@ -332,3 +332,23 @@ def test_forest_draws_again_when_short(spark):
     df = frame(spark, rng.normal(size=(4000, 3)))
     model = isolation_forest_fit(df, NAMES, 60, 4)
     assert model.nodes[model.nodes["depth"] == 0]["size"].eq(4).all()
+
+
+def test_euclidean_silhouette_keeps_digits_far_from_the_origin(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = np.round(1e6 + np.concatenate([rng.normal(0, 1, (60, 3)), rng.normal(0, 1e-4, (60, 3)), np.zeros((20, 3))]), 6)
+    labels = rng.integers(0, 3, len(x))
+    x, labels = np.concatenate([x, x[:10]]), np.concatenate([labels, labels[:10]])
+    gap = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    assert np.allclose(silhouette._distances(x[:50] - x[0], x - x[0]), gap[:50], rtol=1e-9, atol=1e-9)
+    total, n = np.stack([gap[:, labels == k].sum(axis=1) for k in range(3)], axis=1), np.bincount(labels)
+    line, mean = np.arange(len(x)), total / n
+    a = total[line, labels] / (n[labels] - 1)
+    mean[line, labels] = np.inf
+    b = mean.min(axis=1)
+    frame = spark.createDataFrame([(*map(float, r), int(k)) for r, k in zip(x, labels)], "a double, b double, c double, label long")
+    found = []
+    for rows in (4096, 16):  # one block, then many
+        monkeypatch.setattr(silhouette, "BLOCK_ROWS", rows)
+        found.append(silhouette.silhouette(frame, ["a", "b", "c"], "label", "euclidean"))
+    assert np.allclose(found, ((b - a) / np.maximum(a, b)).mean(), atol=1e-9)
