@@ -23,6 +23,8 @@ from fraudloom.schemas import KEY_COLS
 AUTO_SAMPLES = 256
 MAX_NODES = 4_000_000
 _OVERDRAW = 2
+#: Rows that go down the trees together; all that they need fits a processor's cache.
+BATCH = 8192
 _NODE_SCHEMA = "tree_id int, node_id int, feature int, threshold double, left int, right int, size int, depth int"
 
 
@@ -185,13 +187,23 @@ def _flatten(model: ForestModel) -> dict[str, np.ndarray]:
 
 
 def _path_lengths(flat: dict[str, np.ndarray], rows: np.ndarray) -> np.ndarray:
-    """(rows, trees) path lengths."""
-    at = np.broadcast_to(flat["roots"], (len(rows), len(flat["roots"]))).copy()
-    line = np.arange(len(rows))[:, None]
-    for _ in range(int(flat["depth"])):
-        goes_left = rows[line, flat["feature"][at]] <= flat["threshold"][at]
-        at = np.where(goes_left, flat["left"][at], flat["right"][at])
-    return flat["length"][at]
+    """(rows, trees) path lengths: each tree takes all rows one level down at a time, by flat look-ups."""
+    columns, line = np.ascontiguousarray(rows.T).ravel(), np.arange(len(rows))
+    starts = flat["feature"].astype(np.int64) * len(rows)
+    children = np.stack([flat["right"], flat["left"]], axis=1).ravel().astype(np.int64)
+    out = np.empty((len(rows), len(flat["roots"])))
+    for tree, root in enumerate(flat["roots"]):
+        at = np.full(len(rows), root, np.int64)
+        for _ in range(int(flat["depth"])):
+            # all positions are inside; clipping only spares numpy a second look at them
+            value = starts.take(at, mode="clip")
+            value += line
+            goes_left = columns.take(value, mode="clip") <= flat["threshold"].take(at, mode="clip")
+            at += at
+            at += goes_left
+            at = children.take(at, mode="clip")
+        out[:, tree] = flat["length"].take(at)
+    return out
 
 
 def isolation_forest_score(
@@ -217,7 +229,7 @@ def isolation_forest_score(
             columns = [batch.column(n_keep + i).to_numpy(zero_copy_only=False) for i in range(width)]
             rows = np.column_stack(columns).astype(float)
             lengths = np.concatenate(
-                [_path_lengths(flat, rows[i:i + 2048]) for i in range(0, len(rows), 2048)] or [np.zeros((0, 1))]
+                [_path_lengths(flat, rows[i:i + BATCH]) for i in range(0, len(rows), BATCH)] or [np.zeros((0, 1))]
             )
             missing = np.isnan(rows).any(axis=1)
             scores = [

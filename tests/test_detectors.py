@@ -1,9 +1,12 @@
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from fraudloom.operators import autoencoder as ae
-from fraudloom.operators import dbscan, flags, refine, search, silhouette
+from fraudloom.operators import dbscan, flags, iforest, refine, search, silhouette
 from fraudloom.operators.components import connected_components
 from fraudloom.operators.iforest import ForestModel, average_path, isolation_forest_fit, isolation_forest_score
 from fraudloom.plans import queries_detect
@@ -352,3 +355,26 @@ def test_euclidean_silhouette_keeps_digits_far_from_the_origin(spark, monkeypatc
         monkeypatch.setattr(silhouette, "BLOCK_ROWS", rows)
         found.append(silhouette.silhouette(frame, ["a", "b", "c"], "label", "euclidean"))
     assert np.allclose(found, ((b - a) / np.maximum(a, b)).mean(), atol=1e-9)
+
+
+def test_path_lengths_equal_a_walk_down_each_tree():
+    rng = np.random.default_rng(6)
+    rows = np.where(rng.random((700, 4)) < 0.5, rng.integers(0, 4, (700, 4)), rng.normal(size=(700, 4)))
+    rows[3, 1], rows[5, 0], rows[6, 2] = np.nan, np.inf, -np.inf
+    grown = [iforest._grow(t, rows[10:][rng.choice(690, 40)] if t else rows[10:11], 6, rng) for t in range(5)]  # the first tree is one leaf
+    flat = iforest._flatten(ForestModel(list("abcd"), 40, 1, pd.concat(grown, ignore_index=True)))
+    want = np.empty((len(rows), len(grown)))
+    for t, nodes in enumerate(grown):
+        for i, row in enumerate(rows):
+            node = nodes.iloc[0]
+            while node["feature"] >= 0:
+                node = nodes.iloc[int(node["left"] if row[int(node["feature"])] <= node["threshold"] else node["right"])]
+            want[i, t] = node["depth"] + average_path(node["size"])
+    assert (iforest._path_lengths(flat, rows) == want).all()
+    assert iforest._path_lengths(flat, rows[:0]).shape == (0, 5)
+    # a batch of many rows must not make arrays of rows x trees for every look-up
+    tracemalloc.start()
+    iforest._path_lengths(flat, np.tile(rows, (40, 1)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 28_000 * 8 * 20
