@@ -357,6 +357,29 @@ def test_euclidean_silhouette_keeps_digits_far_from_the_origin(spark, monkeypatc
     assert np.allclose(found, ((b - a) / np.maximum(a, b)).mean(), atol=1e-9)
 
 
+@pytest.mark.parametrize("net", [ae.STANDALONE, ae.REGULARISED, ae.Network(hidden=(3,), output="linear", batch=7, dropout={0: 0.1})])
+def test_slots_side_by_side_train_as_each_alone(net):
+    rng = np.random.default_rng(2)
+    shapes = ae._shapes(5, net.hidden)
+    start = np.concatenate([ae._start(shapes, 1), rng.random(2 * len(ae._start(shapes, 1))) * 0.01])
+    # one slot is empty, one has a rest only, and their numbers of full batches differ
+    for lengths in ([300, 300, 291], [300, 130, 5], [64, 0, 200]):
+        xs = [rng.normal(size=(n, 5)) * 3 for n in lengths]
+        fresh = lambda: [np.random.default_rng([9, i]) for i in range(len(xs))]
+        together = np.tile(start, (len(xs), 1))
+        told = ae._train(together, 3, xs, net, shapes, fresh())
+        for i, x in enumerate(xs):
+            alone = start[None].copy()
+            assert ae._train(alone, 3, [x], net, shapes, [fresh()[i]]) == [told[i]]
+            assert (alone[0] == together[i]).all()
+    # the first step goes along the gradient of a single network
+    plain = ae.Network(hidden=net.hidden, output=net.output, batch=net.batch, l2=net.l2)
+    state = np.concatenate([start[:len(start) // 3], np.zeros(2 * len(start) // 3)])[None].copy()
+    grad, loss = ae._gradient(state[0, :len(start) // 3].copy(), shapes, xs[0][:net.batch], plain, None)
+    assert ae._train(state, 0, [xs[0][:net.batch]], plain, shapes, [fresh()[0]]) == [(1, loss * min(net.batch, len(xs[0])))]
+    assert (state[0, len(start) // 3:2 * len(start) // 3] == 0.1 * grad).all()
+
+
 def test_path_lengths_equal_a_walk_down_each_tree():
     rng = np.random.default_rng(6)
     rows = np.where(rng.random((700, 4)) < 0.5, rng.integers(0, 4, (700, 4)), rng.normal(size=(700, 4)))
