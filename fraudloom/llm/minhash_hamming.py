@@ -20,7 +20,12 @@ Links are confirmed on full sets. No group is expanded into its pairs:
    at a time and large ones block by block, between components only, and only pairs
    that an exact bound on their similarity lets through are confirmed: first a
    spanning forest of them, then, in the buckets where the forest left pairs out, all
-   that still lie between components.
+   that still lie between components;
+4. before that, every member of a crowded bucket counts how many of its shingles
+   occur in another component of the crowd at all. No intersection with another
+   component can be larger, so members with too few of them for any size that they
+   could meet leave the bucket unpaired. In what is left, the members of a large
+   bucket's main component meet only those outside it.
 
 Defined results: empty and null texts have an empty set and no links; texts with
 fewer words than a shingle are one shingle of all their words; rows sharing a
@@ -52,6 +57,12 @@ BLOCK = 512
 GROUP = 4096
 #: Bins of the counts that bound two sets' similarity from above.
 BINS = 256
+#: Buckets with more members are crowded: their members' shingles are looked up among the others'.
+CROWD = 64
+#: Shingles that are looked up in one call.
+SLOT = 1 << 17
+#: Times that the crowd is counted anew without those who have left.
+ROUNDS = 2
 
 
 @dataclass(frozen=True)
@@ -267,6 +278,7 @@ def _group_pairs(plan: Plan, spanning: bool):
         table = table.sort_by([("key", "ascending"), ("side", "ascending"), ("id", "ascending")]).combine_chunks()
         side = table["side"].to_numpy()
         ids, comp, size = (table[c].to_numpy() for c in ("id", "component", "n_shingles"))
+        covered = table["covered"].fill_null(-1).to_numpy()
         sig = np.frombuffer(b"".join(bytes_of(table["signature"].combine_chunks())), kind).reshape(len(ids), -1)
         bins = np.frombuffer(b"".join(bytes_of(table["bins"].combine_chunks())), np.uint8).reshape(len(ids), -1)
         keys = bytes_of(table["key"].combine_chunks())
@@ -287,6 +299,10 @@ def _group_pairs(plan: Plan, spanning: bool):
             a, b = a[keep], b[keep]
             keep = 100 * np.minimum(size[a], size[b]) >= plan.percent * np.maximum(size[a], size[b])
             a, b = a[keep], b[keep]
+            # the intersection is at most ``covered`` where that is known for both; see coverage
+            most = np.minimum(covered[a], covered[b])
+            keep = (most < 0) | ((100 + plan.percent) * most >= plan.percent * (size[a] + size[b]))
+            a, b = a[keep], b[keep]
             keep = _distance(plan, sig[a], sig[b]) <= plan.distance
             a, b = a[keep], b[keep]
             total = size[a] + size[b]
@@ -328,28 +344,132 @@ def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.asarray(keep, np.int64)
 
 
-def cross_pairs(buckets: DataFrame, state: DataFrame, plan: Plan, spanning: bool) -> DataFrame:
+def coverage(crowd: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
+    """(id, covered): how many of an id's shingles another component of the crowd has, too.
+
+    ``crowd`` has id, component and n_shingles. An intersection of two of its members
+    of different components is no larger than either's count. Ids with several
+    different texts have no count. Shingles are dealt out by their hashes and travel
+    packed, one row for all that a text has in one slot.
+    """
+    sizes = crowd.agg(F.sum("n_shingles").alias("shingles"), F.count(F.lit(1)).alias("n")).first()
+    slots = -(-(sizes["shingles"] or 0) // SLOT) or 1
+    needed = texts.join(sized(crowd.select("id", "component"), sizes["n"], 16), "id")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i, component, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), bytes_of(batch.column(2))):
+                s = shingle_set(folded_words(text), plan.words)
+                mark = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+                at = s % np.uint64(slots)
+                order = np.argsort(at, kind="stable")
+                there, first = np.unique(at[order], return_index=True)
+                parts = np.split(s[order], first[1:])
+                rows += [(int(k), i, component, mark, part.tobytes()) for k, part in zip(there, parts)]
+            columns = list(zip(*rows)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.binary())],
+                names=["slot", "id", "component", "mark", "s"],
+            )
+
+    def count(table: pa.Table) -> pa.Table:
+        table = table.group_by(["id", "mark"]).aggregate([("component", "min"), ("s", "min")])
+        held = [np.frombuffer(x, "<u8") for x in bytes_of(table["s_min"].combine_chunks())]
+        owner = np.repeat(np.arange(len(held)), [len(x) for x in held])
+        flat = np.concatenate(held)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        component = table["component_min"].to_numpy()[owner]
+        first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+        several = np.minimum.reduceat(component, first) < np.maximum.reduceat(component, first)
+        met = owner[np.repeat(several, np.diff(np.append(first, len(flat))))]
+        return pa.table({"id": table["id"], "mark": table["mark"], "n": np.bincount(met, minlength=len(held)).astype(np.int64)})
+
+    dealt = needed.select("id", "component", "text").mapInArrow(deal, "slot long, id long, component long, mark long, s binary")
+    counted = dealt.groupBy("slot").applyInArrow(count, "id long, mark long, n long")
+    return counted.groupBy("id").agg(
+        F.sum("n").alias("covered"), F.min("mark").alias("lo"), F.max("mark").alias("hi")
+    ).filter("lo = hi").select("id", "covered")
+
+
+def crowd_coverage(buckets: DataFrame, state: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
+    """(id, covered) of the members of crowded buckets; ``buckets`` has key, id and m.
+
+    A count holds for the pairs inside crowded buckets: who has left one by an
+    earlier count has nobody to be linked with there, and is not counted for others.
+    """
+    cover = state.sparkSession.createDataFrame([], "id long, covered long")
+    crowded = cut_lineage(buckets.filter(F.col("m") > CROWD))
+    for _ in range(ROUNDS):
+        members = _members(crowded, state, cover, plan)
+        mixed = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
+        ids = members.join(grows(mixed), "key").select("id").distinct()
+        crowd = cut_lineage(ids.join(grows(state.select("id", "component", "n_shingles")), "id"))
+        if crowd.isEmpty():
+            break
+        counts = cover.unionByName(coverage(crowd, texts, plan))
+        cover = cut_lineage(counts.groupBy("id").agg(F.min("covered").alias("covered")))
+    return cover
+
+
+def _members(buckets: DataFrame, state: DataFrame, cover: DataFrame, plan: Plan) -> DataFrame:
+    """(key, id, component, covered): members that another component of their bucket could be linked with, by sizes and coverage.
+
+    ``covered`` is null outside crowded buckets, where not everybody has been
+    counted. Sizes are gathered in bands, whose own bounds are used: a bucket has
+    few bands however many members.
+    """
+    owner = state.select("id", "component", "n_shingles").join(grows(cover), "id", "left")
+    placed = buckets.select("key", "id", "m").join(grows(owner), "id").withColumn("covered", F.when(F.col("m") > CROWD, F.col("covered")))
+    bands = placed.groupBy("key", F.floor(F.log2("n_shingles") * 8).alias("band")).agg(
+        F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"),
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.col("covered").isNull()).alias("unknown"),
+    )
+    mixed = bands.groupBy("key").agg(
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.collect_list(F.struct("least", "most", "lo", "hi", "unknown")).alias("bands")
+    ).filter("lo < hi").select("key", "bands")
+
+    def could_link(band):
+        sizes = (100 * band["most"] >= plan.percent * F.col("n_shingles")) & (plan.percent * band["least"] <= 100 * F.col("n_shingles"))
+        enough = (100 + plan.percent) * F.col("covered") >= plan.percent * (F.col("n_shingles") + band["least"])
+        return sizes & (F.col("covered").isNull() | band["unknown"] | enough) & ((band["lo"] != F.col("component")) | (band["hi"] != F.col("component")))
+
+    return cut_lineage(placed.join(grows(mixed), "key").filter(F.exists("bands", could_link)).select("key", "id", "component", "covered"))
+
+
+def cross_pairs(buckets: DataFrame, state: DataFrame, cover: DataFrame, plan: Plan, spanning: bool) -> DataFrame:
     """(a, b, key): pairs between components inside the buckets that pass the similarity bound.
 
-    ``buckets`` has key and id; ``state`` id, component, n_shingles, signature and
-    bins. Buckets of up to ``BLOCK`` members are compared many at a time; a larger
+    ``buckets`` has key, id and m, its number of members; ``state`` id, component,
+    n_shingles, signature and bins; ``cover`` id and covered. What is left of a bucket
+    is compared whole, many at a time, if that is up to ``BLOCK`` members; a larger
     one is dealt into blocks, and each pair of blocks is one group, so that no group
-    grows with its bucket. With ``spanning`` a forest of the pairs is given, and rows
-    with a key alone name the buckets that hold others.
+    grows with its bucket. The blocks of the bucket's largest component do not meet
+    each other. With ``spanning`` a forest of the pairs is given, and rows with a key
+    alone name the buckets that hold others.
     """
-    placed = buckets.join(grows(state.select("id", "component")), "id")
-    mixed = cut_lineage(placed.groupBy("key").agg(
-        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")
-    ).filter("lo < hi").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"), "m"))
-    small = mixed.filter("blocks = 1").agg(F.sum("m").alias("m")).first()["m"] or 0
+    members = _members(buckets, state, cover, plan)
+    parts = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    mixed = cut_lineage(parts.groupBy("key").agg(
+        F.sum("n").alias("m"), F.max(F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("components")
+    ).filter("components > 1").select(
+        "key", "m", F.col("main.component").alias("main"),
+        F.when(F.col("m") > BLOCK, F.ceil(F.col("main.n") / BLOCK)).alias("inner"),
+        F.when(F.col("m") > BLOCK, F.ceil((F.col("m") - F.col("main.n")) / BLOCK)).alias("outer"),
+    ))
+    small = mixed.filter("inner IS NULL").agg(F.sum("m").alias("m")).first()["m"] or 0
     slots = -(-small // GROUP) or 1
-    members = buckets.join(grows(mixed), "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = members.join(grows(mixed), "key").withColumn(
+        "block", F.when(F.col("component") == F.col("main"), F.pmod(F.xxhash64("id"), "inner")).otherwise(F.col("inner") + F.pmod(F.xxhash64("id"), "outer"))
+    )
     # block i meets block j >= i: side 0 in (i, j), side 1 in (j', i) for j' < i
-    met = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", "id", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-        (F.col("block") > F.col("other")).cast("int").alias("side"),
-        F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(slots))).alias("slot"),
-        F.when(F.col("blocks") > 1, F.col("key")).alias("large"),
+    others = F.sequence(F.when(F.col("block") < F.col("inner"), F.col("inner")).otherwise(F.lit(0)), F.col("inner") + F.col("outer") - 1)
+    met = dealt.withColumn("other", F.explode(F.coalesce(others, F.array(F.lit(0).cast("long"))))).select(
+        "key", "id", "covered", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+        F.coalesce((F.col("block") > F.col("other")).cast("int"), F.lit(0)).alias("side"),
+        F.when(F.col("inner").isNull(), F.pmod(F.xxhash64("key"), F.lit(slots))).alias("slot"),
+        F.when(F.col("inner").isNotNull(), F.col("key")).alias("large"),
     )
     full = met.join(grows(state), "id")
     return full.groupBy("slot", "large", "i", "j").applyInArrow(_group_pairs(plan, spanning), "a long, b long, key binary").distinct()
@@ -382,18 +502,19 @@ def near_components(signed: DataFrame, texts: DataFrame, plan: Plan) -> DataFram
     """(id, component) of classes. ``signed`` has id, n_shingles, signature, bins; ``texts`` id and text."""
     state = cut_lineage(signed.select("id", F.col("id").alias("component"), "n_shingles", "signature", "bins"))
     keys = bucket_keys(state, plan)
-    hubs = keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub < last").drop("last")
+    hubs = keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last"), F.count(F.lit(1)).alias("m")).filter("hub < last").drop("last")
     buckets = cut_lineage(keys.join(grows(hubs), "key"))
     star = buckets.filter("hub < id").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     found = cut_lineage(close_pairs(star, state, plan))
     state = _linked(state, cut_lineage(confirm(found, texts, plan)))
     buckets = buckets.drop("hub")
-    first = cut_lineage(cross_pairs(buckets, state, plan, spanning=True))
+    cover = crowd_coverage(buckets, state, texts, plan)
+    first = cut_lineage(cross_pairs(buckets, state, cover, plan, spanning=True))
     tested = found.unionByName(first.filter("key IS NULL").select("a", "b"))
     state = _confirmed(state, first.filter("key IS NULL").select("a", "b"), found, texts, plan)
     left_out = first.filter("key IS NOT NULL").select("key").distinct()
     if not left_out.isEmpty():
-        rest = cross_pairs(buckets.join(left_out, "key", "left_semi"), state, plan, spanning=False)
+        rest = cross_pairs(buckets.join(left_out, "key", "left_semi"), state, cover, plan, spanning=False)
         state = _confirmed(state, rest.select("a", "b"), tested, texts, plan)
     return state.select("id", "component")
 

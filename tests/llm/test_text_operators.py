@@ -171,6 +171,35 @@ def test_large_mixed_group(spark, prose):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_near(rows, 3, 85)
 
 
+def test_crowded_buckets_pair_only_who_can_be_linked(spark, prose, monkeypatch):
+    """Copies too far from all others leave their buckets; the main component's blocks do not meet each other."""
+    rng = random.Random(3)
+    base = " ".join(prose[11].split()[:150])
+    linked = [base, *(edited(rng, base, 1) for _ in range(60))]
+    apart = [edited(rng, base, 12) for _ in range(60)]
+    rows = list(enumerate([*linked, *apart, edited(rng, apart[0], 1), apart[1].upper()]))
+    rows.append((0, base))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(minhash_hamming, "CROWD", 8)
+    monkeypatch.setattr(minhash_hamming, "BLOCK", 16)
+    monkeypatch.setattr(minhash_hamming, "SLOT", 1000)
+    left, members = [], minhash_hamming._members
+    monkeypatch.setattr(minhash_hamming, "_members", lambda *a: left.append(members(*a)) or left[-1])
+    got = {r.doc_id: r.component_id for r in minhash_hamming.near_duplicates(docs).collect()}
+    want = brute_near(rows, 3, 85)
+    assert got == {d: c for d, (_, c) in want.items()}
+    first, second = ({r.id for r in m.select("id").distinct().collect()} for m in left[:2])
+    strangers = {i for i, (n, c) in want.items() if i == c and i > 60 and list(x[1] for x in want.values()).count(c) == 1}
+    assert len(strangers & first) > 50 and len(strangers & second) < 5
+
+
+def test_coverage_counts_what_other_components_have(spark):
+    texts = spark.createDataFrame([(1, "a b c d e"), (2, "x b c d y"), (3, "b c d"), (4, "p q r"), (4, "q r s"), (5, "p q r")], "id long, text string")
+    crowd = spark.createDataFrame([(1, 1, 3), (2, 2, 3), (3, 2, 1), (4, 4, 1), (5, 5, 1)], "id long, component long, n_shingles long")
+    found = {r.id: r.covered for r in minhash_hamming.coverage(crowd, texts.union(texts), minhash_hamming.Plan()).collect()}
+    assert found == {1: 1, 2: 1, 3: 1, 5: 1}
+
+
 def test_keys_guarantee_all_pairs_within_the_distance():
     plan = minhash_hamming.Plan()
     places, rng = plan.key_places(), np.random.default_rng(0)
