@@ -157,22 +157,24 @@ def _nodes(cells: DataFrame, vectors: Vectors, levels: list[list[int]], reach: i
     return cut_lineage(long.groupBy("level", "parent", "node", "bucket").agg(F.max("seeks").alias("seeks"), *aggs))
 
 
-def _cell_pairs(cells: DataFrame, vectors: Vectors, eps: float) -> DataFrame:
+def _cell_pairs(cells: DataFrame, vectors: Vectors, levels: list[list[int]], eps: float) -> DataFrame:
     """(a, b, near, far): cells and the squared bounds on their distance, for every
-    seeking cell ``a`` and every cell ``b`` that may lie within ``eps``."""
-    levels = _levels(vectors)
+    seeking cell ``a`` and every cell ``b`` that may lie within ``eps``.
+
+    Only nodes are repeated for the neighbouring buckets, never pairs.
+    """
     reach = math.ceil(eps / vectors.side) + 2
     nodes = _nodes(cells, vectors, levels, reach)
     limit = eps * eps * (1 + SLACK)
     pairs = cells.sparkSession.createDataFrame([("", "", 0.0, 0.0)], "a string, b string, near double, far double")
     for k, dims in enumerate(levels):
         mine = nodes.filter((F.col("level") == k) & F.col("seeks")).select(
-            F.col("parent").alias("a"), F.col("node").alias("a_node"),
-            F.explode(F.array(*[F.col("bucket") + i for i in (-1, 0, 1)])).alias("bucket"),
+            F.col("parent").alias("a"), F.col("node").alias("a_node"), "bucket",
             *[F.col(f"a{s}{i}") for i in range(len(dims)) for s in ("lo", "hi")],
         )
         theirs = nodes.filter(F.col("level") == k).select(
-            F.col("parent").alias("b"), F.col("node").alias("b_node"), "bucket",
+            F.col("parent").alias("b"), F.col("node").alias("b_node"),
+            F.explode(F.array(*[F.col("bucket") + i for i in (-1, 0, 1)])).alias("bucket"),
             *[F.col(f"b{s}{i}") for i in range(len(dims)) for s in ("lo", "hi")],
         )
         gaps = [
@@ -205,7 +207,7 @@ def _named(pairs: DataFrame, vectors: Vectors, levels: list[list[int]]) -> DataF
 
 @dataclass(frozen=True)
 class DbscanRun:
-    """Vectors with 0/1 ``core_{s}`` and ``noise_{s}`` per setting, the cell pairs and the dense cells' trees."""
+    """Vectors with 0/1 ``core_{s}`` and ``noise_{s}`` per setting, the largest radius' cell pairs and the dense cells' trees."""
 
     vectors: Vectors
     flags: DataFrame
@@ -221,67 +223,85 @@ class DbscanRun:
         return [int(n) for n in self.flags.agg(*sums).first()]
 
 
+def _rows_near(
+    seekers: DataFrame, pairs: DataFrame, cells: DataFrame, vectors: Vectors, trees: Trees, eps: float, enough: int
+) -> DataFrame:
+    """``seekers`` (cell, v and coordinates) with ``n``, the rows within ``eps``; counting ends at ``enough``."""
+    names = vectors.names
+    whole = cut_lineage(pairs.filter(_whole(eps)).join(cells.select(F.col("cell").alias("b"), "W"), "b").groupBy(
+        F.col("a").alias("cell")
+    ).agg(F.sum("W").alias("whole")))
+    done = whole.filter(F.col("whole") >= enough).select(F.col("cell").alias("a"))
+    unclear = pairs.filter(_open(eps)).join(done, "a", "left_anti")
+    known = seekers.join(whole, "cell").select("v", F.col("whole").alias("answer_0"))
+    single = ask(
+        seekers, unclear, vectors.table.select("cell", "v", "w", *names), trees, names,
+        [Question(eps, "w", "sum", enough)], known if trees.levels else None,
+    )
+    counted = seekers.join(whole, "cell", "left").join(single, "v", "left")
+    n = F.coalesce("whole", F.lit(0)) + F.coalesce("answer_0", F.lit(0))
+    return counted.select("cell", "v", *names, n.alias("n"))
+
+
+def _noise(
+    counted: DataFrame, tests: dict[int, int], pairs: DataFrame, vectors: Vectors, trees: Trees, eps: float
+) -> DataFrame:
+    """(v, core_*, noise_*) of those ``counted`` within ``eps``, for the settings ``tests`` and their ``min_samples``.
+
+    All other vectors are core.
+    """
+    names, cores = vectors.names, [f"core_{s}" for s in tests]
+    own = cut_lineage(counted.select("cell", "v", *names, *[(F.col("n") >= m).cast("int").alias(f"core_{s}") for s, m in tests.items()]))
+    loose = own.filter(F.least(*cores, F.lit(1)) == 0)
+    asked = cut_lineage(pairs.join(loose.select(F.col("cell").alias("a")).distinct(), "a", "left_semi"))
+    every = vectors.table.select("cell", "v", *names).join(own.select("v", *cores), "v", "left")
+    anchors = cut_lineage(every.withColumns({c: F.coalesce(c, F.lit(1)) for c in cores}).filter(F.greatest(*cores, F.lit(0)) == 1))
+    anchored = anchors.groupBy(F.col("cell").alias("b")).agg(*[F.max(c).alias(c) for c in cores])
+    near_core = asked.filter(_whole(eps)).join(anchored, "b").groupBy(F.col("a").alias("cell")).agg(
+        *[F.max(f"core_{s}").alias(f"whole_{s}") for s in tests]
+    )
+    reached = ask(
+        loose, asked.filter(_open(eps)), anchors, trees, names, [Question(eps, c, "max", 1) for c in cores]
+    ).withColumnsRenamed({f"answer_{i}": f"single_{s}" for i, s in enumerate(tests)})
+    joined = own.join(near_core, "cell", "left").join(reached, "v", "left")
+    noise = [
+        F.when(F.greatest(f"core_{s}", f"whole_{s}", f"single_{s}") == 0, 1).otherwise(0).alias(f"noise_{s}") for s in tests
+    ]
+    return joined.select("v", *cores, *noise)
+
+
 def find_noise(
     df: DataFrame, features: list[str], settings: list[tuple[float, int]],
     key_cols: list[str] | None = None, pair_all: bool = False, leaf: int = LEAF,
 ) -> DbscanRun:
-    """Core and noise flags for every (eps, min_samples), from one set of cell pairs.
+    """Core and noise flags for every (eps, min_samples).
 
     A row is core with at least ``min_samples`` rows, itself included, within
-    eps, and noise when it neither is core nor has a core row within eps. Cells
-    whose own weight makes them core seek nothing unless ``pair_all``.
+    eps, and noise when it neither is core nor has a core row within eps. Radii
+    are tried from the least on: a vector with as many rows within one as any
+    setting asks for is core there and within all larger ones, and seeks no more,
+    so that few rows lie around those that still seek. Cells whose own weight
+    makes them core never seek, unless ``pair_all``, by which all cells do.
     """
     tried = Settings(settings)
-    radii = tried.radii
-    side = radii[0] / math.sqrt(len(features)) * (1 - 1e-6)
+    side = tried.radii[0] / math.sqrt(len(features)) * (1 - 1e-6)
     vectors = weigh(df, features, side, key_cols)
     names = vectors.names
     cells = _cells(vectors, tried.most)
-    cells = cells.withColumn("seeks", F.lit(True) if pair_all else ~F.col("sure"))
-    pairs = cut_lineage(_cell_pairs(cells, vectors, radii[-1]))
-    undecided = reduce(lambda p, q: p | q, [_open(e) for e in radii])
-    unclear = pairs.filter(undecided)
-
-    weights = cells.select(F.col("cell").alias("b"), "W")
-    whole = pairs.filter(_whole(radii[-1])).join(weights, "b").groupBy(F.col("a").alias("cell")).agg(
-        *[F.sum(F.when(_whole(e), F.col("W"))).alias(f"whole_{i}") for i, e in enumerate(radii)]
-    )
-    placed = vectors.table.join(cells.select("cell", "sure"), "cell")
+    levels = _levels(vectors)
     trees = grow(vectors.table, names, leaf)
-    seekers = placed.filter(~F.col("sure"))
-    known = seekers.join(whole, "cell").select("v", *[F.col(f"whole_{i}").alias(f"answer_{i}") for i in range(len(radii))])
-    single = ask(
-        seekers, unclear, vectors.table.select("cell", "v", "w", *names), trees, names,
-        [Question(e, "w", "sum", tried.most) for e in radii], known if trees.levels else None,
-    ).withColumnsRenamed({f"answer_{i}": f"single_{i}" for i in range(len(radii))})
-    counted = placed.join(whole, "cell", "left").join(single, "v", "left")
-    cores = {}
-    for s, (e, m) in enumerate(settings):
-        i = radii.index(e)
-        n = F.coalesce(f"whole_{i}", F.lit(0)) + F.coalesce(f"single_{i}", F.lit(0))
-        cores[f"core_{s}"] = (F.col("sure") | (n >= m)).cast("int")
-    extra = [c for p in ("whole", "single") for c in (f"{p}_{i}" for i in range(len(radii)))]
-    cored = cut_lineage(counted.withColumns(cores).drop("sure", *extra))
-
-    anchors = cored.filter(F.greatest(*cores, F.lit(0)) == 1)
-    anchored = anchors.groupBy(F.col("cell").alias("b")).agg(*[F.max(c).alias(c) for c in cores])
-    near_core = pairs.join(anchored, "b").groupBy(F.col("a").alias("cell")).agg(
-        *[F.max(F.when(_whole(e), F.col(f"core_{s}"))).alias(f"whole_{s}") for s, (e, _) in enumerate(settings)]
-    )
-    loose = cored.filter(F.least(*cores, F.lit(1)) == 0)
-    reached = ask(
-        loose, unclear, anchors.select("cell", "v", *names, *cores), trees, names,
-        [Question(e, f"core_{s}", "max", 1) for s, (e, _) in enumerate(settings)],
-    ).withColumnsRenamed({f"answer_{s}": f"single_{s}" for s in range(len(settings))})
-    joined = cored.join(near_core, "cell", "left").join(reached, "v", "left")
-    noise = {
-        f"noise_{s}": F.when(
-            F.greatest(F.col(f"core_{s}"), f"whole_{s}", f"single_{s}") == 0, 1
-        ).otherwise(0)
-        for s in range(len(settings))
-    }
-    extra = [c for p in ("whole", "single") for c in (f"{p}_{s}" for s in range(len(settings)))]
-    return DbscanRun(vectors, cut_lineage(joined.withColumns(noise).drop(*extra)), pairs, tried, trees)
+    seekers = cut_lineage(vectors.table.select("cell", "v", *names).join(cells.filter(~F.col("sure")).select("cell"), "cell"))
+    flags = vectors.table
+    for eps in tried.radii:
+        own = seekers.select("cell").distinct().withColumn("open", F.lit(True))
+        seeking = cells.join(own, "cell", "left").withColumn("seeks", F.lit(pair_all) | F.col("open").isNotNull())
+        pairs = cut_lineage(_cell_pairs(seeking, vectors, levels, eps))
+        counted = cut_lineage(_rows_near(seekers, pairs, cells, vectors, trees, eps, tried.most))
+        tests = {s: m for s, (e, m) in enumerate(settings) if e == eps}
+        flags = flags.join(cut_lineage(_noise(counted, tests, pairs, vectors, trees, eps)), "v", "left")
+        seekers = cut_lineage(counted.filter(F.col("n") < tried.most).drop("n"))
+    decided = {c: F.coalesce(c, F.lit(k)) for s in range(len(settings)) for c, k in ((f"core_{s}", 1), (f"noise_{s}", 0))}
+    return DbscanRun(vectors, cut_lineage(flags.withColumns(decided)), pairs, tried, trees)
 
 
 def _to_rows(

@@ -92,6 +92,20 @@ def test_dbscan_search_equals_single_runs(spark, blobs):
     assert found.best == min(runs, key=lambda k: abs(runs[k] - 40))
 
 
+def test_who_has_enough_within_a_radius_seeks_in_no_larger_one(spark):
+    """Every vector of the line has seven within the least radius, though no cell holds seven of them."""
+    x = np.zeros((208, 3))
+    x[:200, 0] = np.arange(200) * 0.04
+    x[200:, 1] = [-0.4, -0.6, -0.9, 5.0, 5.25, 5.6, 6.2, 40.0]
+    settings = [(e, m) for e in (0.3, 0.5, 0.7) for m in (3, 5, 7)]
+    run = dbscan.find_noise(frame(spark, x), NAMES, settings)
+    assert run.outliers() == [int((brute(x, e, m) == -1).sum()) for e, m in settings]
+    assert run.vectors.table.groupBy("cell").count().agg(F.max("count")).first()[0] < 7
+    line = [r["cell"] for r in run.vectors.table.filter("x1 = 0").select("cell").distinct().collect()]
+    seekers = [r["a"] for r in run.pairs.select("a").distinct().collect()]
+    assert seekers and not set(seekers) & set(line)
+
+
 def test_dbscan_of_copies_and_of_nothing(spark):
     same = frame(spark, np.ones((6, 3)))
     assert {r["cluster"] for r in dbscan.dbscan_clusters(same, NAMES, 0.5, 5).collect()} == {0}
