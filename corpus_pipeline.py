@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fraudloom.llm import decontaminate, minhash_hamming, quality_rules, secret_scan, wfst_pieces
 from fraudloom.llm.common import table
-from fraudloom.session import owned_tables, shared_folder
+from fraudloom.session import cut_lineage, owned_tables, shared_folder
 
 #: Shingles and similarity of the near-duplicate stage: five words, 0.8 or more.
 NEAR = minhash_hamming.Plan(words=5, percent=80, n=60, chunks=15, distance=29)
@@ -36,9 +36,14 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every document, the text decoded from them, and whether that is the document's text."""
+    """Piece ids of every document, the text decoded from them, and whether that is the document's text.
+
+    The ids are written first: encoding and decoding in one stage would take two
+    Python workers for each core, which then stay with their memory.
+    """
     found, name = wfst_pieces.encode_documents(docs)
-    back, decoded = wfst_pieces.decode_documents(found.select("doc_id", "source", "lang", "text", f"{name}.*"))
+    encoded = cut_lineage(found.select("doc_id", "source", "lang", "text", f"{name}.*"))
+    back, decoded = wfst_pieces.decode_documents(encoded)
     same = F.col(decoded) == F.coalesce("text", F.lit(""))
     return back.withColumn("round_trip", same).drop("text")
 

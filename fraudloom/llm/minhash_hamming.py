@@ -53,6 +53,8 @@ from fraudloom.session import cut_lineage, settled
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Rows of a block when a bucket's members are compared.
 BLOCK = 512
+#: Signatures whose keys one task makes: it holds all their keys at once, many for each.
+KEYED = 1 << 14
 #: Members of small buckets that are compared in one call.
 GROUP = 4096
 #: Bins of the counts that bound two sets' similarity from above.
@@ -501,7 +503,8 @@ def _confirmed(state: DataFrame, pairs: DataFrame, tested: DataFrame, texts: Dat
 def near_components(signed: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
     """(id, component) of classes. ``signed`` has id, n_shingles, signature, bins; ``texts`` id and text."""
     state = cut_lineage(signed.select("id", F.col("id").alias("component"), "n_shingles", "signature", "bins"))
-    keys = bucket_keys(state, plan)
+    dealt = state.select("id", "signature").repartition(-(-state.count() // KEYED) or 1, "id")
+    keys = bucket_keys(dealt, plan)
     hubs = keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last"), F.count(F.lit(1)).alias("m")).filter("hub < last").drop("last")
     buckets = cut_lineage(keys.join(grows(hubs), "key"))
     star = buckets.filter("hub < id").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()

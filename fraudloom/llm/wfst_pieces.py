@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import re
 import struct
+import weakref
 import zlib
 from collections.abc import Iterable, Iterator
 from math import inf
@@ -109,7 +110,8 @@ class _Words(dict):
 
     def __init__(self, owner: "Transducer"):
         super().__init__()
-        self.owner, self.old = owner, {}
+        # no cycle: a worker that drops the transducer has its memory back at once
+        self.owner, self.old = weakref.proxy(owner), {}
 
     def __missing__(self, word: str) -> bytes:
         own, owner = self.old.get(word), self.owner
@@ -318,12 +320,11 @@ def _lenient(data: bytes) -> str:
 class _Decoder:
     """Vectorised decoding of long id arrays: pieces' bytes are joined, then read as UTF-8."""
 
-    def __init__(self, t: Transducer):
-        m = t.model
+    def __init__(self, m: Model):
         spelled = []
         for i, (p, k) in enumerate(zip(m.pieces, m.kinds)):
             if k == BYTE:
-                spelled.append(bytes([t.byte_of[i]]))
+                spelled.append(bytes([int(p[3:5], 16)]))
             elif k in (NORMAL, UNUSED):
                 spelled.append(p.replace(MARK, " ").encode())
             else:
@@ -339,11 +340,16 @@ def compiled(data: bytes) -> tuple[Transducer, _Decoder]:
     """The transducers of a model file's bytes; each worker compiles them once."""
     def make():
         t = Transducer(data)
-        return t, _Decoder(t)
+        return t, _Decoder(t.model)
 
     return once_per_worker(("pieces", hash(data)), make)
 
 
+def decoder(data: bytes) -> _Decoder:
+    """The decoder of a model file's bytes alone; it takes the place of all else that the worker kept."""
+    return once_per_worker(("decoder", hash(data)), lambda: _Decoder(Model(data)), 1)
+
+
 def model_bytes(path: str | None = None) -> bytes:
     with open(path or tokenizer_file("piece_bpe_32k.model"), "rb") as f:
         return f.read()
@@ -371,7 +377,7 @@ def decode_documents(docs: DataFrame, ids: str = "ids", model: bytes | None = No
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, decode = compiled(shared.value)
+        decode = decoder(shared.value)
         for batch in batches:
             lists = batch.column(at)
             texts = [decode(np.asarray(lists[i].as_py() or [], "<u4")).decode() for i in range(batch.num_rows)]

@@ -1,7 +1,9 @@
 """The pipeline's stages on small tables, and the registered queries on the test tables."""
 
+import gc
 import os
 import sys
+import weakref
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -30,6 +32,23 @@ def test_the_last_stage_decodes(spark, sf_dir, awkward):  # noqa: F811
     assert sum(r.round_trip for r in rows) == sum(t.decode(np.frombuffer(t.encode(x), "<u4")) == x for x in texts) > 0
 
 
+def test_pieces_take_one_python_worker_at_a_time(spark, sf_dir, awkward):  # noqa: F811
+    plan = corpus_pipeline.pieces(spark, awkward, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_a_dropped_transducer_is_freed_at_once():
+    t = wfst_pieces.Transducer(wfst_pieces.model_bytes())
+    assert len(t.encode("Some words, some 世界 twice.")) > 0 and len(t.words) > 0
+    gone = weakref.ref(t)
+    gc.disable()
+    try:
+        del t
+        assert gone() is None
+    finally:
+        gc.enable()
+
+
 def test_stages_on_an_empty_table(spark, sf_dir, empty):  # noqa: F811
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf_dir).count() == 0, name
