@@ -106,32 +106,35 @@ class Model:
 
 
 class _Words(dict):
-    """Ids of words between blanks. The older half is forgotten when full; very long words are never kept."""
+    """Packed ids of chunks, mostly words. The older half is forgotten when full; very long chunks are never kept."""
 
     def __init__(self, owner: "Transducer"):
         super().__init__()
         # no cycle: a worker that drops the transducer has its memory back at once
         self.owner, self.old = weakref.proxy(owner), {}
 
-    def __missing__(self, word: str) -> bytes:
-        own, owner = self.old.get(word), self.owner
+    def __missing__(self, chunk: str) -> bytes:
+        own = self.old.get(chunk)
         if own is None:
-            if 1 < len(word) <= owner.CACHED and word[-2:] not in owner.spanned:
-                own = self[word[:-1]] + owner.lone(word[-1])
-            else:
-                own = owner.found(word if word[:1] == "\n" else MARK + word)
-        if len(word) <= self.owner.CACHED:
-            if len(self) >= self.owner.WORDS:
+            own = self.owner.found(chunk)
+        if len(chunk) <= Transducer.CACHED:
+            if len(self) >= Transducer.WORDS:
                 self.old = dict(self)
                 self.clear()
-            self[word] = own
+            self[chunk] = own
         return own
 
 
+def _slots(text: str) -> np.ndarray:
+    """A 20-bit hash of each pair of neighbouring characters."""
+    codes = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    return (codes[:-1] * np.uint32(0x9E3779B1) + codes[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(12)
+
+
 class Transducer:
     """The composed transducer of one model, with caches of paths and weights."""
 
-    WORDS, PAIRS, CACHED = 100_000, 150_000, 64
+    WORDS, PAIRS, CACHED = 200_000, 400_000, 64
 
     def __init__(self, data: bytes):
         self.model = m = Model(data)
@@ -141,18 +144,20 @@ class Transducer:
         self.byte_of = {i: b for b, i in self.byte_ids.items()}
         self.fallback = m.byte_fallback and len(self.byte_ids) == 256
         self.rank = {p: m.scores[i] for p, i in self.ids.items()}
-        self.spanned = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
-        self.leading = not any(MARK in p.lstrip(MARK) for p in self.ids)
-        self.line_ends = not any("\n" in x for x in self.spanned)
+        self.spanned = np.zeros(1 << 20, bool)
+        pairs = "".join(p[i : i + 2] for p in self.ids for i in range(len(p) - 1))
+        self.spanned[_slots(pairs)[::2]] = True
         self.words = _Words(self)
         self.longest = max(map(len, self.ids), default=1)
         self.trie: dict = {}
-        for piece in self.ids:
-            node = self.trie
-            for c in piece:
+        for piece in sorted(self.ids, key=len):
+            node, arcs = self.trie, (piece[0],)
+            for i, c in enumerate(piece, 1):
                 node = node.setdefault(c, {})
-            node[""] = piece
-        self.pairs: dict[tuple[str, str], bool] = {}
+                # pieces on the way to this node; shorter pieces are in the trie already
+                arcs = node.setdefault("", (*arcs, piece) if 1 < i == len(piece) else arcs)
+        self.pairs: dict[str, dict[str, bool]] = {}
+        self.held = 0
         self.packed: dict[str, bytes] = {p: struct.pack("<I", i) for p, i in self.ids.items()}
         self.unk_cost = (-min(m.scores) if m.scores else 0.0) + 10.0  # fixed value: penalty of an unknown character
 
@@ -167,19 +172,17 @@ class Transducer:
 
     # the lexicon and byte fallback
 
-    def arcs(self, chunk: str, at: int) -> list[str]:
+    def arcs(self, chunk: str, at: int) -> tuple[str, ...]:
         """Pieces that leave position ``at``, longest last; a lone character where none spells it."""
-        found, node = [], self.trie
-        for c in chunk[at : at + self.longest] if len(chunk) > self.longest else chunk[at:]:
-            node = node.get(c)
-            if node is None:
+        node = self.trie.get(chunk[at])
+        if node is None:
+            return (chunk[at],)
+        for c in chunk[at + 1 : at + self.longest]:
+            ahead = node.get(c)
+            if ahead is None:
                 break
-            piece = node.get("")
-            if piece is not None:
-                found.append(piece)
-        if not found or len(found[0]) > 1:
-            found.insert(0, chunk[at])
-        return found
+            node = ahead
+        return node[""]
 
     def emit(self, piece: str) -> list[int]:
         own = self.ids.get(piece)
@@ -212,11 +215,14 @@ class Transducer:
 
     def fits(self, a: str, b: str) -> bool:
         """Whether the pair weighs 0 rather than infinity."""
-        known = self.pairs.get((a, b))
+        known = self.pairs.get(a, {}).get(b)
         if known is None:
-            if len(self.pairs) >= self.PAIRS:
-                self.pairs.clear()
-            known = self.pairs[a, b] = self.merged(a + b) == [a, b]
+            if self.held >= self.PAIRS:
+                for own in self.pairs.values():
+                    own.clear()
+                self.held = 0
+            known = self.pairs.setdefault(a, {})[b] = self.merged(a + b) == [a, b]
+            self.held += 1
         return known
 
     # the shortest path
@@ -240,14 +246,16 @@ class Transducer:
     def _merge_path(self, chunk: str) -> list[str]:
         """The only finite path: longest arcs first, each state (position, last piece) left once."""
         path: list[str] = []
-        untried: list[list[str]] = []
+        untried: list[tuple[tuple[str, ...], int]] = []
         dead: set[tuple[int, str]] = set()
-        at, last, arcs, known = 0, None, self.arcs(chunk, 0), self.pairs
+        at, last, arcs, known, end = 0, None, self.arcs(chunk, 0), {}, len(chunk)
+        left = len(arcs)
         while True:
-            while arcs:
-                piece = arcs.pop()
+            while left:
+                left -= 1
+                piece = arcs[left]
                 if last is not None:
-                    fits = known.get((last, piece))
+                    fits = known.get(piece)
                     if not (self.fits(last, piece) if fits is None else fits):
                         continue
                 if not dead or (at + len(piece), piece) not in dead:
@@ -255,14 +263,16 @@ class Transducer:
             else:
                 dead.add((at, last))
                 at -= len(path.pop())
-                arcs, last = untried.pop(), path[-1] if path else None
+                (arcs, left), last = untried.pop(), path[-1] if path else None
+                known = self.pairs.get(last, {})
                 continue
             path.append(piece)
             at += len(piece)
-            if at == len(chunk):
+            if at == end:
                 return path
-            untried.append(arcs)
-            last, arcs = piece, self.arcs(chunk, at)
+            untried.append((arcs, left))
+            last, arcs, known = piece, self.arcs(chunk, at), self.pairs.get(piece, {})
+            left = len(arcs)
 
     # whole texts
 
@@ -270,28 +280,19 @@ class Transducer:
         """Packed ids of one piece, or of a character that no piece spells."""
         return self.packed.get(piece) or np.asarray(self.emit(piece), "<u4").tobytes()
 
-    def found(self, text: str) -> bytes:
-        """Ids of some normalised text that no piece spans at its ends."""
-        return b"".join(map(self.lone, self.path(text)))
+    def found(self, chunk: str) -> bytes:
+        """Packed ids of some normalised text that no piece spans at its ends."""
+        return b"".join(map(self.lone, self.path(chunk)))
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        quick = self.leading and self.line_ends and self.model.add_prefix and not self.model.squeeze
-        if not quick or MARK in text or "  " in text or " \n" in text or text[-1] == " " or text[0] == " ":
-            whole = self.normalise(text)
-            return b"".join(map(self.found, self._cut(whole))) if whole else b""
-        return b"".join(map(self.words.__getitem__, text.replace("\n", " \n").split(" ")))
+        whole = self.normalise(text)
+        return b"".join(map(self.words.__getitem__, self._cut(whole))) if whole else b""
 
     def _cut(self, text: str) -> list[str]:
-        """A normalised text cut where no piece can span."""
-        out, start, spanned = [], 0, self.spanned
-        for i in range(1, len(text)):
-            if text[i - 1 : i + 1] not in spanned:
-                out.append(text[start:i])
-                start = i
-        return [*out, text[start:]]
+        """A normalised text cut where no piece can span; two pairs of characters may share a slot, which only spares a cut."""
+        at = (np.flatnonzero(~self.spanned[_slots(text)]) + 1).tolist()
+        return list(map(text.__getitem__, map(slice, [0, *at], [*at, len(text)])))
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of some ids; broken byte sequences become U+FFFD and control pieces nothing."""

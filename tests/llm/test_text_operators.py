@@ -386,6 +386,19 @@ def test_pieces_equal_the_library(spark, awkward, empty):
     assert wfst_pieces.encode_documents(empty)[0].count() == 0
 
 
+def test_chunks_between_cuts_are_sought_once():
+    import sentencepiece
+
+    path = wfst_pieces.tokenizer_file("piece_bpe_32k.model")
+    t, sought = wfst_pieces.Transducer(wfst_pieces.model_bytes(path)), []
+    seek = t.path
+    t.path = lambda chunk: sought.append(chunk) or seek(chunk)
+    parts = ["tionnel", "eauxre", "lamento", "ouvian", "chelle", "reaux"]
+    text = " ".join(f"{x}世{y}" for x in parts for y in parts)  # no piece has 世 beside a letter
+    assert np.frombuffer(t.encode(text), "<u4").tolist() == sentencepiece.SentencePieceProcessor(model_file=path).encode(text)
+    assert len(sought) == len(set(sought)) <= 2 * len(parts) + 2
+
+
 def test_decoded_ids_equal_the_library(spark):
     import sentencepiece
 
