@@ -555,7 +555,7 @@ def keep_one(docs: DataFrame, plan: Plan = Plan(), doc_id: str = "doc_id") -> Da
 
     kept = settled(docs.sparkSession, leading)
     mark = fresh(docs, "kept_id")
-    joined = docs.join(kept.select(F.col("doc_id").alias(mark)), F.col(doc_id) == F.col(mark), "left")
+    joined = docs.join(grows(kept.select(F.col("doc_id").alias(mark))), F.col(doc_id) == F.col(mark), "left")
     stay = joined.filter(F.col(mark).isNotNull() | F.col(doc_id).isNull()).drop(mark)
     if not kept.filter("n > 1").isEmpty():
         known = stay.filter(F.col(doc_id).isNotNull()).dropDuplicates([doc_id])

@@ -134,7 +134,7 @@ def _slots(text: str) -> np.ndarray:
 class Transducer:
     """The composed transducer of one model, with caches of paths and weights."""
 
-    WORDS, PAIRS, CACHED = 200_000, 400_000, 64
+    WORDS, PAIRS, CACHED = 60_000, 150_000, 64
 
     def __init__(self, data: bytes):
         self.model = m = Model(data)

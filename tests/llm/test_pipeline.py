@@ -37,6 +37,16 @@ def test_pieces_take_one_python_worker_at_a_time(spark, sf_dir, awkward):  # noq
     assert plan.count("MapInArrow") == 1
 
 
+def test_texts_are_not_written_beside_their_pieces(spark, sf_dir, awkward):  # noqa: F811
+    written = spark.read.parquet(*corpus_pipeline.pieces(spark, awkward, sf_dir).inputFiles())
+    assert "ids" in written.columns and "text" not in written.columns
+
+
+def test_the_rows_that_stay_are_joined_alike_at_every_size(spark, sf_dir, awkward):  # noqa: F811
+    plan = corpus_pipeline.near_dedup(spark, awkward, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_a_dropped_transducer_is_freed_at_once():
     t = wfst_pieces.Transducer(wfst_pieces.model_bytes())
     assert len(t.encode("Some words, some 世界 twice.")) > 0 and len(t.words) > 0
