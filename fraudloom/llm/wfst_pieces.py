@@ -118,7 +118,7 @@ class _Words(dict):
         if own is None:
             own = self.owner.found(chunk)
         if len(chunk) <= Transducer.CACHED:
-            if len(self) >= Transducer.WORDS:
+            if len(self) >= self.owner.WORDS:
                 self.old = dict(self)
                 self.clear()
             self[chunk] = own
@@ -394,6 +394,7 @@ def encoded_digests(docs: DataFrame, model: bytes | None = None, text: str = "te
 
     def rows(texts: list[bytes]) -> Iterable[tuple]:
         t, decode = compiled(shared.value)
+        t.WORDS, t.PAIRS = 200_000, 400_000  # no other stage's memory is held beside these caches
         low, high = _byte_range(t)
         for x in texts:
             data = t.encode(x.decode())
