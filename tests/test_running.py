@@ -5,6 +5,7 @@ import random
 from datetime import date
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -187,3 +188,40 @@ def test_sets_beyond_the_log_follow_history_and_rows(spark, tmp_path):
         mine = [r for r in rows[: i + 1] if r[1] == k]
         want.append((i, sum(r[3] is not None for r in mine), len({r[2] for r in mine}), len({r[3] for r in mine} - {None})))
     assert rows_of(spark, str(tmp_path), "id", "n", "d", "e") == want
+
+
+def test_blocks_of_rows_are_counted_as_the_rows_are():
+    rng = random.Random(3)
+    rows = [
+        Row(id=i if i % 40 else None, at=i % 7, k=None if i % 11 == 0 else f"k\u00e9{rng.randint(0, 9)}", v=rng.choice([None, 1, 2, 3]), d=date(2024, 1, 1 + i % 28))
+        for i in range(600)
+    ]
+    rows = [Row(**{**r.asDict(), "_key": r.k}) for r in rows]
+    measures = [("n", "count", "v"), ("d_of_k", "distinct", "d"), ("many", "many", "v")]
+    plain, packed = (made(["id", "d", "k"], ["at", "id"], measures, 5) for made in (running._Running, running._RunningBlocks))
+    of_rows, of_blocks = CountedState(), CountedState()
+    plain.init(of_rows)
+    packed.init(of_blocks)
+    for first in (0, 200, 400):  # three micro-batches, each of two blocks
+        batch = rows[first : first + 200]
+        tables = [pa.RecordBatch.from_pylist([r.asDict() for r in part]) for part in (batch[:150], batch[150:])]
+        left = list(packed.handleInputRows((0,), iter([Row(_block=running._block_of(t)) for t in tables]), None))
+        assert len(left) == 1
+        got = [tuple(r.values()) for r in running._table_of(left[0]["_block"]).to_pylist()]
+        assert got == [tuple(r) for r in plain.handleInputRows((0,), iter(batch), None)]
+        # what a micro-batch adds to a bucket is one entry of its log, however many keys gained
+        assert len(of_blocks.held["log"]) <= 1 + first // 200
+    assert of_blocks.held == of_rows.held and of_blocks.held["beyond"]
+
+
+def test_rows_reach_the_state_packed_by_bucket(spark, monkeypatch):
+    rows = [(i, f"k{i % 30}" if i % 9 else None, str(i % 4)) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "id long, k string, v string")
+    blocks = running._in_blocks(frame.withColumn("_bucket", F.pmod(F.xxhash64("k"), F.lit(8)).cast("int")).coalesce(1)).collect()
+    assert len(blocks) == len({r["_bucket"] for r in blocks})
+    back = [tuple(r.values()) for b in blocks for r in running._table_of(b["_block"]).to_pylist()]
+    assert sorted(back) == rows
+    monkeypatch.setattr(running, "BLOCK_BYTES", 1)  # every batch is dealt by itself
+    many = running._in_blocks(frame.withColumn("_bucket", F.lit(3)).repartition(2)).collect()
+    assert sorted(r["id"] for b in many for r in running._table_of(b["_block"]).to_pylist()) == list(range(3000))
+    assert {r["_bucket"] for r in many} == {3}
