@@ -6,7 +6,8 @@ each slot passes its mini-batches through Adam from the shared weights; the slot
 weights and moments, weighted by rows, are added up in a tree whose branches are given
 by the slots' numbers, and their mean is what the next epoch starts from. Slots follow
 from the rows alone, so the model is the same, to the last bit, under any partitioning
-and on any cluster, while the tasks of an epoch grow with the table. A table of one slot
+and on any cluster, while the tasks of an epoch grow with the table and get as many
+slots each. A table of one slot
 is trained exactly as by a single process. The driver gets at most ``FOLD`` partial sums
 per epoch, never rows.
 """
@@ -26,16 +27,20 @@ from pyspark.sql import functions as F
 from fraudloom.operators.flags import validation_split
 from fraudloom.operators.numbering import number_rows
 from fraudloom.schemas import KEY_COLS
-from fraudloom.session import cut_lineage
+from fraudloom.session import a_task_per_file, cut_lineage
 
 #: Rows of a slot: what one task trains on by itself within an epoch.
 SLOT = 8192
 #: Partial sums that are added up at one place.
 FOLD = 64
 #: Slots of a task that take their steps side by side.
-STACK = 8
-#: Slots that share a file of the slot table.
-FILE_SLOTS = 128
+STACK = 16
+#: Steps whose rows are laid out at once.
+PIECE = 16
+#: How a slot's rows are packed: every epoch hands them from a file to a Python worker.
+CODEC = "zstd"
+#: Bytes of a file of the slot table, before compression: less than Spark would split.
+FILE_BYTES = 100 << 20
 
 
 @dataclass(frozen=True)
@@ -159,10 +164,10 @@ def _gradient(flat: np.ndarray, shapes, x: np.ndarray, net: Network, rng) -> tup
 
 
 def _layered(flat: np.ndarray, shapes) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Views of each layer's weights (stack, n, m) and biases (stack, 1, m) inside stacked flat vectors."""
+    """Views of each layer's weights (stack, n, m) and biases (stack, m) inside stacked flat vectors."""
     out, at = [], 0
     for n, m in shapes:
-        out.append((flat[:, at:at + n * m].reshape(len(flat), n, m), flat[:, None, at + n * m:at + n * m + m]))
+        out.append((flat[:, at:at + n * m].reshape(len(flat), n, m), flat[:, at + n * m:at + n * m + m]))
         at += n * m + m
     return out
 
@@ -171,72 +176,148 @@ def _train(states: np.ndarray, step: int, xs: list[np.ndarray], net: Network, sh
     """Mini-batches of every table of ``xs`` through Adam from its own state, in place: (steps, sum of row losses) each.
 
     The tables take their steps side by side, as one small product costs little more
-    than its call; each gets what it would get by itself. Full batches that all have
-    come first, then each one's rest.
+    than its call; each gets what it would get by itself. Full batches come first, by
+    all tables that still have one, then each one's rest.
     """
-    per_row = sum(shapes[i][1] for i in range(len(shapes) - 1) if net.dropout.get(i))
-    draws = [rng.random(len(x) * per_row) if per_row else None for x, rng in zip(xs, rngs)]
-    full = min(len(x) for x in xs) // net.batch
-    done, total = [0] * len(xs), np.zeros(len(xs))
-    for at in range(full):
-        rows = slice(at * net.batch, (at + 1) * net.batch)
-        drawn = np.stack([d[rows.start * per_row:rows.stop * per_row] for d in draws]) if per_row else None
-        total += _one_step(states, step + at + 1, np.stack([x[rows] for x in xs]), drawn, net, shapes) * net.batch
-    for i, x in enumerate(xs):
-        done[i] = full
-        for start in range(full * net.batch, len(x), net.batch):
-            part = x[None, start:start + net.batch]
-            drawn = draws[i][None, start * per_row:(start + part.shape[1]) * per_row] if per_row else None
-            done[i] += 1
-            total[i] += _one_step(states[i:i + 1], step + done[i], part, drawn, net, shapes)[0] * part.shape[1]
-    return [(n, float(t)) for n, t in zip(done, total)]
-
-
-def _one_step(states: np.ndarray, at: int, x: np.ndarray, drawn: np.ndarray | None, net: Network, shapes) -> np.ndarray:
-    """One step of Adam, number ``at``, for stacked states (stack, 3 * size) and batches (stack, n, width): the losses."""
-    size = states.shape[1] // 3
-    weights, first, second = states[:, :size], states[:, size:2 * size], states[:, 2 * size:]
-    layers, grad = _layered(weights, shapes), np.empty_like(weights)
-    slopes, last = _layered(grad, shapes), len(shapes) - 1
-    acts, masks, taken = [x], {}, 0
-    for i, (w, b) in enumerate(layers):
-        z = acts[-1] @ w
-        z += b
-        if i < last:
-            np.maximum(z, 0.0, out=z)
-            if net.dropout.get(i):
-                own = drawn[:, taken:taken + z[0].size].reshape(z.shape)
-                taken += z[0].size
-                masks[i] = (own >= net.dropout[i]) / (1.0 - net.dropout[i])
-                z *= masks[i]
-        elif net.output == "sigmoid":
-            z = 1.0 / (1.0 + np.exp(-np.clip(z, -60.0, 60.0)))
-        acts.append(z)
-    gap = acts[-1] - x
-    loss = (gap * gap).reshape(len(x), -1).mean(axis=1)
-    delta = 2.0 * gap / gap[0].size
-    if net.output == "sigmoid":
-        delta = delta * acts[-1] * (1.0 - acts[-1])
-    for i in range(last, -1, -1):
-        w = layers[i][0]
-        np.matmul(acts[i].transpose(0, 2, 1), delta, out=slopes[i][0])
-        np.add.reduce(delta, axis=1, out=slopes[i][1], keepdims=True)
-        penalty = net.l2.get(i)
-        if penalty:
-            slopes[i][0][...] += 2.0 * penalty * w
-            loss += [penalty * float((one * one).sum()) for one in w]
-        if i:
-            delta = delta @ w.transpose(0, 2, 1)
-            delta *= acts[i] > 0
-            if i - 1 in masks:
-                delta *= masks[i - 1]
-    first *= 0.9
-    first += 0.1 * grad
-    second *= 0.999
-    second += 0.001 * grad * grad
-    scale = net.rate * np.sqrt(1.0 - 0.999**at) / (1.0 - 0.9**at)
-    weights -= scale * first / (np.sqrt(second) + 1e-7)
-    return loss
+    if len(xs) > 1 and 1 in (m for pair in shapes for m in pair):
+        # products with single columns round otherwise where the column lies in strides
+        return [_train(states[i:i + 1], step, [x], net, shapes, [rng])[0] for i, (x, rng) in enumerate(zip(xs, rngs))]
+    full = [len(x) // net.batch for x in xs]
+    # tables of most batches stand first, so that those still at work are a slice
+    ranks = sorted(range(len(xs)), key=lambda i: -full[i])
+    ranked = states[ranks].reshape(len(xs), 3, -1).transpose(1, 0, 2).copy()
+    total, done, stack = np.zeros(len(xs)), 0, None
+    while at_work := [i for i in ranks if full[i] > done]:
+        count = len(at_work)
+        if stack is None or len(stack.weights) != count:
+            stack = _Stack(ranked[:, :count], net.batch, PIECE, net, shapes)
+        steps = min(PIECE, full[at_work[-1]] - done)
+        first, last = done * net.batch, (done + steps) * net.batch
+        stack.lay([xs[i][first:last] for i in at_work], [rngs[i] for i in at_work], steps)
+        for at in range(steps):
+            done += 1
+            total[:count] += stack.step(at, step + done) * net.batch
+    told = [(0, 0.0)] * len(xs)
+    for place, i in enumerate(ranks):
+        steps, rest = full[i], xs[i][full[i] * net.batch:]
+        if len(rest):
+            steps += 1
+            stack = _Stack(ranked[:, place:place + 1], len(rest), 1, net, shapes)
+            stack.lay([rest], [rngs[i]], 1)
+            total[place] += stack.step(0, step + steps)[0] * len(rest)
+        told[i] = steps, float(total[place])
+    states[ranks] = ranked.transpose(1, 0, 2).reshape(states.shape)
+    return told
+
+
+class _Stack:
+    """Tables that take their steps side by side from ``states`` (3, stack, size), ``n`` rows of each at once.
+
+    Rows come first in all arrays (n, stack, m), so that what is done alike for all
+    tables runs over long stretches; products take each table's rows through strides.
+    Arrays and views are made once and used by every step.
+    """
+
+    def __init__(self, states: np.ndarray, n: int, pieces: int, net: Network, shapes):
+        self.n, self.net, (_, count, size), width = n, net, states.shape, shapes[0][0]
+        self.weights, self.first, self.second = states
+        self.grad, self.move, self.root = np.empty((3, count, size))
+        self.layers, self.slopes = _layered(self.weights, shapes), _layered(self.grad, shapes)
+        self.dropped = [(i, shapes[i][1], net.dropout[i]) for i in range(len(shapes) - 1) if net.dropout.get(i)]
+        self.x = np.empty((pieces, n, count, width))
+        self.masks = {i: np.empty((pieces, n, count, m)) for i, m, _ in self.dropped}
+        self.gap, self.zeros = np.empty((n, count, width)), [np.zeros((n, count, m)) for _, m in shapes]
+        self.acts, self.deltas = ([np.empty((n, count, m)) for _, m in shapes] for _ in range(2))
+        self.live = [np.empty((n, count, m), bool) for _, m in shapes]
+        self.sums = [np.empty(count * m) for _, m in shapes]
+        # the same arrays, table by table and row by row
+        self.table_acts, self.table_deltas = ([z.transpose(1, 0, 2) for z in made] for made in (self.acts, self.deltas))
+        self.turned_acts = [z.transpose(1, 2, 0) for z in self.acts]
+        self.row_acts, self.row_deltas = ([z.reshape(n, -1) for z in made] for made in (self.acts, self.deltas))
+        self.turned_weights = [w.transpose(0, 2, 1) for w, _ in self.layers]
+
+    def lay(self, xs: list[np.ndarray], rngs, steps: int) -> None:
+        """The rows of the next ``steps`` steps, and what dropout leaves of them."""
+        n, count = self.n, len(xs)
+        np.stack([x.reshape(steps, n, -1) for x in xs], axis=2, out=self.x[:steps])
+        if not self.dropped:
+            return
+        per_row = sum(m for _, m, _ in self.dropped)
+        kept = {i: np.empty((steps, n, count, m), bool) for i, m, _ in self.dropped}
+        drawn = np.empty(steps * n * per_row)
+        for place, rng in enumerate(rngs):
+            rng.random(out=drawn)
+            taken = 0
+            for i, m, rate in self.dropped:
+                own = drawn.reshape(steps, -1)[:, taken:taken + n * m].reshape(steps, n, m)
+                kept[i][:, :, place] = own >= rate
+                taken += n * m
+        for i, _, rate in self.dropped:
+            np.divide(kept[i], 1.0 - rate, out=self.masks[i][:steps])
+
+    def step(self, piece: int, at: int) -> np.ndarray:
+        """One step of Adam, number ``at``, on the rows laid at ``piece``: the losses."""
+        n, net, last, x = self.n, self.net, len(self.layers) - 1, self.x[piece]
+        masks = {i: m[piece] for i, m in self.masks.items()}
+        given = x.transpose(1, 0, 2)
+        for i, (w, b) in enumerate(self.layers):
+            z = self.acts[i]
+            np.matmul(given, w, out=self.table_acts[i])
+            self.row_acts[i] += b.reshape(-1)
+            if i < last:
+                np.maximum(z, self.zeros[i], out=z)
+                if i in masks:
+                    z *= masks[i]
+            elif net.output == "sigmoid":
+                np.maximum(z, -60.0, out=z)
+                np.minimum(z, 60.0, out=z)
+                np.negative(z, out=z)
+                np.exp(z, out=z)
+                z += 1.0
+                np.divide(1.0, z, out=z)
+            given = self.table_acts[i]
+        y, gap, delta = self.acts[last], self.gap, self.deltas[last]
+        per = n * x.shape[2]
+        np.subtract(y, x, out=gap)
+        np.multiply(gap, gap, out=delta)
+        loss = np.add.reduce(self.table_deltas[last].reshape(-1, per), axis=1) / per
+        np.multiply(gap, 2.0, out=delta)
+        delta /= per
+        if net.output == "sigmoid":
+            delta *= y
+            np.subtract(1.0, y, out=gap)
+            delta *= gap
+        for i in range(last, -1, -1):
+            slope, summed = self.slopes[i]
+            np.matmul(self.turned_acts[i - 1] if i else x.transpose(1, 2, 0), self.table_deltas[i], out=slope)
+            np.add.reduce(self.row_deltas[i], axis=0, out=self.sums[i])
+            summed[...] = self.sums[i].reshape(summed.shape)
+            penalty = net.l2.get(i)
+            if penalty:
+                w = self.layers[i][0]
+                slope += 2.0 * penalty * w
+                loss += [penalty * float((one * one).sum()) for one in w]
+            if i:
+                delta, live = self.deltas[i - 1], self.live[i - 1]
+                np.matmul(self.table_deltas[i], self.turned_weights[i], out=self.table_deltas[i - 1])
+                np.greater(self.acts[i - 1], self.zeros[i - 1], out=live)
+                delta *= live
+                if i - 1 in masks:
+                    delta *= masks[i - 1]
+        first, second, grad, move, root = self.first, self.second, self.grad, self.move, self.root
+        first *= 0.9
+        np.multiply(grad, 0.1, out=move)
+        first += move
+        second *= 0.999
+        np.multiply(grad, 0.001, out=move)
+        move *= grad
+        second += move
+        np.multiply(first, net.rate * np.sqrt(1.0 - 0.999**at) / (1.0 - 0.9**at), out=move)
+        np.sqrt(second, out=root)
+        root += 1e-7
+        move /= root
+        self.weights -= move
+        return loss
 
 
 def _slots(rows: DataFrame, features: list[str], key_cols: list[str], seed: int, slot: int) -> tuple[DataFrame, int]:
@@ -259,12 +340,18 @@ def _slots(rows: DataFrame, features: list[str], key_cols: list[str], seed: int,
         return pa.table({
             "slot": pa.array([int(table["_place"][0].as_py()) // slot], pa.int64()),
             "held": pa.array([table["_held"].to_numpy().astype(np.uint8).tobytes()], pa.binary()),
-            "x": pa.array([x.astype("<f8").tobytes()], pa.binary()),
+            "x": pa.array([pa.compress(x.astype("<f8").tobytes(), codec=CODEC, asbytes=True)], pa.binary()),
         })
 
     packed = placed.groupBy(F.floor(F.col("_place") / slot)).applyInArrow(pack, "slot long, held binary, x binary")
-    files = max(min(count, max(rows.sparkSession.sparkContext.defaultParallelism, count // FILE_SLOTS)), 1)
-    return cut_lineage(packed.repartition(files, "slot")), count
+    files = _files(count, slot * (8 * len(features) + 1), rows.sparkSession.sparkContext.defaultParallelism)
+    return cut_lineage(packed.repartitionById(files, (F.col("slot") % files).cast("int"))), count
+
+
+def _files(count: int, size: int, cores: int) -> int:
+    """Files for ``count`` slots of ``size`` bytes: as many for each core, so that an epoch's tasks are of one length."""
+    waves = -(-count * size // (cores * FILE_BYTES))
+    return max(min(count, cores * waves), 1)
 
 
 def autoencoder_fit(
@@ -283,10 +370,13 @@ def autoencoder_fit(
     step, history, best, best_weights, waited = 0, [], np.inf, None, 0
     size = len(state) // 3
     for epoch in range(net.epochs + 1):
-        shared = context.broadcast((state, step))
         last = epoch == net.epochs
+        if last and epoch and not total["v_n"]:
+            break  # no rows to validate the last weights on
+        shared = context.broadcast((state, step))
         parts = slots.mapInArrow(_epoch(shared, shapes, net, seed, epoch, width, learn=not last), _SUMS)
-        total = _added_up(parts, count)
+        with a_task_per_file(df.sparkSession):
+            total = _added_up(parts, count)
         shared.destroy()
         if epoch and total["v_n"]:
             # validation ran on the weights this epoch started from
@@ -348,7 +438,8 @@ def _epoch(shared, shapes, net: Network, seed: int, epoch: int, width: int, lear
         states, xs, rngs, out = np.tile(state, (len(slots), 1)), [], [], []
         for r in slots:
             held = np.frombuffer(r["held"], np.uint8).astype(bool)
-            x = np.frombuffer(r["x"], "<f8").reshape(len(held), width)
+            x = pa.decompress(r["x"], len(held) * width * 8, codec=CODEC)
+            x = np.frombuffer(x, "<f8").reshape(len(held), width)
             v_n, v_loss = int(held.sum()), 0.0
             if v_n:
                 acts, _ = _forward(_unpack(state[:len(state) // 3], shapes), x[held], net)
@@ -363,8 +454,11 @@ def _epoch(shared, shapes, net: Network, seed: int, epoch: int, width: int, lear
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, STACK):
-                yield from _table_of(list(passed(batch.slice(i, STACK).to_pylist()))).to_batches()
+            rest = batch.num_rows
+            for stacks in range(-(-rest // STACK), 0, -1):  # of about as many slots each
+                some = batch.slice(batch.num_rows - rest, -(-rest // stacks))
+                rest -= some.num_rows
+                yield from _table_of(list(passed(some.to_pylist()))).to_batches()
 
     return run
 

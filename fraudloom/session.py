@@ -100,3 +100,15 @@ def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
     path = _table_path(spark)
     with owned_tables(spark):
         return _write(make(), path)
+
+
+@contextmanager
+def a_task_per_file(spark: SparkSession) -> Iterator[None]:
+    """Actions inside read each file in a task of its own, as files that are dealt evenly should be; large ones are still split."""
+    name = "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

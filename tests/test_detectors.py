@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from fraudloom import session
 from fraudloom.operators import autoencoder as ae
 from fraudloom.operators import dbscan, flags, iforest, refine, search, silhouette
 from fraudloom.operators.components import connected_components
@@ -394,6 +395,57 @@ def test_slots_side_by_side_train_as_each_alone(net):
     assert (state[0, len(start) // 3:2 * len(start) // 3] == 0.1 * grad).all()
 
 
+def test_steps_side_by_side_follow_a_plain_loop():
+    """Dropout, penalties and rests of a batch, written out for one table: each product and draw in its place."""
+    net = ae.Network(hidden=(6, 4), batch=16, dropout={0: 0.3, 1: 0.1}, l2={1: 0.02})
+    shapes, x = ae._shapes(3, net.hidden), np.random.default_rng(1).normal(size=(ae.PIECE * 16 + 37, 3))
+    start = ae._start(shapes, 2)
+    w, m, v = start.copy(), np.zeros(len(start)), np.zeros(len(start))
+    rng, losses = np.random.default_rng(4), 0.0
+    for t, at in enumerate(range(0, len(x), net.batch), 1):
+        g, loss = ae._gradient(w, shapes, x[at:at + net.batch], net, rng)
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - net.rate * np.sqrt(1 - 0.999**t) / (1 - 0.9**t) * m / (np.sqrt(v) + 1e-7)
+        losses += loss * len(x[at:at + net.batch])
+    for others in (0, 2):  # by itself, and beside tables that end before and after it
+        xs = [x, x[:40], np.tile(x, (2, 1))][:1 + others]
+        states = np.tile(np.concatenate([start, np.zeros(2 * len(start))]), (len(xs), 1))
+        told = ae._train(states, 0, xs, net, shapes, [np.random.default_rng(4 + i) for i in range(len(xs))])
+        assert told[0][0] == t and np.isclose(told[0][1], losses, rtol=1e-12)
+        assert np.allclose(states[0], np.concatenate([w, m, v]), rtol=0, atol=1e-12)
+
+
+def test_columns_of_one_train_alike_side_by_side():
+    net = ae.Network(hidden=(4, 1, 4), batch=16, dropout={1: 0.2})
+    shapes = ae._shapes(3, net.hidden)
+    xs = [np.random.default_rng(i).normal(size=(n, 3)) for i, n in enumerate((100, 70, 9))]
+    start = np.concatenate([ae._start(shapes, 1), np.zeros(2 * len(ae._start(shapes, 1)))])
+    together = np.tile(start, (3, 1))
+    told = ae._train(together, 0, xs, net, shapes, [np.random.default_rng(i) for i in range(3)])
+    for i, x in enumerate(xs):
+        alone = start[None].copy()
+        assert ae._train(alone, 0, [x], net, shapes, [np.random.default_rng(i)]) == [told[i]]
+        assert (alone[0] == together[i]).all()
+
+
+def test_every_core_gets_as_many_slots(spark, blobs):
+    # files of the slot table: a multiple of the cores, none too large, and slots dealt evenly
+    for count, size, cores in ((3, 800_000, 8), (8, 800_000, 8), (5281, 800_000, 12), (352, 800_000, 8), (7, 1, 3), (0, 800_000, 4)):
+        files = ae._files(count, size, cores)
+        assert 1 <= files <= max(count, 1) and -(-count // files) * size <= ae.FILE_BYTES + size
+        assert files == max(count, 1) or files % cores == 0
+    rows = frame(spark, blobs, 3).withColumn("is_validation", F.col("id") % 5 == 0)
+    slots, count = ae._slots(rows, NAMES, ["id", "user_id"], 42, 20)
+    held = [list(r["s"]) for r in slots.groupBy(F.input_file_name().alias("f")).agg(F.collect_list("slot").alias("s")).collect()]
+    assert sorted(x for s in held for x in s) == list(range(count))
+    assert len(held) == ae._files(count, 20 * (8 * len(NAMES) + 1), spark.sparkContext.defaultParallelism)
+    assert max(map(len, held)) - min(map(len, held)) <= 1
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    with session.a_task_per_file(spark):
+        assert slots.rdd.getNumPartitions() == len(held)
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == before
+
+
 def test_path_lengths_equal_a_walk_down_each_tree():
     rng = np.random.default_rng(6)
     rows = np.where(rng.random((700, 4)) < 0.5, rng.integers(0, 4, (700, 4)), rng.normal(size=(700, 4)))
