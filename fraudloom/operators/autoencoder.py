@@ -36,7 +36,7 @@ FOLD = 64
 #: Slots of a task that take their steps side by side.
 STACK = 16
 #: Steps whose rows are laid out at once.
-PIECE = 16
+PIECE = 4
 #: How a slot's rows are packed: every epoch hands them from a file to a Python worker.
 CODEC = "zstd"
 #: Bytes of a file of the slot table, before compression: less than Spark would split.
@@ -226,6 +226,8 @@ class _Stack:
         self.dropped = [(i, shapes[i][1], net.dropout[i]) for i in range(len(shapes) - 1) if net.dropout.get(i)]
         self.x = np.empty((pieces, n, count, width))
         self.masks = {i: np.empty((pieces, n, count, m)) for i, m, _ in self.dropped}
+        self.kept = {i: np.empty((pieces, n, count, m), bool) for i, m, _ in self.dropped}
+        self.drawn = np.empty(pieces * n * sum(m for _, m, _ in self.dropped))
         self.gap, self.zeros = np.empty((n, count, width)), [np.zeros((n, count, m)) for _, m in shapes]
         self.acts, self.deltas = ([np.empty((n, count, m)) for _, m in shapes] for _ in range(2))
         self.live = [np.empty((n, count, m), bool) for _, m in shapes]
@@ -238,22 +240,19 @@ class _Stack:
 
     def lay(self, xs: list[np.ndarray], rngs, steps: int) -> None:
         """The rows of the next ``steps`` steps, and what dropout leaves of them."""
-        n, count = self.n, len(xs)
+        n = self.n
         np.stack([x.reshape(steps, n, -1) for x in xs], axis=2, out=self.x[:steps])
         if not self.dropped:
             return
-        per_row = sum(m for _, m, _ in self.dropped)
-        kept = {i: np.empty((steps, n, count, m), bool) for i, m, _ in self.dropped}
-        drawn = np.empty(steps * n * per_row)
+        drawn = self.drawn.reshape(len(self.x), -1)[:steps]
         for place, rng in enumerate(rngs):
             rng.random(out=drawn)
             taken = 0
             for i, m, rate in self.dropped:
-                own = drawn.reshape(steps, -1)[:, taken:taken + n * m].reshape(steps, n, m)
-                kept[i][:, :, place] = own >= rate
+                np.greater_equal(drawn[:, taken:taken + n * m].reshape(steps, n, m), rate, out=self.kept[i][:steps, :, place])
                 taken += n * m
         for i, _, rate in self.dropped:
-            np.divide(kept[i], 1.0 - rate, out=self.masks[i][:steps])
+            np.divide(self.kept[i][:steps], 1.0 - rate, out=self.masks[i][:steps])
 
     def step(self, piece: int, at: int) -> np.ndarray:
         """One step of Adam, number ``at``, on the rows laid at ``piece``: the losses."""
@@ -343,7 +342,7 @@ def _slots(rows: DataFrame, features: list[str], key_cols: list[str], seed: int,
             "x": pa.array([pa.compress(x.astype("<f8").tobytes(), codec=CODEC, asbytes=True)], pa.binary()),
         })
 
-    packed = placed.groupBy(F.floor(F.col("_place") / slot)).applyInArrow(pack, "slot long, held binary, x binary")
+    packed = placed.select("_place", "_held", *names).groupBy(F.floor(F.col("_place") / slot)).applyInArrow(pack, "slot long, held binary, x binary")
     files = _files(count, slot * (8 * len(features) + 1), rows.sparkSession.sparkContext.defaultParallelism)
     return cut_lineage(packed.repartitionById(files, (F.col("slot") % files).cast("int"))), count
 
@@ -444,11 +443,12 @@ def _epoch(shared, shapes, net: Network, seed: int, epoch: int, width: int, lear
             if v_n:
                 acts, _ = _forward(_unpack(state[:len(state) // 3], shapes), x[held], net)
                 v_loss = float(((acts[-1] - x[held]) ** 2).mean(axis=1).sum())
-            rng, x = np.random.default_rng([seed, epoch, r["slot"]]), x[~held]
-            xs.append(x[rng.permutation(len(x))] if learn else x)
-            rngs.append(rng)
-            out.append({"slot": r["slot"], "n": len(x), "v_n": v_n, "v_loss": v_loss})
-        told = _train(states, step, xs, net, shapes, rngs) if learn else [(0, 0.0)] * len(slots)
+            rng, learned = np.random.default_rng([seed, epoch, r["slot"]]), np.flatnonzero(~held)
+            if learn:
+                xs.append(x[learned[rng.permutation(len(learned))]])
+                rngs.append(rng)
+            out.append({"slot": r["slot"], "n": len(learned), "v_n": v_n, "v_loss": v_loss})
+        told = _train(states, step, xs, net, shapes, rngs) if learn else [(0, 0.0)] * len(out)
         for row, own, (steps, loss) in zip(out, states, told):
             yield row | {"steps": steps, "loss": loss, "state": (own * row["n"]).astype("<f8").tobytes()}
 
